@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
@@ -30,6 +32,15 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def first_match(cases: Iterable[tuple[Column, Column | str]], default: Column | str | None) -> Column:
+    """The value of the first true condition, else the default."""
+    (condition, value), *rest = cases
+    chosen = F.when(condition, value)
+    for condition, value in rest:
+        chosen = chosen.when(condition, value)
+    return chosen.otherwise(default)
+
+
 def upper_trim(col: Column) -> Column:
     return F.upper(F.trim(col))
 

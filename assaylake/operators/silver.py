@@ -36,10 +36,9 @@ def accepted_types(include_validated: bool = False) -> list[str]:
 
 def reject_reason(types: Sequence[str]) -> Column:
     """First rule an event fails (its column name), or null for an accepted event."""
-    reason = F.when(F.col("event_type").isNull() | ~F.col("event_type").isin(*types), "event_type")
-    for key in CASE_KEYS:
-        reason = reason.when(values.blank(F.col(key)), key)
-    return reason
+    wrong_type = F.col("event_type").isNull() | ~F.col("event_type").isin(*types)
+    blank_keys = [(values.blank(F.col(key)), key) for key in CASE_KEYS]
+    return values.first_match([(wrong_type, "event_type"), *blank_keys], None)
 
 
 def silver_rejects(events: DataFrame, *, include_validated: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_core
+from . import queries_core, queries_events  # noqa: F401  (importing registers them)
+from .registry import ORACLES, QUERIES
 
-QUERIES = {**queries_core.QUERIES}
-ORACLES = {**queries_core.ORACLES}
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import ids
-from ..operators import gold, silver
-from ..schemas import CASE_KEYS
+from ..operators import bus, events, gold, silver
+from ..schemas import CASE_KEYS, EVENT_COLUMNS
 from ..sources import ranges
 
 SECRET = "test-secret-0123456789-0123456789-abc"  # test only
@@ -63,7 +62,215 @@ def lab_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case contexts; cases too large for one row are looked for in the raw events first."""
-    events = lab_events(spark, sf_dir)
+    hot = gold.hot_cases(lab_events(spark, sf_dir))
     return gold.gold_report_context(
-        lab_silver(spark, sf_dir), hot=gold.hot_cases(events), generated_at=F.lit(DAY_ONE).cast("timestamp")
+        lab_silver(spark, sf_dir), hot=hot, generated_at=F.lit(DAY_ONE).cast("timestamp")
     )
+
+
+# --- Event log -------------------------------------------------------------------------------
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lab events as a valid, typed log."""
+    sourced = lab_events(spark, sf_dir).withColumns(
+        {"source_system": F.lit("GLIMS_SIM"), "origin_source": F.lit("SYNTHEA")}
+    )
+    return events.event_log(sourced)
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lab events with all 18 text columns and their arrival number."""
+    return lab_events(spark, sf_dir).withColumns(
+        {"source_system": F.lit("GLIMS_SIM"), "origin_source": F.lit("SYNTHEA")}
+    ).select(*EVENT_COLUMNS, "seq")
+
+
+def kafka_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as topic messages; those with text values are broken JSON."""
+    sent = bus.envelopes(raw_events(spark, sf_dir), carry=["event_id", "seq"])
+    return sent.select(
+        F.when(F.col("event_id").endswith("7"), F.concat(F.lit("no json "), F.col("event_id")))
+        .otherwise(F.col("value"))
+        .alias("value"),
+        "topic",
+        F.lit(0).alias("partition"),
+        F.col("seq").alias("offset"),
+    )
+
+
+# --- Clinical extract ------------------------------------------------------------------------
+
+
+def extract_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Id"))
+
+
+def extract_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as observations: pending orders come from patients the extract does not list."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "case when o_orderstatus = 'P' then concat('visitor-', cast(o_custkey as string))"
+        " else cast(o_custkey as string) end as PATIENT",
+        "cast(o_orderkey as string) as ENCOUNTER",
+        "case when o_orderpriority = '4-NOT SPECIFIED' then ' ' else o_orderpriority end as CODE",
+        "concat('Test ', o_orderpriority) as DESCRIPTION",
+        "cast(o_totalprice as string) as VALUE",
+        "'U' as UNITS",
+        "substr(cast(o_orderdate as string), 1, 10) as DATE",
+        "case o_orderpriority when '1-URGENT' then 'Laboratory results' when '2-HIGH' then ' LAB '"
+        " when '3-MEDIUM' then 'labour' else 'laboratory' end as CATEGORY",
+    )
+
+
+# --- Report tables, from every case ----------------------------------------------------------
+
+
+def with_scenario(cases: DataFrame) -> DataFrame:
+    """Give every case one of 16 life stories, by the first digit of its content hash."""
+    return cases.withColumns(
+        {
+            "n": F.instr(F.lit("0123456789abcdef"), F.substring("context_hash", 1, 1)) - 1,
+            "report_id": F.concat(F.lit("RPT-"), F.substring("context_hash", 1, 16)),
+        }
+    )
+
+
+def _at(day: int, hour, minute) -> Column:
+    return F.make_timestamp(F.lit(2026), F.lit(1), F.lit(day), _col(hour), _col(minute), F.lit(0))
+
+
+def _col(value) -> Column:
+    return F.lit(value) if isinstance(value, int) else value
+
+
+def reports(cases: DataFrame) -> DataFrame:
+    """Stories 12 to 15 have no report yet."""
+    return with_scenario(cases).filter("n < 12").select("report_id", *CASE_KEYS, _at(2, 0, F.col("n")).alias("created_at"))
+
+
+def versions(cases: DataFrame) -> DataFrame:
+    """Story 11 has a report without version; 0, 3, 6, 9 have two; 1 and 4 are stale."""
+    story = with_scenario(cases).filter("n < 11").withColumn("top", F.when(F.col("n") % 3 == 0, 2).otherwise(1))
+    rows = story.withColumn("version_number", F.explode(F.sequence(F.lit(1), F.col("top"))))
+    return rows.select(
+        F.concat(F.lit("RPV-"), F.substring("context_hash", 1, 16), F.lit("-"), F.col("version_number")).alias("report_version_id"),
+        "report_id",
+        "version_number",
+        F.when(F.col("n").isin(1, 4) | (F.col("version_number") < F.col("top")), F.concat(F.lit("stale-"), "context_hash"))
+        .otherwise(F.col("context_hash"))
+        .alias("source_context_hash"),
+        F.concat(F.lit("text of "), "report_id", F.lit(" v"), F.col("version_number")).alias("report_text"),
+        F.when(F.col("n") % 2 == 0, "mock_medgemma").otherwise("remote_medgemma:model-a").alias("model_name"),
+        _at(2, F.col("version_number"), F.col("n")).alias("created_at"),
+    )
+
+
+def _story_rows(cases: DataFrame, rows: dict[int, list[tuple]], schema: str) -> DataFrame:
+    """Rows listed per story number, for every case of that story."""
+    spark = cases.sparkSession
+    listed = spark.createDataFrame([(n, *r) for n, rs in rows.items() for r in rs], "n int, " + schema)
+    return with_scenario(cases).select("n", "report_id", *CASE_KEYS, "context_hash").join(F.broadcast(listed), "n")
+
+
+def status_changes(cases: DataFrame) -> DataFrame:
+    rows = {n: [(1, 1, "AI_DRAFT")] for n in range(11)}
+    for n in (2, 3, 8):
+        rows[n].append((2, 2, "BIOLOGIST_VALIDATED"))
+    rows[6] += [(3, 2, "BIOLOGIST_VALIDATED"), (3, 3, "REJECTED")]  # same time, later in sequence
+    rows[5].append((3, 3, "REJECTED"))
+    rows[7].append((4, 4, "OUTDATED"))
+    return _story_rows(cases, rows, "hour int, seq long, status string").select(
+        "report_id", _at(2, F.col("hour"), F.col("n")).alias("at"), "seq", "status"
+    )
+
+
+def actions(cases: DataFrame) -> DataFrame:
+    rows = {
+        2: [(2, "VALIDATED", None)],
+        3: [(2, "VALIDATED", "first"), (3, "VALIDATED", "second")],
+        5: [(3, "REJECTED", "no")],
+        6: [(2, "VALIDATED", "fine"), (3, "REJECTED", "again")],
+        8: [(2, "VALIDATED", 'it is "ok" \\ yes')],
+    }
+    return _story_rows(cases, rows, "hour int, action string, comment string").select(
+        "report_id", "patient_id", "order_id", "action", "comment", _at(2, F.col("hour"), F.col("n")).alias("created_at")
+    )
+
+
+def exports(cases: DataFrame) -> DataFrame:
+    rows = {
+        2: [("a", 5, "FINAL_PDF", "GENERATED")],
+        3: [("a", 5, "FINAL_PDF", "GENERATED"), ("b", 6, "FINAL_PDF", "GENERATED")],
+        8: [("a", 5, "FINAL_PDF", "FAILED")],
+        9: [("a", 5, "DRAFT_PDF", "GENERATED")],
+    }
+    return _story_rows(cases, rows, "part string, hour int, export_type string, export_status string").select(
+        F.concat(F.lit("EXP-"), F.substring("context_hash", 1, 16), F.lit("-"), "part").alias("export_id"),
+        "report_id",
+        "patient_id",
+        "order_id",
+        "export_type",
+        "export_status",
+        _at(2, F.col("hour"), F.col("n")).alias("generated_at"),
+    )
+
+
+def export_attempts(cases: DataFrame) -> DataFrame:
+    return exports(cases).select(
+        "report_id",
+        "patient_id",
+        "order_id",
+        "export_type",
+        "generated_at",
+        F.lit("local-biologist").alias("generated_by"),
+        F.when(F.col("export_status") == "GENERATED", F.length("report_id") * 100).alias("file_size_bytes"),
+    )
+
+
+def responses(cases: DataFrame) -> DataFrame:
+    n = F.col("n")
+    return with_scenario(cases).select(
+        "report_id",
+        F.when(n == 0, "other").otherwise("remote_medgemma").alias("provider"),
+        (n != 4).alias("is_real_llm"),
+        F.when(n != 8, "model-a").alias("model_name"),
+        F.when(n == 10, "").otherwise(F.concat(F.lit("text of "), "report_id")).alias("report_text"),
+    )
+
+
+def patient_conversations(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    """Each conversation belongs to the first report of the patient with its number."""
+    first = reports(cases).groupBy("patient_id").agg(F.min("report_id").alias("report_id"))
+    talks = table(spark, sf_dir, "conversations").withColumn(
+        "patient_id", F.concat(F.lit("PAT-"), F.col("conv_id").cast("string"))
+    )
+    return talks.join(first, "patient_id")
+
+
+def chat_messages(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    return patient_conversations(spark, sf_dir, cases).select(
+        "report_id",
+        "role",
+        F.col("text").alias("message"),
+        F.col("turn").alias("message_seq"),
+        _at(3, 0, F.col("turn").cast("int")).alias("created_at"),
+    )
+
+
+def questions(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    """The user turns, as questions to the report."""
+    return (
+        patient_conversations(spark, sf_dir, cases)
+        .filter("role = 'user'")
+        .select(
+            "report_id",
+            F.col("text").alias("question"),
+            F.col("turn").alias("message_seq"),
+            _at(3, 0, F.col("turn").cast("int")).alias("created_at"),
+        )
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    asked = patient_conversations(spark, sf_dir, cases).select("report_id").distinct()
+    return asked.withColumn("chat_session_id", F.concat(F.lit("CHS-"), "report_id"))

@@ -4,28 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import ids, values
+from ..functions import ids
 from ..operators import gold, silver
 from ..schemas import CASE_KEYS
 from . import inputs
 from .oracle_base import DEDUP_CTE, GOLD_CTE, LAB_CTE, SILVER_CTE, TYPED_CTE
-
-QUERIES = {}
-ORACLES = {}
-
-
-def register(name: str, sql: str):
-    def keep(function):
-        QUERIES[name] = function
-        ORACLES[name] = sql
-        return function
-
-    return keep
-
-
-def as_text(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("string") for n in names})
-
+from .registry import as_text, register
 
 @register(
     "event_dedup",
