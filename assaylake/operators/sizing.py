@@ -33,7 +33,7 @@ def row_number_in_pieces(
     keys = list(keys)
     cut = df.withColumn("_piece", piece)
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_last())
+    before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first())
     starts = sizes.select(
         *[F.col(k).alias("_s_" + k) for k in keys],
         F.col("_piece").alias("_s_piece"),
