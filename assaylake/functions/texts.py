@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
-from .values import float_text, iso_text
+from .values import bind, float_text, iso_text
 
 
 def _clean(col: Column) -> Column:
@@ -20,10 +20,6 @@ def _or(col: Column, default: str) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), F.lit(default))
 
 
-def _results() -> Column:
-    return F.coalesce(F.col("results"), F.array())
-
-
 def time_text(ts: Column) -> Column:
     return iso_text(ts.cast("timestamp"))
 
@@ -76,7 +72,7 @@ PROMPT_HEADERS = [
 
 def context_text(max_results: int = fv.PROMPT_RESULT_LINES) -> Column:
     """A case as compact prompt text: nine header lines, then one line per result."""
-    results = _results()
+    results = F.coalesce(F.col("results"), F.array())
     more = F.size(results) - max_results
     lines = F.concat(
         F.array(*[F.concat(F.lit(h + ": "), _clean(F.col(h))) for h in PROMPT_HEADERS], F.lit("results:")),
@@ -102,7 +98,7 @@ def chat_prompt(report_text: Column, question: Column) -> Column:
 
 
 def with_flag(*flags: str) -> Column:
-    return F.filter(_results(), lambda r: r["abnormal_flag"].isin(*flags))
+    return F.filter(F.coalesce(F.col("results"), F.array()), lambda r: r["abnormal_flag"].isin(*flags))
 
 
 def flag_split() -> dict[str, Column]:
@@ -133,14 +129,14 @@ def _draft_line(item: Column) -> Column:
     )
 
 
-def _draft_lines(results: Column, limit: int) -> Column:
-    more = F.size(results) - limit
-    lines = F.array_join(F.transform(F.slice(results, 1, limit), _draft_line), "\n")
-    return (
-        F.when(F.size(results) == 0, fv.DRAFT_NO_RESULTS)
-        .when(more > 0, F.concat(lines, F.lit("\n"), F.format_string(fv.DRAFT_MORE_RESULTS, more)))
-        .otherwise(lines)
-    )
+def _draft_lines(chosen: Column, limit: int) -> Column:
+    def lines(results: Column) -> Column:
+        more = F.size(results) - limit
+        rest = F.when(more > 0, F.concat(F.lit("\n"), F.format_string(fv.DRAFT_MORE_RESULTS, more))).otherwise("")
+        shown = F.array_join(F.transform(F.slice(results, 1, limit), _draft_line), "\n")
+        return F.when(F.size(results) == 0, fv.DRAFT_NO_RESULTS).otherwise(F.concat(shown, rest))
+
+    return bind(chosen, lines)
 
 
 def draft_report() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -32,6 +32,11 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(cases: Iterable[tuple[Column, Column | str]], default: Column | str | None) -> Column:
     """The value of the first true condition, else the default."""
     (condition, value), *rest = cases
@@ -92,21 +97,39 @@ def iso_text(ts: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
+_EVENT_TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-](?!00:00)\d\d:\d\d)?$"
+_DATE_ONLY = r"^\d{4}-\d\d-\d\d$"
 _OFFSET = r"(?i)[T ].*?(Z|[+-]\d{2}(?::?\d{2})?)$"
 
 
+def _rebuilt_time_text(text: Column) -> Column:
+    """Any other readable form: blank for ``T``, no seconds, fractions, odd offsets."""
+
+    def suffix(offset: Column) -> Column:
+        digits = F.rpad(F.regexp_replace(offset, ":", ""), 5, "0")
+        return (
+            F.when(offset == "", "")
+            .when((F.upper(offset) == "Z") | F.endswith(digits, F.lit("0000")), "Z")
+            .otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.substring(digits, 4, 2)))
+        )
+
+    def rebuilt(offset: Column) -> Column:
+        local = F.substring(text, F.lit(1), F.length(text) - F.length(offset)).try_cast("timestamp_ntz")
+        return F.concat(bind(local, iso_text), suffix(offset))
+
+    return bind(F.regexp_extract(text, _OFFSET, 1), rebuilt)
+
+
 def event_time_text(text: Column) -> Column:
     """Source date text in the form events carry: ISO with ``T``, UTC as ``Z``, offset kept.
 
-    Null when the text is no date.
+    Null when the text is no date. Text in that form already is passed on as it is, so the costly
+    rebuilding runs on odd rows only.
     """
     trimmed = F.trim(text)
-    offset = F.regexp_extract(trimmed, _OFFSET, 1)
-    local = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(offset)).try_cast("timestamp_ntz")
-    digits = F.regexp_replace(offset, ":", "")
-    suffix = (
-        F.when(offset == "", "")
-        .when(F.upper(offset).isin("Z", "+00", "-00", "+00:00", "-00:00", "+0000", "-0000"), "Z")
-        .otherwise(F.concat(F.substring(F.rpad(digits, 5, "0"), 1, 3), F.lit(":"), F.substring(F.rpad(digits, 5, "0"), 4, 2)))
+    return (
+        F.when(F.try_to_timestamp(trimmed).isNull(), F.lit(None).cast("string"))
+        .when(trimmed.rlike(_EVENT_TIME), trimmed)
+        .when(trimmed.rlike(_DATE_ONLY), F.concat(trimmed, F.lit("T00:00:00")))
+        .otherwise(_rebuilt_time_text(trimmed))
     )
-    return F.concat(iso_text(local), suffix)

@@ -96,7 +96,7 @@ def normalized_csv(observations: DataFrame, patients: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("reference_range"),
         F.lit(None).cast("string").alias("abnormal_flag"),
         F.lit("FINAL").alias("validation_status"),
-        values.event_time_text(column_of(known, "DATE")).alias("result_datetime"),
+        column_of(known, "DATE").alias("result_datetime"),
     )
     return complete_rows(shaped)
 
@@ -170,27 +170,29 @@ def normalized_fhir(resources: DataFrame) -> DataFrame:
         range_text.alias("reference_range"),
         flag.alias("abnormal_flag"),
         F.upper(F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("FINAL"))).alias("validation_status"),
-        values.event_time_text(
-            F.coalesce(F.nullif(F.col("effectiveDateTime"), F.lit("")), F.col("issued"))
-        ).alias("result_datetime"),
+        F.coalesce(F.nullif(F.col("effectiveDateTime"), F.lit("")), F.col("issued")).alias("result_datetime"),
     )
     return complete_rows(shaped)
 
 
 # --- Both ------------------------------------------------------------------------------------
 
-REQUIRED = ["source_patient_id", "source_observation_id", "test_code", "test_name", "value", "result_datetime"]
+REQUIRED = ["source_patient_id", "source_observation_id", "test_code", "test_name", "value"]
 
 
-def _incomplete() -> Column:
-    missing = F.lit(False)
-    for name in REQUIRED:
-        missing = missing | (F.coalesce(F.col(name), F.lit("")) == "")
-    return missing
-
+def complete_rows(shaped: DataFrame) -> DataFrame:
+    """Rows with every required part and a readable date, the date in event form.
 
-def complete_rows(normalized: DataFrame) -> DataFrame:
-    return normalized.select(*NORMALIZED_COLUMNS).filter(~_incomplete())
+    The date is tested with one cast; its text is built only for the rows that stay.
+    """
+    complete = values.parse_time(F.trim("result_datetime")).isNotNull()
+    for name in REQUIRED:
+        complete = complete & (F.length(name) > 0)
+    return (
+        shaped.filter(complete)
+        .withColumn("result_datetime", values.event_time_text(F.col("result_datetime")))
+        .select(*NORMALIZED_COLUMNS)
+    )
 
 
 def with_stable_ids(normalized: DataFrame) -> DataFrame:

@@ -31,8 +31,6 @@ CASE_KEYS = ["patient_id", "order_id", "specimen_id"]
 
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EVENT_COLUMNS])
 
-RANGE_SCHEMA = "code string, name string, low double, high double, unit string"
-
 RESULT_FIELDS = [
     "result_id",
     "test_code",

@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed_values as fv
-from ..schemas import RANGE_SCHEMA
 
 MAX_RANGES = 100_000  # keeps the dimension small enough to broadcast
 
@@ -18,7 +18,10 @@ def range_table(spark: SparkSession, rows=fv.REFERENCE_RANGES) -> DataFrame:
     rows = list(rows)
     if len(rows) > MAX_RANGES:
         raise ValueError(f"{len(rows)} reference ranges; at most {MAX_RANGES} are supported")
-    return spark.createDataFrame(rows, RANGE_SCHEMA)
+    names = ["code", "name", "low", "high", "unit"]
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
 
 
 def _parse(text: str) -> dict[str, Any]:
