@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import ids, values
 from ..schemas import CASE_KEYS, EVENT_COLUMNS, OPTIONAL_EVENT_COLUMNS, SchemaMismatch
 from .silver import first_row
+from .sizing import running_last
 
 DEFAULTED_COLUMNS = ["result_id", "modified_at"]
 PATCH_FIELDS = ["value", "unit", "reference_range", "abnormal_flag", "validation_status", "result_datetime"]
@@ -172,35 +173,6 @@ def new_result_events(requests: DataFrame) -> DataFrame:
     ).select(*EVENT_COLUMNS)
 
 
-def _running_last(changes: DataFrame, fields: Sequence[str], order: Sequence[str], piece: Column) -> DataFrame:
-    """Last given value of each field up to every change of a result, for results of any size.
-
-    Values run inside (result, piece); the last value per piece is aggregated and carried on.
-    """
-    cut = changes.withColumn("_piece", piece)
-    running = Window.partitionBy("result_id", "_piece").orderBy(*order)
-    position = F.struct(*order)
-    ends = cut.groupBy("result_id", "_piece").agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), position)).alias("_end_" + f) for f in fields]
-    )
-    earlier = (
-        Window.partitionBy("result_id")
-        .orderBy(F.col("_piece").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = ends.select(
-        F.col("result_id").alias("_r"),
-        F.col("_piece").alias("_p"),
-        *[F.last("_end_" + f, ignorenulls=True).over(earlier).alias("_start_" + f) for f in fields],
-    )
-    inside = cut.withColumns({"_run_" + f: F.last(f, ignorenulls=True).over(running) for f in fields})
-    joined = inside.join(starts, (F.col("result_id") == F.col("_r")) & F.col("_piece").eqNullSafe(F.col("_p")))
-    return joined.select(
-        *[c for c in changes.columns if c not in fields],
-        *[F.coalesce("_run_" + f, "_start_" + f).alias(f) for f in fields],
-    )
-
-
 def apply_updates(log: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
     """Events for a set of value changes.
 
@@ -210,11 +182,11 @@ def apply_updates(log: DataFrame, changes: DataFrame, seq: str = "seq") -> DataF
     :func:`unknown_keys`.
     """
     given = [f for f in PATCH_FIELDS if f in changes.columns]
-    folded = _running_last(
+    folded = running_last(
         changes.select("result_id", "event_id", "modified_at", "change_seq", *given),
-        given,
+        ["result_id"],
         ["modified_at", "change_seq"],
-        F.date_trunc("hour", F.col("modified_at").cast("timestamp")),
+        given,
     )
     patch = folded.select(
         "result_id",

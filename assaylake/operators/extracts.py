@@ -56,22 +56,24 @@ def unknown_patient_observations(observations: DataFrame, patients: DataFrame) -
 def with_observation_ids(rows: DataFrame) -> DataFrame:
     """Give every row an observation id: its own, else a hash of its content and copy number.
 
-    Rows without an id are counted per equal content and written out again with a number each, in
-    pieces: identical rows are interchangeable, so no order is needed and a row repeated very
-    often is neither sorted nor collected.
+    Rows without an id are counted per equal content and written out again with a number each:
+    identical rows are interchangeable, so no order is needed. A row repeated very often is neither
+    sorted nor collected, and its copies are written by many tasks.
     """
     own_id = trimmed(rows, "Id", "ID")
     with_id = rows.withColumn("source_observation_id", own_id).filter(F.col("source_observation_id").isNotNull())
     without = rows.filter(own_id.isNull())
     names = [c for c in rows.columns if c not in ("Id", "ID")]
     counted = without.groupBy(*names).agg(F.count("*").alias("_copies"))
-    pieces = counted.withColumn(
-        "_from", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(COPIES_PER_PIECE).cast("long")))
-    )
-    copies = pieces.withColumn(
-        "_copy",
-        F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES_PER_PIECE - 1, F.col("_copies") - 1))),
+    few = counted.filter(F.col("_copies") <= COPIES_PER_PIECE).withColumn("_from", F.lit(0).cast("long"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES_PER_PIECE).cast("long"))
+    many = (
+        counted.filter(F.col("_copies") > COPIES_PER_PIECE)
+        .withColumn("_from", F.explode(starts))
+        .repartition(F.xxhash64(*names, "_from"))
     )
+    last = F.least(F.col("_from") + COPIES_PER_PIECE, F.col("_copies")) - 1
+    copies = few.unionByName(many).withColumn("_copy", F.explode(F.sequence("_from", last)))
     lead = [c for c in ("PATIENT", "ENCOUNTER", "CODE", "DATE") if c in names]
     content = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in [*lead, *sorted(set(names) - set(lead))]]
     hashed = F.sha2(F.concat_ws("|", *content, F.col("_copy").cast("string")), 256)

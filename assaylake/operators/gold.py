@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import ids
 from ..schemas import CASE_KEYS, RESULT_FIELDS
+from .silver import first_rows
 from .sizing import checked_broadcast
 
 # Results a case may hold and still be one nested row.
@@ -141,6 +142,24 @@ def large_case_context(latest: DataFrame, generated_at: Column | None = None) ->
     )
 
 
+def with_excerpts(contexts: DataFrame, flat_results: DataFrame) -> DataFrame:
+    """Fill the null ``results`` of large cases with the few results a text quotes.
+
+    These are the first results overall, with a high or low flag, and with a normal flag, as many
+    as the texts show. Build texts from such rows with ``partial=True``.
+    """
+    rows = flat_results.join(contexts.select(*CASE_KEYS), CASE_KEYS, "left_semi")
+    flag, by_id = F.col("abnormal_flag"), [F.col("result_id")]
+    parts = [
+        first_rows(rows, CASE_KEYS, by_id, fv.PROMPT_RESULT_LINES),
+        first_rows(rows.filter(flag.isin(fv.FLAG_HIGH, fv.FLAG_LOW)), CASE_KEYS, by_id, fv.DRAFT_ABNORMAL_LINES),
+        first_rows(rows.filter(flag == fv.FLAG_NORMAL), CASE_KEYS, by_id, fv.DRAFT_NORMAL_LINES),
+    ]
+    quoted = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lists = quoted.groupBy(*CASE_KEYS).agg(F.array_sort(F.collect_set(F.struct(*RESULT_FIELDS))).alias("results"))
+    return contexts.drop("results").join(lists, CASE_KEYS, "left").select(*contexts.columns)
+
+
 def gold_report_context(
     silver: DataFrame, *, hot: DataFrame | None = None, generated_at: Column | None = None
 ) -> DataFrame:

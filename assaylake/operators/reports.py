@@ -15,6 +15,7 @@ from .. import fixed_values as fv
 from ..functions import ids, texts
 from ..functions.values import first_match
 from ..schemas import CASE_KEYS
+from .gold import with_excerpts
 from .silver import first_row
 from .sizing import row_number_in_pieces
 
@@ -175,15 +176,9 @@ def version_numbers(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Number a set of generation requests per report, after the highest stored version.
 
     ``requests``: report_id, requested_at, request_id. Requests of one report are numbered in time
-    order; a report with very many requests is numbered hour by hour.
+    order.
     """
-    numbered = row_number_in_pieces(
-        requests,
-        ["report_id"],
-        F.date_trunc("hour", "requested_at"),
-        [F.col("requested_at"), F.col("request_id")],
-        "_n",
-    )
+    numbered = row_number_in_pieces(requests, ["report_id"], ["requested_at", "request_id"], "_n")
     top = stored.groupBy("report_id").agg(F.max("version_number").alias("_top"))
     return (
         numbered.join(top, "report_id", "left")
@@ -192,7 +187,20 @@ def version_numbers(requests: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def _new_versions(selected: DataFrame, versions: DataFrame, created_at: Column, text: Column, model: Column) -> DataFrame:
+def with_draft_text(cases: DataFrame, text: Callable[..., Column], flat_results: DataFrame | None) -> DataFrame:
+    """Add ``report_text``.
+
+    A case too large for one row has a null list and, without ``flat_results``, a null text. With
+    them its text is built from the few results it quotes and the counts of the case.
+    """
+    if flat_results is None:
+        return cases.withColumn("report_text", text())
+    listed = cases.filter(F.col("results").isNotNull()).withColumn("report_text", text())
+    large = with_excerpts(cases.filter(F.col("results").isNull()), flat_results)
+    return listed.unionByName(large.withColumn("report_text", text(partial=True)))
+
+
+def _new_versions(selected: DataFrame, versions: DataFrame, created_at: Column, model: Column) -> DataFrame:
     top = versions.groupBy("report_id").agg(F.max("version_number").alias("_top"))
     numbered = selected.join(top, "report_id", "left").withColumn(
         "version_number", (F.coalesce("_top", F.lit(0)) + 1).cast("int")
@@ -203,7 +211,7 @@ def _new_versions(selected: DataFrame, versions: DataFrame, created_at: Column,
         *CASE_KEYS,
         "version_number",
         F.col("context_hash").alias("source_context_hash"),
-        text.alias("report_text"),
+        "report_text",
         model.alias("model_name"),
         F.lit(fv.AI_DRAFT).alias("status"),
         created_at.alias("created_at"),
@@ -217,20 +225,20 @@ def generate_drafts(
     versions: DataFrame,
     created_at: Column,
     *,
-    text: Callable[[], Column] = texts.draft_report,
+    text: Callable[..., Column] = texts.draft_report,
     model_name: Column | None = None,
+    flat_results: DataFrame | None = None,
 ) -> DataFrame:
     """A new draft version for every given case.
 
     The report of the case is reused; without one it is new (``is_new_report``) and its id follows
-    from the case keys. ``text`` builds the draft column; a caller with a model can instead join
-    its own ``report_text`` to the rows.
+    from the case keys. ``text`` builds the draft column (see :func:`with_draft_text`).
     """
     selected = case_existing_report(context, reports).withColumns(
         {"is_new_report": F.col("report_id").isNull(), "report_id": F.coalesce("report_id", report_id_for_case())}
     )
     model = F.lit(fv.TEMPLATE_PROVIDER) if model_name is None else model_name
-    return _new_versions(selected, versions, created_at, text(), model)
+    return _new_versions(with_draft_text(selected, text, flat_results), versions, created_at, model)
 
 
 def regenerate_drafts(
@@ -239,13 +247,14 @@ def regenerate_drafts(
     context: DataFrame,
     created_at: Column,
     *,
-    text: Callable[[], Column] = texts.draft_report,
+    text: Callable[..., Column] = texts.draft_report,
     model_name: Column | None = None,
+    flat_results: DataFrame | None = None,
 ) -> DataFrame:
     """The next version of every given report, from the current state of its case."""
     selected = context.join(reports.select("report_id", *CASE_KEYS), CASE_KEYS, "inner")
     model = F.lit(fv.TEMPLATE_PROVIDER) if model_name is None else model_name
-    return _new_versions(selected, versions, created_at, text(), model)
+    return _new_versions(with_draft_text(selected, text, flat_results), versions, created_at, model)
 
 
 def reports_without_case(reports: DataFrame, context: DataFrame) -> DataFrame:

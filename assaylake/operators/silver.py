@@ -58,14 +58,18 @@ def accepted_events(events: DataFrame, *, include_validated: bool = False) -> Da
     return with_copy_order(typed)
 
 
-def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row per key.
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
+    """The first few rows per key.
 
-    Spark turns ``row_number = 1`` into a group limit before the shuffle, so each map task sends
-    at most one row per key: a key with very many rows stays cheap.
+    Spark turns ``row_number <= rows`` into a group limit before the shuffle, so each map task
+    sends at most that many rows per key: a key with very many rows stays cheap.
     """
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+    return ranked.filter(F.col("_rank") <= rows).drop("_rank")
+
+
+def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    return first_rows(df, keys, order, 1)
 
 
 COPY_ORDER = "_copy_order"

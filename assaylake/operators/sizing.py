@@ -1,10 +1,12 @@
-"""Size checks before a side is broadcast, and ranking that splits large groups."""
+"""Size checks before a broadcast, and running computations that split large groups."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import stored
 
 BROADCAST_ROWS = 200_000
 
@@ -21,31 +23,61 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[Da
     return F.broadcast(df), rows
 
 
-def row_number_in_pieces(
-    df: DataFrame, keys: Sequence[str], piece: Column, order: Sequence[Column], name: str
-) -> DataFrame:
-    """``row_number`` per key for groups of any size.
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Cut a frame into even ranges of (keys, order), numbered ``_piece``, and store it.
+
+    Ranges split a key with very many rows; ``order`` should be total within a key. The result is
+    checkpointed because several passes have to see the same ranges.
+    """
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    return stored(ranged.withColumn("_piece", F.spark_partition_id()))
+
+
+def row_number_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``row_number`` per key, ascending, for keys of any size.
 
-    ``piece`` is the leading sort value made coarse (the hour of a timestamp, say); it must rise
-    with ``order``. Rows are numbered inside (key, piece); the pre-aggregated piece sizes give each
-    piece its start. Only the sizes are ever gathered per key.
+    Rows are numbered inside (key, range); the counts per range, at most one row per key and range,
+    give each range its start.
     """
     keys = list(keys)
-    cut = df.withColumn("_piece", piece)
+    cut = in_ranges(df, keys, order)
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first())
-    starts = sizes.select(
-        *[F.col(k).alias("_s_" + k) for k in keys],
-        F.col("_piece").alias("_s_piece"),
-        (F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_start"),
-    )
-    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = cut.withColumn("_in_piece", F.row_number().over(inside))
-    same = F.col("_piece").eqNullSafe(F.col("_s_piece"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("_s_" + k))
     return (
-        numbered.join(starts, same, "inner")
+        join_nullable(numbered, starts, [*keys, "_piece"])
         .withColumn(name, (F.col("_in_piece") + F.col("_start")).cast("int"))
         .select(*df.columns, name)
     )
+
+
+def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Replace each field by its last given value up to every row of a key, for keys of any size.
+
+    Values run inside (key, range); the last value of each range is aggregated and carried on.
+    """
+    keys, order = list(keys), list(order)
+    cut = in_ranges(df, keys, order)
+    place = F.struct(*order)
+    ends = cut.groupBy(*keys, "_piece").agg(
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias("_end_" + f) for f in fields]
+    )
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(
+        *keys, "_piece", *[F.last("_end_" + f, ignorenulls=True).over(before).alias("_start_" + f) for f in fields]
+    )
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    run = cut.withColumns({"_run_" + f: F.last(f, ignorenulls=True).over(inside) for f in fields})
+    return join_nullable(run, starts, [*keys, "_piece"]).select(
+        *[c for c in df.columns if c not in fields],
+        *[F.coalesce("_run_" + f, "_start_" + f).alias(f) for f in fields],
+    )
+
+
+def join_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys match each other; the right keys are dropped."""
+    renamed = right.withColumnsRenamed({k: "_right_" + k for k in keys})
+    same = [F.col(k).eqNullSafe(F.col("_right_" + k)) for k in keys]
+    return left.join(renamed, same, "inner").drop(*["_right_" + k for k in keys])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Hashes cover timestamp text, so every session has to render timestamps in UTC.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
@@ -26,3 +28,22 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's shared checkpoint folder, when one is configured."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and go on from there.
+
+    Unlike a cached frame it survives lost executors. Only a local session, whose one machine is
+    the whole cluster, may do without a configured folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = checkpoint_dir(spark)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="assaylake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

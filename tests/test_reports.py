@@ -122,6 +122,26 @@ def test_long_lists_are_counted_out(spark, make_events, ranges):
     assert "contains 60 result(s), including 50 abnormal result(s), 10 normal" in row.a and "Question: why?" in row.a
 
 
+def test_texts_of_large_cases_equal_those_of_listed_ones(spark, make_events, ranges):
+    values = {0: "1", 1: "7", 2: "yellow"}
+    results = silver.silver_lab_results(make_events(*[
+        {"event_id": f"E{i}", "result_id": f"R{i:03}", "value": values[i % 3], "order_id": f"ORD-{i % 2}"} for i in range(300)
+    ]), ranges).cache()
+    report, versions, _ = frames(spark, gold.gold_report_context(results), "h")
+    listed = gold.gold_report_context(results)
+    split = gold.gold_report_context(results, hot=gold.hot_cases(results, limit=100))
+    assert split.filter("results is null").count() == 2
+    wanted, got = (
+        reports.generate_drafts(c, report, versions, F.lit(T3), flat_results=f).select("order_id", "report_text")
+        for c, f in ((listed, None), (split, gold.case_results(results)))
+    )
+    assert wanted.exceptAll(got).isEmpty() and got.filter("report_text is null").isEmpty()
+    assert reports.generate_drafts(split, report, versions, F.lit(T3)).filter("report_text is not null").isEmpty()
+    excerpt = gold.with_excerpts(split, gold.case_results(results))
+    for text in (texts.context_text, lambda **k: texts.chat_answer(F.lit("q"), **k)):
+        assert listed.select("order_id", text()).exceptAll(excerpt.select("order_id", text(partial=True))).isEmpty()
+
+
 def test_prompt_line(context):
     text = context.filter("specimen_id = 'SPC-2'").select(texts.context_text().alias("t")).first().t
     assert text.splitlines()[9:] == [
@@ -161,7 +181,7 @@ def test_numbers_in_pieces_equal_plain_numbers(spark):
         F.when(F.col("id") % 50 != 0, F.timestamp_seconds(F.col("id") * 700 % 90000)).alias("at"),
         "id",
     )
-    numbered = row_number_in_pieces(rows, ["report_id"], F.date_trunc("hour", "at"), [F.col("at"), F.col("id")], "n")
+    numbered = row_number_in_pieces(rows, ["report_id"], ["at", "id"], "n")
     expected = rows.selectExpr("*", "row_number() over (partition by report_id order by at, id) as n")
     assert numbered.exceptAll(expected).isEmpty() and numbered.count() == 500
 
