@@ -91,29 +91,33 @@ def _nested_context(latest: DataFrame, generated_at: Column | None) -> DataFrame
     ).select(*CONTEXT_COLUMNS)
 
 
-def _hash_sorted_batches(batches):
-    """Content hash per case over sorted (keys, one result as JSON) rows, one state at a time."""
-    current, digest = None, None
-    for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
-        done = []
-        for patient, order, specimen, item in rows:
-            key = (patient, order, specimen)
-            if key != current:
-                if current is not None:
-                    digest.update(b"]")
-                    done.append((*current, digest.hexdigest()))
-                current, digest = key, hashlib.sha256("|".join(key).encode() + b"|[")
-            else:
-                digest.update(b",")
-            digest.update(item.encode())
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=[*CASE_KEYS, "context_hash"])
-    if current is not None:
-        digest.update(b"]")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v]) for v in (*current, digest.hexdigest())], names=[*CASE_KEYS, "context_hash"]
-        )
+def _case_hasher():
+    """A function hashing sorted (keys, one result as JSON) rows per case, one state at a time.
+
+    It is made here so that it travels to the workers by value.
+    """
+    names = [*CASE_KEYS, "context_hash"]
+
+    def hash_cases(batches):
+        current, digest = None, None
+        for batch in batches:
+            done = []
+            for *key, item in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != current:
+                    if current is not None:
+                        digest.update(b"]")
+                        done.append([*current, digest.hexdigest()])
+                    current, digest = key, hashlib.sha256("|".join(key).encode() + b"|[")
+                else:
+                    digest.update(b",")
+                digest.update(item.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=names)
+        if current is not None:
+            digest.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*current, digest.hexdigest())], names=names)
+
+    return hash_cases
 
 
 def large_case_context(latest: DataFrame, generated_at: Column | None = None) -> DataFrame:
@@ -132,7 +136,7 @@ def large_case_context(latest: DataFrame, generated_at: Column | None = None) ->
         .select(*CASE_KEYS, "item")
     )
     hashes = lines.mapInArrow(
-        _hash_sorted_batches, "patient_id string, order_id string, specimen_id string, context_hash string"
+        _case_hasher(), "patient_id string, order_id string, specimen_id string, context_hash string"
     )
     list_type = _nested_context(latest, generated_at).schema["results"].dataType
     return (
@@ -165,14 +169,13 @@ def gold_report_context(
 ) -> DataFrame:
     """One row per (patient, order, specimen): counts, span, ordered results, status, hash.
 
-    ``hot`` (from :func:`hot_cases`) names cases too large for one row; they go through
-    :func:`large_case_context`. Its size is checked first, and with none the plan is the plain
-    aggregation.
+    Cases too large for one row go through :func:`large_case_context`. They are looked for in
+    ``silver``, or given as ``hot`` when they were already found in a cheaper place, such as the
+    raw events or the written layer. Their number is checked first; with none, the plan is the
+    plain aggregation.
     """
     latest = _latest(silver)
-    if hot is None:
-        return _nested_context(latest, generated_at)
-    keys, rows = checked_broadcast(hot)
+    keys, rows = checked_broadcast(hot_cases(latest) if hot is None else hot)
     if rows == 0:
         return _nested_context(latest, generated_at)
     small = latest.join(keys, CASE_KEYS, "left_anti")

@@ -52,10 +52,11 @@ def silver_rejects(events: DataFrame, *, include_validated: bool = False) -> Dat
 
 def accepted_events(events: DataFrame, *, include_validated: bool = False) -> DataFrame:
     """Typed events of an accepted type with all case keys, ready for the two reductions."""
-    typed = typed_events(events).filter(F.col("event_type").isin(*accepted_types(include_validated)))
+    accepted = F.col("event_type").isin(*accepted_types(include_validated))
     for key in CASE_KEYS:
-        typed = typed.filter(F.length(F.trim(F.col(key))) > 0)
-    return with_copy_order(typed)
+        # The null test alone reaches the file scan.
+        accepted = accepted & F.col(key).isNotNull() & (F.length(F.trim(F.col(key))) > 0)
+    return with_copy_order(typed_events(events).filter(accepted))
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
@@ -115,12 +116,13 @@ def with_values(rows: DataFrame) -> DataFrame:
 def with_flags(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Set ``abnormal_flag`` from the range of the LOINC code, or of the test code without one.
 
-    An empty LOINC code does not fall back. ``ranges`` comes from
-    :func:`assaylake.sources.ranges.range_table`, which bounds its size for the broadcast.
+    An empty LOINC code does not fall back. A table from
+    :func:`assaylake.sources.ranges.range_table` has a known size, so Spark broadcasts it by itself
+    as long as it is small.
     """
     bounds = ranges.select(F.col("code").alias("_code"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     code = F.coalesce(F.col("loinc_code"), F.col("test_code"))
-    joined = rows.join(F.broadcast(bounds), code == F.col("_code"), "left")
+    joined = rows.join(bounds, code == F.col("_code"), "left")
     flag = values.range_flag(F.col("value_numeric"), F.col("_code").isNotNull(), F.col("_low"), F.col("_high"))
     return joined.withColumn("abnormal_flag", flag).drop("_code", "_low", "_high")
 

@@ -10,14 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed_values as fv
 
-MAX_RANGES = 100_000  # keeps the dimension small enough to broadcast
-
 
 def range_table(spark: SparkSession, rows=fv.REFERENCE_RANGES) -> DataFrame:
-    """Ranges as a frame ``code, name, low, high, unit``; refuses more rows than it may broadcast."""
-    rows = list(rows)
-    if len(rows) > MAX_RANGES:
-        raise ValueError(f"{len(rows)} reference ranges; at most {MAX_RANGES} are supported")
+    """Ranges as a local table ``code, name, low, high, unit``, whose size the planner knows."""
     names = ["code", "name", "low", "high", "unit"]
     kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
     columns = list(zip(*rows)) or [()] * len(names)

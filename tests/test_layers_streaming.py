@@ -1,11 +1,10 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from assaylake.operators import events, gold, reports, silver
+from assaylake.operators import events, gold, reports
 from assaylake.plans.layers import run_layers
-from assaylake.schemas import CASE_KEYS, EVENT_COLUMNS
+from assaylake.schemas import EVENT_COLUMNS
 from assaylake.sources import event_log, layers
 from assaylake.sources.ranges import load_ranges
 from assaylake.streaming import jobs
