@@ -113,3 +113,22 @@ def results_table(rows: DataFrame) -> DataFrame:
         shown("validation_status", "UNKNOWN").alias("status"),
         F.coalesce(values.iso_text(F.col("result_datetime").cast("timestamp")), F.lit("")).alias("result_datetime"),
     )
+
+
+def case_json(context: DataFrame) -> DataFrame:
+    """Every case as one JSON text: ISO times, no NaN, nulls written."""
+
+    def safe(col: Column, kind: str) -> Column:
+        if kind == "timestamp":
+            return values.iso_text(col)
+        return F.when(~F.isnan(col), col) if kind in ("double", "float") else col
+
+    fields = context.schema["results"].dataType.elementType.fields
+    results = F.transform(
+        "results", lambda r: F.struct(*[safe(r[f.name], f.dataType.typeName()).alias(f.name) for f in fields])
+    )
+    columns = [
+        (results if f.name == "results" else safe(F.col(f.name), f.dataType.typeName())).alias(f.name)
+        for f in context.schema.fields
+    ]
+    return context.select(*CASE_KEYS, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("case_json"))

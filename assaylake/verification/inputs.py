@@ -54,17 +54,20 @@ def lab_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _silver_of(lab: DataFrame) -> DataFrame:
+    at = F.lit(DAY_ONE).cast("timestamp")
+    return silver.silver_lab_results(lab, ranges.range_table(lab.sparkSession), cleaned_at=at)
+
+
 def lab_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.silver_lab_results(
-        lab_events(spark, sf_dir), ranges.range_table(spark), cleaned_at=F.lit(DAY_ONE).cast("timestamp")
-    )
+    return _silver_of(lab_events(spark, sf_dir))
 
 
 def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case contexts; cases too large for one row are looked for in the raw events first."""
-    hot = gold.hot_cases(lab_events(spark, sf_dir))
+    lab = lab_events(spark, sf_dir)
     return gold.gold_report_context(
-        lab_silver(spark, sf_dir), hot=hot, generated_at=F.lit(DAY_ONE).cast("timestamp")
+        _silver_of(lab), hot=gold.hot_cases(lab), generated_at=F.lit(DAY_ONE).cast("timestamp")
     )
 
 

@@ -137,6 +137,29 @@ def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.results_table(gold.case_results(inputs.lab_silver(spark, sf_dir)))
 
 
+def _json_fields(*columns: str, times: tuple[str, ...] = ()) -> str:
+    parts = []
+    for c in columns:
+        value = ISO.format(c) if c in times else c
+        parts.append(f"""'"{c}":' || coalesce(to_json({value}), 'null')""")
+    return " || ',' || ".join(parts)
+
+
+@register(
+    "case_json",
+    GOLD_CTE
+    + f""", lists as (
+      select {KEYS}, '[' || string_agg('{{' || {_json_fields(*gold.RESULT_FIELDS, times=("result_datetime", "modified_at"))}
+        || '}}', ',' order by result_id) || ']' as results_json from silver group by all)
+    select {KEYS}, '{{' || {_json_fields(*gold.CONTEXT_COLUMNS[:9], times=("first_result_datetime", "last_result_datetime"))}
+      || ',"validation_status_summary":' || to_json(validation_status_summary) || ',"results":' || results_json
+      || ',' || {_json_fields("status", "context_hash")} || '}}' as case_json
+    from gold join lists using ({KEYS})""",
+)
+def case_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.case_json(inputs.lab_gold(spark, sf_dir).drop("generated_at"))
+
+
 # --- Texts -----------------------------------------------------------------------------------
 
 RANKED = """, ranked as (

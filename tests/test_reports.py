@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -164,6 +165,13 @@ def test_lookup_and_search(spark, context):
     assert cases.next_ready_case(context).first().specimen_id == "SPC-1"
 
 
+def test_case_json_has_no_nan(spark, context):
+    broken = context.withColumn("results", F.transform("results", lambda r: r.withField("value_numeric", F.lit(float("nan")))))
+    case = json.loads(cases.case_json(broken).filter("specimen_id = 'SPC-1'").first().case_json)
+    assert case["results"][0]["value_numeric"] is None and case["results"][0]["reference_range"] is None
+    assert case["results"][0]["modified_at"] == "2026-01-01T00:00:00" and case["results_count"] == 2
+
+
 def test_response_gate(spark):
     rows = [("remote_medgemma", True, "m", "t"), (None, True, "m", "t"), ("remote_medgemma", None, "m", "t"),
             ("remote_medgemma", True, "", "t"), ("remote_medgemma", True, "m", None), ("other", False, None, None)]
