@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import fixed_values as fv
 from ..operators import bus, events, gold, silver
 from ..schemas import CASE_KEYS, EVENT_COLUMNS
 from ..sources import ranges
@@ -77,7 +78,7 @@ def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lab events as a valid, typed log."""
     sourced = lab_events(spark, sf_dir).withColumns(
-        {"source_system": F.lit("GLIMS_SIM"), "origin_source": F.lit("SYNTHEA")}
+        {"source_system": F.lit(fv.SOURCE_SYSTEM), "origin_source": F.lit(fv.ORIGIN_SOURCE)}
     )
     return events.event_log(sourced)
 
@@ -85,7 +86,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lab events with all 18 text columns and their arrival number."""
     return lab_events(spark, sf_dir).withColumns(
-        {"source_system": F.lit("GLIMS_SIM"), "origin_source": F.lit("SYNTHEA")}
+        {"source_system": F.lit(fv.SOURCE_SYSTEM), "origin_source": F.lit(fv.ORIGIN_SOURCE)}
     ).select(*EVENT_COLUMNS, "seq")
 
 
@@ -163,7 +164,7 @@ def versions(cases: DataFrame) -> DataFrame:
         .otherwise(F.col("context_hash"))
         .alias("source_context_hash"),
         F.concat(F.lit("text of "), "report_id", F.lit(" v"), F.col("version_number")).alias("report_text"),
-        F.when(F.col("n") % 2 == 0, "mock_medgemma").otherwise("remote_medgemma:model-a").alias("model_name"),
+        F.when(F.col("n") % 2 == 0, fv.TEMPLATE_PROVIDER).otherwise(fv.REMOTE_PROVIDER + ":model-a").alias("model_name"),
         _at(2, F.col("version_number"), F.col("n")).alias("created_at"),
     )
 
@@ -234,7 +235,7 @@ def responses(cases: DataFrame) -> DataFrame:
     n = F.col("n")
     return with_scenario(cases).select(
         "report_id",
-        F.when(n == 0, "other").otherwise("remote_medgemma").alias("provider"),
+        F.when(n == 0, "other").otherwise(fv.REMOTE_PROVIDER).alias("provider"),
         (n != 4).alias("is_real_llm"),
         F.when(n != 8, "model-a").alias("model_name"),
         F.when(n == 10, "").otherwise(F.concat(F.lit("text of "), "report_id")).alias("report_text"),
