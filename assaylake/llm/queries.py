@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_counts
 from .shared import prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -42,3 +42,15 @@ def op1(spark, sf_dir):
 )
 def op3(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op2_bpe_encode_decode")
+def op2(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.digests(bpe.decode(encoded, path))
+
+
+@register("op5_token_counts")
+def op5(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
