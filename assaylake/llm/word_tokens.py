@@ -15,11 +15,12 @@ from tokenizers import Tokenizer
 
 from .pretokens import WHITE_SPACE, text_windows
 
-CACHED = 300_000
+CACHED = 350_000  # pieces of a generation
 CACHED_LENGTH = 64
 BATCH = 2 << 20  # characters whose new pieces go to the library together
 
 _PIECE = re.compile(f"[^{WHITE_SPACE}]+")
+_PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"  # of ASCII, without the characters of contractions and special tokens
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, but not in Unicode
 
 
@@ -29,9 +30,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        if self.library.get_vocab_size() > 1 << 16:
+        vocabulary = self.library.get_vocab()
+        if len(vocabulary) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.ends_word = np.zeros(1 << 16, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Two generations: what was not used since the last change is forgotten at the next one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, two bytes each; null counts as empty."""
@@ -48,17 +54,64 @@ class WordEncoder:
         return [b"".join(parts) for parts in made]
 
     def _add(self, made: list[list[bytes]], waiting: list[tuple[int, str]]) -> None:
-        pieces = [(row, _PIECE.findall(part) if _SEPARATORS.search(part) else part.split()) for row, part in waiting]
-        known = self.known
-        fresh = list({p for _, found in pieces for p in found if p not in known})
-        if len(known) + len(fresh) > CACHED:
-            known.clear()
-            fresh = list({p for _, found in pieces for p in found})
-        encoded = self.library.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
-        new = {p: np.array(e.ids, dtype="<u2").tobytes() for p, e in zip(fresh, encoded, strict=True)}
-        known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_LENGTH)
-        for row, found in pieces:
-            made[row].append(b"".join([new[p] if p in new else known[p] for p in found]))
+        known, gaps, fresh = self.known.get, [], set()
+        for row, part in waiting:
+            found = _PIECE.findall(part) if _SEPARATORS.search(part) else part.split()
+            ids = list(map(known, found))
+            if None not in ids:
+                made[row].append(b"".join(ids))
+                continue
+            places, i = [], -1
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i + 1)
+                places.append(i)
+            missing = [found[i] for i in places]
+            fresh.update(missing)
+            gaps.append((len(made[row]), row, ids, places, missing))
+            made[row].append(b"")
+        new = {piece: self.older[piece] for piece in fresh if piece in self.older}
+        new |= self._pieces([piece for piece in fresh if piece not in new])
+        for place, row, ids, places, missing in gaps:
+            for i, piece in zip(places, missing, strict=True):
+                ids[i] = new[piece]
+            made[row][place] = b"".join(ids)
+        self._remember({piece: ids for piece, ids in new.items() if len(piece) <= CACHED_LENGTH})
+
+    def _remember(self, new: dict[str, bytes]) -> None:
+        if len(self.known) + len(new) > CACHED:
+            self.older, self.known = self.known, {}
+        self.known |= new
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces. Words with punctuation behind them are looked up as two pieces."""
+        plain, parts, others = set(), {}, []
+        for piece in pieces:
+            word = piece.rstrip(_PUNCTUATION)
+            if word.isalpha() and word.isascii():
+                parts[piece] = (word.lower(), piece[len(word) :])
+                plain.add(parts[piece][0])
+            else:
+                others.append(piece)
+        ends = {end for _, end in parts.values() if end}
+        found = {x: self.known.get(x) or self.older.get(x) for x in plain | ends}
+        words = [x for x in plain if found[x] is None]
+        found |= zip(words, self._words(words), strict=True)
+        others += [x for x in ends if found[x] is None]
+        encoded = self.library.encode_batch_fast(others, add_special_tokens=False) if others else []
+        found |= {x: np.array(e.ids, dtype="<u2").tobytes() for x, e in zip(others, encoded, strict=True)}
+        self._remember({x: found[x] for x in [*words, *ends]})
+        return found | {piece: found[word] + (found[end] if end else b"") for piece, (word, end) in parts.items()}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, all in one call; a token that ends a word parts them."""
+        if not words:
+            return []
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        data = ids.tobytes()
+        return [data[2 * a : 2 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
