@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, simhash, token_counts
+from . import bpe, exact_dedup, packing, simhash, token_counts, token_files
 from .shared import prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -54,3 +54,13 @@ def op2(spark, sf_dir):
 @register("op5_token_counts")
 def op5(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op4_bit_plane_token_files")
+def op4(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
