@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, packing, simhash, token_counts, token_files
+from . import bpe, exact_dedup, packing, simhash, token_counts, token_files, topk
 from .shared import prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +64,23 @@ def op4(spark, sf_dir):
 @register("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register(
+    "op9_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id, score
+    FROM s QUALIFY rank <= 5
+    """,
+)
+def op9(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
