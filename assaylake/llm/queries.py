@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, token_counts, token_files, topk
+from . import bpe, exact_dedup, packing, simhash, suffix_dedup, token_counts, token_files, topk
 from .shared import prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -84,3 +85,15 @@ def op7(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
