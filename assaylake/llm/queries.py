@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, suffix_dedup, token_counts, token_files, topk
+from . import bpe, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_files, topk
 from .shared import prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +97,8 @@ def op10(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@register("op6_importance_resampling")
+def op6(spark, sf_dir):
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
