@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_files, topk
-from .shared import prepare, table
+from . import bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_files, topk
+from .shared import cut, prepare, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -102,3 +102,20 @@ def op10(spark, sf_dir):
 @register("op6_importance_resampling")
 def op6(spark, sf_dir):
     return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_chat_transcripts")
+def op8(spark, sf_dir):
+    known = cut(chat.transcripts(table(spark, sf_dir, "conversations")))
+    # Fitted on the transcripts of half of the conversations; the other half is held out.
+    model = chat.fit(known.where("xxhash64(conv_id, 1) % 2 = 0").select("known"))
+    found = chat.formatted(known, model, ["conv_id", "part", "known"])
+    return found.select(
+        "conv_id",
+        "part",
+        F.size("turns").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda x: x["role"]), " ").alias("roles"),
+        chat.same_roles(F.col("turns"), F.col("known")).alias("recovered"),
+        (F.expr("xxhash64(conv_id, 1) % 2") != 0).alias("held_out"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
