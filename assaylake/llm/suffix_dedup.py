@@ -31,9 +31,11 @@ from .suffix_arrays import binary_search, merged, repeated_grams
 
 SIZE = 50  # bytes of a window
 PART = 16  # bytes of the strings that name it
+STEP = 1 << 16  # bytes that are scanned at once
 RUN = 64  # windows of a segment at most
 BLOCK = 4 << 20  # bytes of text in a block
-SHARD = 1 << 20  # bytes of the segments under one suffix array
+SHARD = 2 << 20  # bytes of the segments of a shard
+ARRAY = 1 << 20  # bytes under one suffix array
 ANCHORS = 1 << 20  # minimizers that one bucket compares
 HOT = 20_000  # segments of a minimizer above which windows are dealt by content
 NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
@@ -55,7 +57,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, block: int = BLOCK) -> Dat
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema.remove(place)) as stream:
                 stream.write_batch(pa.RecordBatch.from_arrays([c for i, c in enumerate(rows.columns) if i != place], schema=rows.schema.remove(place)))
-            pack = zstandard.ZstdCompressor(level=1).compress
+            pack = zstandard.ZstdCompressor(level=5).compress
             sizes = np.array([len(t) for t in texts], dtype=np.int64).tobytes()
             values = [base + number, ids.to_pylist(), [hashlib.sha256(t).digest() for t in texts], sizes, pack(b"".join(texts)), pack(sink.getvalue().to_pybytes())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
@@ -90,8 +92,8 @@ class Block:
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, number of windows, minimizer (48 bits) and document of each segment, in text order."""
         found = []
-        for start in range(0, len(self.raw), BLOCK):  # bounded steps, also for one very long text
-            part = self.raw[start : start + BLOCK + SIZE - 1]
+        for start in range(0, len(self.raw), STEP):  # steps that stay in the processor's cache
+            part = self.raw[start : start + STEP + SIZE - 1]
             if len(part) >= SIZE:
                 found.append(self._segments(part, start))
         if not found:
@@ -99,15 +101,13 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _segments(self, part: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
-        hashes = part.astype(np.uint64) + np.uint64(1)
-        width = 1
-        while width < PART:  # doubling: the hash of two neighbours from the hashes of both
-            left, right = hashes[:-width], hashes[width:]
-            hashes = left * _MIX[0] + right
-            hashes ^= hashes >> np.uint64(29)
-            hashes *= _MIX[1]
-            hashes ^= hashes >> np.uint64(32)
-            width *= 2
+        words = np.ndarray(len(part) - 7, dtype="<u8", buffer=part, strides=(1,))  # the eight bytes at every place
+        hashes = words[:-8] * _MIX[0]
+        hashes ^= hashes >> np.uint64(32)
+        hashes += words[8:]
+        hashes *= _MIX[1]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= _MIX[0]
         hashes >>= np.uint64(16)
         least, width, count = hashes, 1, SIZE - PART + 1
         while width * 2 <= count:
@@ -195,6 +195,7 @@ class Cut:
     """The segments of a block that may repeat, dealt to shards; equal segments of a shard count once."""
 
     def __init__(self, block: Block, ids: np.ndarray, copies: np.ndarray, shared: list[bytes], shards: int):
+        """``copies`` marks documents that equal an earlier one: they are removed anyway."""
         known = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, 7) for x in shared]) if shared else np.zeros((0, 7), dtype=np.uint8)
         names, hot = _from_six(known[:, :6]), known[:, 6] > 0
         order = np.argsort(names)
@@ -213,23 +214,27 @@ class Cut:
             lengths = np.concatenate([lengths[~very], np.ones(len(single), dtype=np.int64)])
             content = [int.from_bytes(hashlib.blake2b(block.data[s : s + SIZE], digest_size=6).digest(), "little") for s in single.tolist()]
             name = np.concatenate([name[~very], np.array(content, dtype=np.uint64)])
-        self.starts, self.lengths, self.document, self.ids = starts, lengths, document, ids[document]
-        self.shard = (name % np.uint64(shards)).astype(np.int64)
-        self.segment = np.zeros(len(starts), dtype=np.int64)  # number among the distinct ones of its shard
-        self.parts: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
-        numbers: dict[tuple[int, bytes], int] = {}
-        rows = zip(self.shard.tolist(), starts.tolist(), (starts + lengths + SIZE - 1).tolist(), self.ids.tolist(), strict=True)
-        for i, (shard, start, stop, doc_id) in enumerate(rows):
-            segments, least, most = self.parts.setdefault(shard, ([], [], []))
-            text = block.data[start:stop]
-            number = numbers.setdefault((shard, text), len(segments))
-            if number == len(segments):
-                segments.append(text)
-                least.append(doc_id)
-                most.append(doc_id)
-            else:
-                least[number], most[number] = min(least[number], doc_id), max(most[number], doc_id)
-            self.segment[i] = number
+        self.starts, self.lengths, self.ids = starts, lengths, ids[document]
+        shard = (name % np.uint64(shards)).astype(np.int64)
+        # Equal segments have the same minimizer, and so the same shard.
+        data, numbers = block.data, {}
+        number = numbers.setdefault
+        segment = np.array([number(data[a:b], len(numbers)) for a, b in zip(starts.tolist(), (starts + lengths + SIZE - 1).tolist(), strict=True)], dtype=np.int64)
+        texts = list(numbers)
+        order = np.argsort(segment, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], segment[order][1:] != segment[order][:-1]))) if len(order) else order
+        least = np.minimum.reduceat(self.ids[order], heads) if len(order) else self.ids
+        most = np.maximum.reduceat(self.ids[order], heads) if len(order) else self.ids
+        of_text = shard[order[heads]]
+        dealt = np.argsort(of_text, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], of_text[dealt][1:] != of_text[dealt][:-1]))) if len(dealt) else dealt
+        place = np.empty(len(texts), dtype=np.int64)  # number of a segment among those of its shard
+        self.parts: list[tuple[int, list[bytes], np.ndarray, np.ndarray]] = []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(dealt)], strict=False):
+            mine = dealt[a:b]
+            place[mine] = np.arange(b - a)
+            self.parts.append((int(of_text[mine[0]]), [texts[i] for i in mine.tolist()], least[mine], most[mine]))
+        self.shard, self.segment = shard, place[segment] if len(segment) else segment
 
 
 def _cut(row: dict, shards: int) -> tuple[Block, np.ndarray, np.ndarray, Cut]:
@@ -244,45 +249,53 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _packed(texts: list[bytes], least: np.ndarray, most: np.ndarray) -> bytes:
+    """Segments with their smallest and largest ids; ids byte by byte, so that they compress well."""
+    lengths = np.array([len(t) for t in texts], dtype="<u2")
+    ids = np.stack([least, most - least]).astype("<i8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)
+    return len(texts).to_bytes(4, "little") + lengths.tobytes() + np.ascontiguousarray(ids).tobytes() + b"".join(texts)
+
+
+def _unpacked(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    count = int.from_bytes(data[:4], "little")
+    lengths = np.frombuffer(data, dtype="<u2", count=count, offset=4)
+    ids = np.frombuffer(data, dtype=np.uint8, count=16 * count, offset=4 + 2 * count).reshape(2, 8, count)
+    least, more = np.ascontiguousarray(ids.transpose(0, 2, 1)).view("<i8").reshape(2, count)
+    ends = np.cumsum(lengths.astype(np.int64)) + 4 + 18 * count
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], least, least + more
+
+
 def segments(stored: DataFrame, shards: int) -> DataFrame:
-    """``shard, block, texts, lengths, least, most``: the distinct segments of each block for each shard."""
+    """``shard, block, segments``: the distinct segments of each block for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for row in _rows(batch):
                 _, _, _, found = _cut(row, shards)
-                out = [
-                    (shard, row["block"], pack(b"".join(texts)), np.array([len(t) for t in texts], dtype=np.uint16).tobytes(), np.array(least, dtype=np.int64).tobytes(), np.array(most, dtype=np.int64).tobytes())
-                    for shard, (texts, least, most) in found.parts.items()
-                ]
+                out = [(shard, row["block"], pack(_packed(texts, least, most))) for shard, texts, least, most in found.parts]
                 if out:
-                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "block", "texts", "lengths", "least", "most"])
+                    kinds = (pa.int32(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "block", "segments"])
 
-    columns = stored.select("block", "ids", "sizes", "texts", "shared", "copies")
-    return columns.mapInArrow(run, "shard int, block long, texts binary, lengths binary, least binary, most binary")
+    return stored.mapInArrow(run, "shard int, block long, segments binary")
 
 
 def _resolve(limit: int):
     """Smallest document of every window of a shard, told to the blocks that hold larger ones."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        unpack, numbers, ids, texts, sources = zstandard.ZstdDecompressor().decompress, {}, [], [], []
-        for row in (r for batch in rows.to_batches() for r in _rows(batch)):
-            data, at, mine = unpack(row["texts"]), 0, []
-            least = np.frombuffer(row["least"], dtype=np.int64)
-            for length, doc_id in zip(np.frombuffer(row["lengths"], dtype=np.uint16).tolist(), least.tolist(), strict=True):
-                text, at = data[at : at + length], at + length
-                number = numbers.setdefault(text, len(texts))
-                if number == len(texts):
-                    texts.append(text)
-                    ids.append(doc_id)
-                elif doc_id < ids[number]:
-                    ids[number] = doc_id
-                mine.append(number)
-            sources.append((row["block"], np.array(mine, dtype=np.int64), np.frombuffer(row["most"], dtype=np.int64)))
-        ids, sizes = np.array(ids, dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+        unpack, numbers, ids, sources = zstandard.ZstdDecompressor().decompress, {}, [], []
+        for block, data in zip(rows.column("block").to_pylist(), rows.column("segments").to_pylist(), strict=True):
+            texts, least, most = _unpacked(unpack(data))
+            mine = np.array([numbers.setdefault(t, len(numbers)) for t in texts], dtype=np.int64)
+            ids.append((mine, least))
+            sources.append((block, mine, most))
+        texts, smallest_of = list(numbers), np.full(len(numbers), NO_ID, dtype=np.int64)
+        for mine, least in ids:  # a segment occurs once in a block
+            smallest_of[mine] = np.minimum(smallest_of[mine], least)
+        ids = smallest_of
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
         edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1).tolist(), len(texts)]
         runs, all_grams = [], None
         for a, b in zip(edges, edges[1:], strict=False):
@@ -384,8 +397,10 @@ def resolved(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     least = documents.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
     copies = documents.join(least, "digest").where("id > least").groupBy("block").agg(F.collect_list("place").alias("copies"))
     told = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))
-    ready = stored.join(cut(told.join(copies, "block", "full_outer")), "block", "left")
-    answers = segments(ready, shards).groupBy("shard").applyInArrow(_resolve(shard), "block long, shard int, answers binary")
+    # Both uses below read the same columns, so that the blocks are shuffled once.
+    columns = stored.select("block", "ids", "sizes", "texts", "others")
+    ready = columns.join(cut(told.join(copies, "block", "full_outer")), "block", "left")
+    answers = segments(ready, shards).groupBy("shard").applyInArrow(_resolve(ARRAY), "block long, shard int, answers binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "answers")).alias("answers"))
     return ready.join(answers, "block", "left"), shards
 
