@@ -15,12 +15,13 @@ from tokenizers import Tokenizer
 
 from .pretokens import WHITE_SPACE, text_windows
 
-CACHED = 350_000  # pieces of a generation
+CACHED = 500_000  # pieces of a generation
 CACHED_LENGTH = 64
 BATCH = 2 << 20  # characters whose new pieces go to the library together
 
 _PIECE = re.compile(f"[^{WHITE_SPACE}]+")
 _PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"  # of ASCII, without the characters of contractions and special tokens
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # letters that normal forms and lower case treat one by one
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, but not in Unicode
 
 
@@ -87,7 +88,7 @@ class WordEncoder:
         plain, parts, others = set(), {}, []
         for piece in pieces:
             word = piece.rstrip(_PUNCTUATION)
-            if word.isalpha() and word.isascii():
+            if _WORD(word):
                 parts[piece] = (word.lower(), piece[len(word) :])
                 plain.add(parts[piece][0])
             else:
@@ -103,7 +104,7 @@ class WordEncoder:
         return found | {piece: found[word] + (found[end] if end else b"") for piece, (word, end) in parts.items()}
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of ASCII letters, all in one call; a token that ends a word parts them."""
+        """Ids of words of Latin letters, all in one call; a token that ends a word parts them."""
         if not words:
             return []
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
