@@ -155,6 +155,7 @@ MSG_FINAL_REJECTED = "Rejected reports cannot generate official final PDFs."
 MSG_FINAL_OTHER = "Only BIOLOGIST_VALIDATED reports can generate official final PDFs."
 MSG_DRAFT_BLOCKED = "Rejected or outdated reports cannot generate draft PDFs."
 MSG_CASE_MISSING = "Gold context case not found for patient_id=%s, order_id=%s, specimen_id=%s"
+MSG_REPORT_MISSING = "Report not found: %s"
 MSG_CASE_AMBIGUOUS = "Multiple specimens found for patient/order. Provide specimen_id."
 MSG_WRONG_PROVIDER = "Remote provider mismatch: expected remote_medgemma."
 MSG_NOT_REAL = "Remote MedGemma response did not include is_real_llm=true."

@@ -70,18 +70,10 @@ PROMPT_HEADERS = [
 ]
 
 
-def _total(list_size: Column, count: str, partial: bool) -> Column:
-    """How many results there are: the list tells, unless it is an excerpt."""
-    return F.col(count) if partial else list_size
-
-
-def context_text(max_results: int = fv.PROMPT_RESULT_LINES, *, partial: bool = False) -> Column:
-    """A case as compact prompt text: nine header lines, then one line per result.
-
-    ``partial`` says that ``results`` is an excerpt (see ``with_excerpts``).
-    """
+def context_text(max_results: int = fv.PROMPT_RESULT_LINES) -> Column:
+    """A case as compact prompt text: nine header lines, then one line per result."""
     results = F.col("results")
-    more = _total(F.size(results), "results_count", partial) - max_results
+    more = F.size(results) - max_results
     lines = F.concat(
         F.array(*[F.concat(F.lit(h + ": "), _clean(F.col(h))) for h in PROMPT_HEADERS], F.lit("results:")),
         F.transform(F.slice(results, 1, max_results), _prompt_line),
@@ -90,16 +82,16 @@ def context_text(max_results: int = fv.PROMPT_RESULT_LINES, *, partial: bool = F
     return F.array_join(lines, "\n")
 
 
-def report_prompt(*, partial: bool = False) -> Column:
-    return F.concat(F.lit(fv.REPORT_INSTRUCTIONS + "\n\nGold context:\n"), context_text(partial=partial))
+def report_prompt() -> Column:
+    return F.concat(F.lit(fv.REPORT_INSTRUCTIONS + "\n\nGold context:\n"), context_text())
 
 
-def chat_prompt(report_text: Column, question: Column, *, partial: bool = False) -> Column:
+def chat_prompt(report_text: Column, question: Column) -> Column:
     return F.concat(
         F.lit(fv.CHAT_INSTRUCTIONS + "\n\nGenerated report:\n"),
         report_text,
         F.lit("\n\nGold context:\n"),
-        context_text(partial=partial),
+        context_text(),
         F.lit("\n\nQuestion:\n"),
         question,
     )
@@ -109,12 +101,12 @@ def with_flag(*flags: str) -> Column:
     return F.filter("results", lambda r: r["abnormal_flag"].isin(*flags))
 
 
-def flag_split(*, partial: bool = False) -> dict[str, Column]:
+def flag_split() -> dict[str, Column]:
     """How many results of the list carry each kind of flag."""
     return {
-        "abnormal_count": _total(F.size(with_flag(fv.FLAG_HIGH, fv.FLAG_LOW)), "abnormal_results_count", partial),
-        "normal_count": _total(F.size(with_flag(fv.FLAG_NORMAL)), "normal_results_count", partial),
-        "unknown_count": _total(F.size(with_flag(fv.FLAG_UNKNOWN)), "unknown_flag_results_count", partial),
+        "abnormal_count": F.size(with_flag(fv.FLAG_HIGH, fv.FLAG_LOW)),
+        "normal_count": F.size(with_flag(fv.FLAG_NORMAL)),
+        "unknown_count": F.size(with_flag(fv.FLAG_UNKNOWN)),
     }
 
 
@@ -137,9 +129,9 @@ def _draft_line(item: Column) -> Column:
     )
 
 
-def _draft_lines(chosen: Column, limit: int, count: str, partial: bool) -> Column:
+def _draft_lines(chosen: Column, limit: int) -> Column:
     def lines(results: Column) -> Column:
-        more = _total(F.size(results), count, partial) - limit
+        more = F.size(results) - limit
         rest = F.when(more > 0, F.concat(F.lit("\n"), F.format_string(fv.DRAFT_MORE_RESULTS, more))).otherwise("")
         shown = F.array_join(F.transform(F.slice(results, 1, limit), _draft_line), "\n")
         return F.when(F.size(results) == 0, fv.DRAFT_NO_RESULTS).otherwise(F.concat(shown, rest))
@@ -147,9 +139,9 @@ def _draft_lines(chosen: Column, limit: int, count: str, partial: bool) -> Colum
     return bind(chosen, lines)
 
 
-def draft_report(*, partial: bool = False) -> Column:
-    """The template draft of a case, null without a result list."""
-    text = F.format_string(
+def draft_report() -> Column:
+    """The template draft of a case."""
+    return F.format_string(
         fv.DRAFT_TEXT,
         _shown(F.col("patient_id")),
         _shown(F.col("order_id")),
@@ -160,20 +152,15 @@ def draft_report(*, partial: bool = False) -> Column:
         F.col("abnormal_results_count"),
         F.col("normal_results_count"),
         F.col("unknown_flag_results_count"),
-        _draft_lines(
-            with_flag(fv.FLAG_HIGH, fv.FLAG_LOW), fv.DRAFT_ABNORMAL_LINES, "abnormal_results_count", partial
-        ),
-        _draft_lines(with_flag(fv.FLAG_NORMAL), fv.DRAFT_NORMAL_LINES, "normal_results_count", partial),
+        _draft_lines(with_flag(fv.FLAG_HIGH, fv.FLAG_LOW), fv.DRAFT_ABNORMAL_LINES),
+        _draft_lines(with_flag(fv.FLAG_NORMAL), fv.DRAFT_NORMAL_LINES),
     )
-    return F.when(F.col("results").isNotNull(), text)
 
 
-def chat_answer(question: Column, *, partial: bool = False) -> Column:
+def chat_answer(question: Column) -> Column:
     """The template answer of a case to a question."""
-    split = flag_split(partial=partial)
-    return F.format_string(
-        fv.ANSWER_TEXT, question, F.col("results_count"), split["abnormal_count"], split["normal_count"], split["unknown_count"]
-    )
+    counts = ("results_count", "abnormal_results_count", "normal_results_count", "unknown_flag_results_count")
+    return F.format_string(fv.ANSWER_TEXT, question, *[F.col(c) for c in counts])
 
 
 def storage_model_name(provider: Column, model_name: Column) -> Column:

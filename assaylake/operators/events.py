@@ -148,31 +148,6 @@ def append_events(log: DataFrame, new_events: DataFrame) -> DataFrame:
     return log.unionByName(new_events.select(*log.columns))
 
 
-def new_result_events(requests: DataFrame) -> DataFrame:
-    """Events for new results.
-
-    ``requests`` holds event_id, the ids and test columns, value, result_datetime text,
-    modified_at text, and optionally validation_status (default PRELIMINARY).
-    """
-    status = F.lit(None).cast("string") if "validation_status" not in requests.columns else F.col("validation_status")
-    given = requests.withColumns(
-        {c: F.lit(None).cast("string") for c in OPTIONAL_EVENT_COLUMNS if c not in requests.columns}
-    )
-    time_text = F.regexp_replace(
-        F.regexp_replace(values.event_time_text(F.col("result_datetime")), "T", " "), "Z$", "+00:00"
-    )
-    parts = [F.col(c) for c in (*CASE_KEYS, "test_code")]
-    return given.withColumns(
-        {
-            "source_system": F.lit(fv.SOURCE_SYSTEM),
-            "origin_source": F.lit(fv.ORIGIN_SOURCE),
-            "event_type": F.lit(fv.EVENT_CREATED),
-            "validation_status": F.coalesce(status, F.lit("PRELIMINARY")),
-            "result_id": ids.derived_result_id(*parts, time_text),
-        }
-    ).select(*EVENT_COLUMNS)
-
-
 def apply_updates(log: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
     """Events for a set of value changes.
 

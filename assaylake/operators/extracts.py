@@ -65,15 +65,10 @@ def with_observation_ids(rows: DataFrame) -> DataFrame:
     without = rows.filter(own_id.isNull())
     names = [c for c in rows.columns if c not in ("Id", "ID")]
     counted = without.groupBy(*names).agg(F.count("*").alias("_copies"))
-    few = counted.filter(F.col("_copies") <= COPIES_PER_PIECE).withColumn("_from", F.lit(0).cast("long"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES_PER_PIECE).cast("long"))
-    many = (
-        counted.filter(F.col("_copies") > COPIES_PER_PIECE)
-        .withColumn("_from", F.explode(starts))
-        .repartition(F.xxhash64(*names, "_from"))
-    )
+    pieces = counted.withColumn("_from", F.explode(starts)).repartition(F.xxhash64(*names, "_from"))
     last = F.least(F.col("_from") + COPIES_PER_PIECE, F.col("_copies")) - 1
-    copies = few.unionByName(many).withColumn("_copy", F.explode(F.sequence("_from", last)))
+    copies = pieces.withColumn("_copy", F.explode(F.sequence("_from", last)))
     lead = [c for c in ("PATIENT", "ENCOUNTER", "CODE", "DATE") if c in names]
     content = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in [*lead, *sorted(set(names) - set(lead))]]
     hashed = F.sha2(F.concat_ws("|", *content, F.col("_copy").cast("string")), 256)
@@ -83,6 +78,11 @@ def with_observation_ids(rows: DataFrame) -> DataFrame:
 
 def normalized_csv(observations: DataFrame, patients: DataFrame) -> DataFrame:
     """Lab observations of known patients in the internal shape; incomplete rows are left out."""
+    return complete_rows(shaped_csv(observations, patients))
+
+
+def shaped_csv(observations: DataFrame, patients: DataFrame) -> DataFrame:
+    """Lab observations of known patients in the internal shape, incomplete ones too."""
     known = with_observation_ids(known_patient_observations(observations.filter(lab_predicate(observations)), patients))
     code = trimmed(known, "CODE")
     shaped = known.select(
@@ -100,7 +100,7 @@ def normalized_csv(observations: DataFrame, patients: DataFrame) -> DataFrame:
         F.lit("FINAL").alias("validation_status"),
         column_of(known, "DATE").alias("result_datetime"),
     )
-    return complete_rows(shaped)
+    return shaped
 
 
 # --- FHIR ------------------------------------------------------------------------------------
@@ -131,10 +131,18 @@ def lab_resource_predicate() -> Column:
 
 
 def normalized_fhir(resources: DataFrame) -> DataFrame:
-    """Lab observations among FHIR resource rows in the internal shape.
+    """Lab observations among FHIR resource rows in the internal shape; incomplete ones are left out.
 
     ``resources`` has the columns of :data:`assaylake.sources.extracts.FHIR_RESOURCE`.
     """
+    return complete_rows(shaped_fhir(resources))
+
+
+def shaped_fhir(resources: DataFrame) -> DataFrame:
+    """Lab observations among FHIR resource rows in the internal shape, incomplete ones too.
+
+    An empty quantity counts as absent, so the text value is looked at next.
+    """
     labs = resources.filter(lab_resource_predicate())
     loinc = _first_where(F.col("code.coding"), lambda c: c["system"].contains("loinc.org"))
     coding = F.coalesce(loinc, F.get(F.col("code.coding"), F.lit(0)))
@@ -143,8 +151,9 @@ def normalized_fhir(resources: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(coding["display"], F.lit("")), F.nullif(F.col("code.text"), F.lit("")), code)
     )
     quantity = F.col("valueQuantity")
+    given = F.coalesce(quantity["value"], quantity["unit"], quantity["code"]).isNotNull()
     value = (
-        F.when(quantity.isNotNull(), _number_text(quantity["value"]))
+        F.when(given, _number_text(quantity["value"]))
         .when(F.col("valueString").isNotNull(), F.col("valueString"))
         .otherwise(F.col("valueCodeableConcept.text"))
     )
@@ -174,7 +183,7 @@ def normalized_fhir(resources: DataFrame) -> DataFrame:
         F.upper(F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("FINAL"))).alias("validation_status"),
         F.coalesce(F.nullif(F.col("effectiveDateTime"), F.lit("")), F.col("issued")).alias("result_datetime"),
     )
-    return complete_rows(shaped)
+    return shaped
 
 
 # --- Both ------------------------------------------------------------------------------------
@@ -182,21 +191,29 @@ def normalized_fhir(resources: DataFrame) -> DataFrame:
 REQUIRED = ["source_patient_id", "source_observation_id", "test_code", "test_name", "value"]
 
 
+def first_missing() -> Column:
+    """The first required part that a shaped row lacks, or ``result_datetime`` when its date cannot be read."""
+    cases = [(F.coalesce(F.length(name), F.lit(0)) == 0, name) for name in REQUIRED]
+    return values.first_match([*cases, (values.parse_time(F.trim("result_datetime")).isNull(), "result_datetime")], None)
+
+
 def complete_rows(shaped: DataFrame) -> DataFrame:
     """Rows with every required part and a readable date, the date in event form.
 
     The date is tested with one cast; its text is built only for the rows that stay.
     """
-    complete = values.parse_time(F.trim("result_datetime")).isNotNull()
-    for name in REQUIRED:
-        complete = complete & (F.length(name) > 0)
     return (
-        shaped.filter(complete)
+        shaped.filter(first_missing().isNull())
         .withColumn("result_datetime", values.event_time_text(F.col("result_datetime")))
         .select(*NORMALIZED_COLUMNS)
     )
 
 
+def incomplete_rows(shaped: DataFrame) -> DataFrame:
+    """The complement, for the reject feed: rows as they are, with the first missing part."""
+    return shaped.select(*NORMALIZED_COLUMNS, first_missing().alias("missing")).filter("missing is not null")
+
+
 def with_stable_ids(normalized: DataFrame) -> DataFrame:
     """Event, order and specimen ids from the source ids, with fallbacks for missing ones."""
     observation = F.concat(F.lit(fv.OBSERVATION_KEY_PREFIX), F.col("source_observation_id"))

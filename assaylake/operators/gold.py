@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import ids
 from ..schemas import CASE_KEYS, RESULT_FIELDS
-from .silver import first_rows
-from .sizing import checked_broadcast
-
-# Results a case may hold and still be one nested row.
-INLINE_RESULTS = 100_000
 
 
 def _latest(silver: DataFrame) -> DataFrame:
@@ -36,7 +28,7 @@ def case_aggregates() -> list[Column]:
 
 
 def case_summaries(silver: DataFrame) -> DataFrame:
-    """One row per case without its result list: safe for cases of any size."""
+    """One row per case without its result list."""
     return _latest(silver).groupBy(*CASE_KEYS).agg(*case_aggregates())
 
 
@@ -49,16 +41,6 @@ def case_results(silver: DataFrame) -> DataFrame:
     return _latest(silver).select(*CASE_KEYS, *RESULT_FIELDS)
 
 
-def hot_cases(rows: DataFrame, limit: int = INLINE_RESULTS) -> DataFrame:
-    """Keys of cases with more than ``limit`` rows; at most rows / limit keys.
-
-    Counting raw events is enough: a case cannot have more results than events. The counts
-    combine before the shuffle.
-    """
-    counts = rows.groupBy(*CASE_KEYS).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > limit).select(*CASE_KEYS)
-
-
 def _status_and_time(generated_at: Column | None) -> dict[str, Column]:
     return {
         "status": F.when(F.col("results_count") > 0, fv.READY_FOR_AI).otherwise(fv.INCOMPLETE),
@@ -82,8 +64,14 @@ CONTEXT_COLUMNS = [
 ]
 
 
-def _nested_context(latest: DataFrame, generated_at: Column | None) -> DataFrame:
-    grouped = latest.groupBy(*CASE_KEYS).agg(
+def gold_report_context(silver: DataFrame, *, generated_at: Column | None = None) -> DataFrame:
+    """One row per (patient, order, specimen): counts, span, ordered results, status, hash.
+
+    Every case has its whole result list in its row; one that does not fit a row of Spark fails the
+    job. Readers that need counts or the flat list only use :func:`case_summaries` and
+    :func:`case_results`.
+    """
+    grouped = _latest(silver).groupBy(*CASE_KEYS).agg(
         *case_aggregates(), F.array_sort(F.collect_list(F.struct(*RESULT_FIELDS))).alias("results")
     )
     return grouped.withColumns(
@@ -91,98 +79,6 @@ def _nested_context(latest: DataFrame, generated_at: Column | None) -> DataFrame
     ).select(*CONTEXT_COLUMNS)
 
 
-def _case_hasher():
-    """A function hashing sorted (keys, one result as JSON) rows per case, one state at a time.
-
-    It is made here so that it travels to the workers by value.
-    """
-    names = [*CASE_KEYS, "context_hash"]
-
-    def hash_cases(batches):
-        current, digest = None, None
-        for batch in batches:
-            done = []
-            for *key, item in zip(*(column.to_pylist() for column in batch.columns)):
-                if key != current:
-                    if current is not None:
-                        digest.update(b"]")
-                        done.append([*current, digest.hexdigest()])
-                    current, digest = key, hashlib.sha256("|".join(key).encode() + b"|[")
-                else:
-                    digest.update(b",")
-                digest.update(item.encode())
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=names)
-        if current is not None:
-            digest.update(b"]")
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*current, digest.hexdigest())], names=names)
-
-    return hash_cases
-
-
-def large_case_context(latest: DataFrame, generated_at: Column | None = None) -> DataFrame:
-    """Contexts of cases too large for one nested row.
-
-    Counts combine before the shuffle. The hash covers the ordered results as one text, so it is
-    read in order, sorted on disk and fed to SHA-256 row by row in constant memory. ``results`` is
-    null here; :func:`case_results` has the whole list.
-    """
-    summaries = latest.groupBy(*CASE_KEYS).agg(*case_aggregates())
-    item = F.struct(*[F.col(f).cast("string").alias(f) for f in ids.HASHED_RESULT_FIELDS])
-    lines = (
-        latest.select(*CASE_KEYS, F.to_json(item).alias("item"), "result_id")
-        .repartition(*CASE_KEYS)
-        .sortWithinPartitions(*CASE_KEYS, "result_id")
-        .select(*CASE_KEYS, "item")
-    )
-    hashes = lines.mapInArrow(
-        _case_hasher(), "patient_id string, order_id string, specimen_id string, context_hash string"
-    )
-    list_type = _nested_context(latest, generated_at).schema["results"].dataType
-    return (
-        summaries.join(hashes, CASE_KEYS, "inner")
-        .withColumns({**_status_and_time(generated_at), "results": F.lit(None).cast(list_type)})
-        .select(*CONTEXT_COLUMNS)
-    )
-
-
-def with_excerpts(contexts: DataFrame, flat_results: DataFrame) -> DataFrame:
-    """Fill the null ``results`` of large cases with the few results a text quotes.
-
-    These are the first results overall, with a high or low flag, and with a normal flag, as many
-    as the texts show. Build texts from such rows with ``partial=True``.
-    """
-    rows = flat_results.join(contexts.select(*CASE_KEYS), CASE_KEYS, "left_semi")
-    flag, by_id = F.col("abnormal_flag"), [F.col("result_id")]
-    parts = [
-        first_rows(rows, CASE_KEYS, by_id, fv.PROMPT_RESULT_LINES),
-        first_rows(rows.filter(flag.isin(fv.FLAG_HIGH, fv.FLAG_LOW)), CASE_KEYS, by_id, fv.DRAFT_ABNORMAL_LINES),
-        first_rows(rows.filter(flag == fv.FLAG_NORMAL), CASE_KEYS, by_id, fv.DRAFT_NORMAL_LINES),
-    ]
-    quoted = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    lists = quoted.groupBy(*CASE_KEYS).agg(F.array_sort(F.collect_set(F.struct(*RESULT_FIELDS))).alias("results"))
-    return contexts.drop("results").join(lists, CASE_KEYS, "left").select(*contexts.columns)
-
-
-def gold_report_context(
-    silver: DataFrame, *, hot: DataFrame | None = None, generated_at: Column | None = None
-) -> DataFrame:
-    """One row per (patient, order, specimen): counts, span, ordered results, status, hash.
-
-    Cases too large for one row go through :func:`large_case_context`. They are looked for in
-    ``silver``, or given as ``hot`` when they were already found in a cheaper place, such as the
-    raw events or the written layer. Their number is checked first; with none, the plan is the
-    plain aggregation.
-    """
-    latest = _latest(silver)
-    keys, rows = checked_broadcast(hot_cases(latest) if hot is None else hot)
-    if rows == 0:
-        return _nested_context(latest, generated_at)
-    small = latest.join(keys, CASE_KEYS, "left_anti")
-    large = latest.join(keys, CASE_KEYS, "left_semi")
-    return _nested_context(small, generated_at).unionByName(large_case_context(large, generated_at))
-
-
 def exploded_results(context: DataFrame) -> DataFrame:
     """The nested lists as rows with their position from 0."""
     return context.select(*CASE_KEYS, F.posexplode("results").alias("position", "result")).select(

@@ -15,7 +15,6 @@ from .. import fixed_values as fv
 from ..functions import ids, texts
 from ..functions.values import first_match
 from ..schemas import CASE_KEYS
-from .gold import with_excerpts
 from .silver import first_row
 from .sizing import row_number_in_pieces
 
@@ -91,9 +90,12 @@ def outdated_check(reports: DataFrame, versions: DataFrame, context: DataFrame)
     ).drop("_current")
 
 
+def _case_missing_text() -> Column:
+    return F.format_string(fv.MSG_CASE_MISSING, *[F.col(k) for k in CASE_KEYS])
+
+
 def _case_missing() -> tuple[Column, Column]:
-    message = F.format_string(fv.MSG_CASE_MISSING, *[F.col(k) for k in CASE_KEYS])
-    return ~F.col("case_found"), message
+    return ~F.col("case_found"), _case_missing_text()
 
 
 def _gate(checked: DataFrame, reason: Column) -> DataFrame:
@@ -187,19 +189,6 @@ def version_numbers(requests: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def with_draft_text(cases: DataFrame, text: Callable[..., Column], flat_results: DataFrame | None) -> DataFrame:
-    """Add ``report_text``.
-
-    A case too large for one row has a null list and, without ``flat_results``, a null text. With
-    them its text is built from the few results it quotes and the counts of the case.
-    """
-    if flat_results is None:
-        return cases.withColumn("report_text", text())
-    listed = cases.filter(F.col("results").isNotNull()).withColumn("report_text", text())
-    large = with_excerpts(cases.filter(F.col("results").isNull()), flat_results)
-    return listed.unionByName(large.withColumn("report_text", text(partial=True)))
-
-
 def _new_versions(selected: DataFrame, versions: DataFrame, created_at: Column, model: Column) -> DataFrame:
     top = versions.groupBy("report_id").agg(F.max("version_number").alias("_top"))
     numbered = selected.join(top, "report_id", "left").withColumn(
@@ -227,18 +216,17 @@ def generate_drafts(
     *,
     text: Callable[..., Column] = texts.draft_report,
     model_name: Column | None = None,
-    flat_results: DataFrame | None = None,
 ) -> DataFrame:
     """A new draft version for every given case.
 
     The report of the case is reused; without one it is new (``is_new_report``) and its id follows
-    from the case keys. ``text`` builds the draft column (see :func:`with_draft_text`).
+    from the case keys. ``text`` builds the draft column.
     """
     selected = case_existing_report(context, reports).withColumns(
         {"is_new_report": F.col("report_id").isNull(), "report_id": F.coalesce("report_id", report_id_for_case())}
     )
     model = F.lit(fv.TEMPLATE_PROVIDER) if model_name is None else model_name
-    return _new_versions(with_draft_text(selected, text, flat_results), versions, created_at, model)
+    return _new_versions(selected.withColumn("report_text", text()), versions, created_at, model)
 
 
 def regenerate_drafts(
@@ -249,12 +237,11 @@ def regenerate_drafts(
     *,
     text: Callable[..., Column] = texts.draft_report,
     model_name: Column | None = None,
-    flat_results: DataFrame | None = None,
 ) -> DataFrame:
     """The next version of every given report, from the current state of its case."""
     selected = context.join(reports.select("report_id", *CASE_KEYS), CASE_KEYS, "inner")
     model = F.lit(fv.TEMPLATE_PROVIDER) if model_name is None else model_name
-    return _new_versions(with_draft_text(selected, text, flat_results), versions, created_at, model)
+    return _new_versions(selected.withColumn("report_text", text()), versions, created_at, model)
 
 
 def reports_without_case(reports: DataFrame, context: DataFrame) -> DataFrame:
@@ -271,8 +258,8 @@ def draft_status_changes(drafts: DataFrame) -> DataFrame:
 
 
 def action_status_changes(actions: DataFrame) -> DataFrame:
-    """Status changes from validate and reject actions; rejecting is always allowed."""
-    return actions.select(
+    """Status changes from validate and reject actions; rejecting is always allowed, other actions change nothing."""
+    return actions.filter(F.col("action").isin(fv.ACTION_VALIDATED, fv.ACTION_REJECTED)).select(
         "report_id",
         F.col("created_at").alias("at"),
         F.lit(1).cast("long").alias("seq"),
@@ -305,6 +292,20 @@ def response_gate(responses: DataFrame, text_field: str = "report_text") -> Data
     )
 
 
+def response_versions(
+    responses: DataFrame, reports: DataFrame, versions: DataFrame, context: DataFrame, created_at: Column
+) -> DataFrame:
+    """The next version of every report with an accepted model response: its text under its stored model name.
+
+    ``responses`` has one row per report, as :func:`response_gate` takes them. Refused ones give no version;
+    their reasons are in the gate's rows.
+    """
+    accepted = response_gate(responses).filter("accepted").select("report_id", "report_text", "stored_model_name")
+    keyed = accepted.join(reports.select("report_id", *CASE_KEYS), "report_id")
+    selected = keyed.join(context.select(*CASE_KEYS, "context_hash"), CASE_KEYS)
+    return _new_versions(selected, versions, created_at, F.col("stored_model_name"))
+
+
 # --- Exports ---------------------------------------------------------------------------------
 
 
@@ -325,15 +326,20 @@ def export_list(exports: DataFrame) -> DataFrame:
 
 
 def export_registry(attempts: DataFrame, versions: DataFrame) -> DataFrame:
-    """Registry rows of export attempts.
+    """Registry rows of export attempts, each attempt once.
 
     ``attempts``: report_id, export_type, generated_at, generated_by, file_size_bytes (null when
-    the file could not be made). A failed attempt keeps the placeholder file name.
+    the file could not be made), and ``allowed`` and ``reason`` when they went through
+    :func:`export_gate`; attempts it forbids are refused with its reason. A failed attempt keeps the
+    placeholder file name, and so does one without a version, which has an ``error``.
     """
     newest = latest_versions(versions).select("report_id", "report_version_id", "version_number", "source_context_hash")
-    made = F.col("file_size_bytes").isNotNull()
+    allowed = F.col("allowed") if "allowed" in attempts.columns else F.lit(True)
+    reason = F.col("reason") if "reason" in attempts.columns else F.lit(None).cast("string")
+    missing = F.col("version_number").isNull()
+    made = F.col("file_size_bytes").isNotNull() & allowed & ~missing
     name = texts.export_filename(F.col("export_type"), F.col("report_id"), F.col("version_number"))
-    return attempts.join(newest, "report_id").select(
+    return attempts.join(newest, "report_id", "left").select(
         ids.stable_id(
             "EXP", F.concat_ws("|", "report_id", "export_type", F.col("generated_at").cast("string"))
         ).alias("export_id"),
@@ -345,8 +351,9 @@ def export_registry(attempts: DataFrame, versions: DataFrame) -> DataFrame:
         "source_context_hash",
         "generated_at",
         "generated_by",
-        "file_size_bytes",
+        F.when(made, F.col("file_size_bytes")).alias("file_size_bytes"),
         "export_type",
+        F.when(~allowed, reason).when(missing, fv.MSG_EXPORT_NO_VERSION).alias("error"),
     )
 
 
@@ -368,15 +375,19 @@ def result_line(item: Column) -> Column:
 def export_dossier(
     exports: DataFrame, reports: DataFrame, versions: DataFrame, context: DataFrame, actions: DataFrame
 ) -> DataFrame:
-    """Everything a printed report shows, one row per export.
+    """Everything a printed report shows, one row per export, also of one whose parts are gone (``error``).
 
-    ``reports`` carries the folded status. The text and result lines are joined last.
+    ``reports`` carries the folded status. Reports and cases are cut down to the exported ones first;
+    the result lines are joined last.
     """
+    wanted = reports.join(exports.select("report_id").distinct(), "report_id", "left_semi")
     newest = latest_validations(actions).select(
         "report_id", F.col("created_at").alias("validation_date"), F.col("comment").alias("biologist_comment")
     )
-    version = reports_with_latest_version(reports, versions).drop("created_at", "updated_at")
-    case = context.select(
+    version = reports_with_latest_version(
+        wanted, versions.join(wanted.select("report_id"), "report_id", "left_semi")
+    ).drop("created_at", "updated_at")
+    case = context.join(wanted.select(*CASE_KEYS).distinct(), CASE_KEYS, "left_semi").select(
         *CASE_KEYS,
         "context_hash",
         "results_count",
@@ -390,10 +401,22 @@ def export_dossier(
     )
     return (
         exports.select("export_id", "report_id", "export_type", "generated_at")
-        .join(version, "report_id")
+        .join(version, "report_id", "left")
         .join(newest, "report_id", "left")
-        .join(case, CASE_KEYS)
-        .withColumn("provider_used", texts.provider_of(F.col("model_name")))
+        .join(case, CASE_KEYS, "left")
+        .withColumns(
+            {
+                "provider_used": F.when(F.col("version_number").isNotNull(), texts.provider_of(F.col("model_name"))),
+                "error": first_match(
+                    [
+                        (F.col("status").isNull(), F.format_string(fv.MSG_REPORT_MISSING, F.col("report_id"))),
+                        (F.col("context_hash").isNull(), _case_missing_text()),
+                        (F.col("version_number").isNull(), fv.MSG_EXPORT_NO_VERSION),
+                    ],
+                    None,
+                ),
+            }
+        )
     )
 
 
@@ -410,10 +433,26 @@ def new_chat_sessions(questions: DataFrame, sessions: DataFrame, created_at: Col
 
 
 def chat_answers(questions: DataFrame, reports: DataFrame, context: DataFrame) -> DataFrame:
-    """The template answer to each question (report_id, question, ...) from its case."""
-    asked = questions.join(reports.select("report_id", *CASE_KEYS), "report_id")
-    return asked.join(context, CASE_KEYS).select(
-        *questions.columns, *CASE_KEYS, texts.chat_answer(F.col("question")).alias("answer")
+    """The template answer to each question (report_id, question, ...) from the counts of its case.
+
+    A question whose report or case is gone keeps its row, with a null answer and an ``error``.
+    """
+    asked = questions.join(reports.select("report_id", *CASE_KEYS), "report_id", "left")
+    counts = context.select(
+        *CASE_KEYS, "results_count", "abnormal_results_count", "normal_results_count", "unknown_flag_results_count"
+    )
+    found = F.col("results_count").isNotNull()
+    return asked.join(counts, CASE_KEYS, "left").select(
+        *questions.columns,
+        *CASE_KEYS,
+        F.when(found, texts.chat_answer(F.col("question"))).alias("answer"),
+        first_match(
+            [
+                (F.col("patient_id").isNull(), F.format_string(fv.MSG_REPORT_MISSING, F.col("report_id"))),
+                (~found, _case_missing_text()),
+            ],
+            None,
+        ).alias("error"),
     )
 
 
@@ -424,6 +463,7 @@ def chat_transcript(answers: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col("answer").alias("message")),
     )
     kept = [c for c in answers.columns if c not in ("question", "answer")]
+    answers = answers.filter(F.col("answer").isNotNull())
     return answers.select(*kept, F.explode(both).alias("_m")).select(*kept, "_m.*")
 
 

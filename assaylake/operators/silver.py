@@ -104,6 +104,12 @@ def latest_results(unique_events: DataFrame) -> DataFrame:
     return first_row(keyed, ["result_id"], order).drop(COPY_ORDER)
 
 
+def newest_results(rows: DataFrame) -> DataFrame:
+    """The newest of several Silver rows per result id, by the rule of :func:`latest_results`."""
+    order = [F.col("modified_at").desc_nulls_last(), F.col("event_id").desc_nulls_last(), F.col("value").asc_nulls_last()]
+    return first_row(rows, ["result_id"], order)
+
+
 def with_values(rows: DataFrame) -> DataFrame:
     """``value_raw``, ``value_numeric`` and, where there is no number, ``value_text``."""
     raw = F.col("value").cast("string")

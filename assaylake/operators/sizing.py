@@ -1,48 +1,37 @@
-"""Size checks before a broadcast, and running computations that split large groups."""
+"""Running computations that split large groups."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stored
 
-BROADCAST_ROWS = 200_000
+def day_piece(df: DataFrame, name: str) -> Column:
+    """The day of an order column: of a time, or the first ten characters of a text. Pieces rise with the order."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.date_trunc("day", F.col(name))
+    return F.substring(F.col(name), 1, 10) if kind == "string" else F.lit(0)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
-    """Broadcast hint only when the frame really is small.
-
-    Counts at most ``max_rows + 1`` rows. Gives the frame and its row count, or the frame without
-    a hint and ``None`` when it is larger, so the join is planned as a shuffle join.
-    """
-    rows = df.limit(max_rows + 1).count()
-    if rows > max_rows:
-        return df, None
-    return F.broadcast(df), rows
-
-
-def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut a frame into even ranges of (keys, order), numbered ``_piece``, and store it.
-
-    Ranges split a key with very many rows; ``order`` should be total within a key. The result is
-    checkpointed because several passes have to see the same ranges.
-    """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
-    return stored(ranged.withColumn("_piece", F.spark_partition_id()))
+def _pieces(df: DataFrame, order: Sequence[str], piece: Column | None) -> DataFrame:
+    return df.withColumn("_piece", day_piece(df, order[0]) if piece is None else piece)
 
 
-def row_number_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """``row_number`` per key, ascending, for keys of any size.
+def row_number_in_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, piece: Column | None = None
+) -> DataFrame:
+    """``row_number`` per key, ascending with nulls first, for keys of any size.
 
-    Rows are numbered inside (key, range); the counts per range, at most one row per key and range,
-    give each range its start.
+    Rows are numbered inside (key, piece); the counts per piece, at most one row per key and piece,
+    give each piece its start. ``piece`` must not fall along the order; it decides how the work is
+    split and never changes the result. The default is the day of the first order column.
     """
     keys = list(keys)
-    cut = in_ranges(df, keys, order)
+    cut = _pieces(df, order, piece)
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_piece").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = cut.withColumn("_in_piece", F.row_number().over(inside))
@@ -53,18 +42,21 @@ def row_number_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str
     )
 
 
-def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def running_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], piece: Column | None = None
+) -> DataFrame:
     """Replace each field by its last given value up to every row of a key, for keys of any size.
 
-    Values run inside (key, range); the last value of each range is aggregated and carried on.
+    Values run inside (key, piece); the last value of each piece is aggregated and carried on. See
+    :func:`row_number_in_pieces` for ``piece``.
     """
     keys, order = list(keys), list(order)
-    cut = in_ranges(df, keys, order)
+    cut = _pieces(df, order, piece)
     place = F.struct(*order)
     ends = cut.groupBy(*keys, "_piece").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias("_end_" + f) for f in fields]
     )
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select(
         *keys, "_piece", *[F.last("_end_" + f, ignorenulls=True).over(before).alias("_start_" + f) for f in fields]
     )

@@ -6,12 +6,15 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import gold, silver
+from ..schemas import CASE_KEYS
 from ..session import configure
 from ..sources import event_log
+from ..sources.files import exists, remove
 from ..sources.layers import Written, read_layer, write_layer
 from ..sources.ranges import load_ranges, range_table
 
@@ -23,12 +26,11 @@ def run_layers(
     *,
     ranges: DataFrame | None = None,
     include_validated: bool = False,
-    inline_results: int = gold.INLINE_RESULTS,
 ) -> dict[str, Written]:
     """Write all layers under ``output`` and say what was written.
 
     Counts are observed while writing. Gold reads the written Silver, so nothing is computed
-    twice, and very large cases are found from its three key columns.
+    twice.
     """
     ranges = range_table(spark) if ranges is None else ranges
     done = {"bronze": write_layer(bronze, f"{output}/bronze")}
@@ -37,13 +39,86 @@ def run_layers(
         silver.silver_lab_results(stored_bronze, ranges, include_validated=include_validated), f"{output}/silver"
     )
     stored_silver = read_layer(spark, f"{output}/silver")
-    hot = gold.hot_cases(stored_silver, inline_results)
-    done["cases"] = write_layer(gold.gold_report_context(stored_silver, hot=hot), f"{output}/cases")
+    done["cases"] = write_layer(gold.gold_report_context(stored_silver), f"{output}/cases")
     stored_cases = read_layer(spark, f"{output}/cases")
     done["kpis"] = write_layer(gold.dashboard_kpis(stored_silver, stored_cases), f"{output}/kpis")
     return done
 
 
+BUCKETS = 64
+
+
+def _bucket(*columns: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def _replace_buckets(rows: DataFrame, path: str, staging: str, touched: list[int]) -> None:
+    """Replace the touched buckets of a layer by ``rows``, which are written aside first as they may read it."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for empty in set(touched) - {r[0] for r in staged.select("bucket").distinct().collect()}:
+        remove(spark, f"{path}/bucket={empty}")
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame, touched: list[int]) -> DataFrame:
+    """The touched buckets of a layer, or no row before there is one."""
+    if not exists(spark, path):
+        return like.limit(0)
+    return spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*like.columns)
+
+
+def update_layers(
+    spark: SparkSession,
+    new_bronze: DataFrame,
+    output: str,
+    *,
+    ranges: DataFrame | None = None,
+    include_validated: bool = False,
+    buckets: int = BUCKETS,
+) -> None:
+    """Bring Silver and the case layer up to date with new events.
+
+    Both layers are partitioned by a stable bucket, of the result id and of the case key. New results are
+    merged with the touched buckets of Silver by the rule of the batch run, and contexts are rebuilt
+    for the touched cases only; other buckets are not written. The result equals a full run over all events,
+    as long as copies of one event are equal. Running a batch twice changes nothing. ``buckets`` must stay
+    the same over the life of a lake.
+    """
+    ranges = range_table(spark) if ranges is None else ranges
+    paths = {name: f"{output}/{name}" for name in ("silver", "cases", "staging/fresh", "staging/keys", "staging/silver", "staging/cases")}
+    fresh = silver.silver_lab_results(new_bronze, ranges, include_validated=include_validated)
+    fresh = fresh.withColumn("bucket", _bucket("result_id", buckets=buckets))
+    fresh.write.mode("overwrite").parquet(paths["staging/fresh"])
+    fresh = spark.read.parquet(paths["staging/fresh"])
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # as many as buckets at most
+    if not touched:
+        return
+    old = _stored(spark, paths["silver"], fresh, touched)
+    # A result may move to another case: then its old case changes as well.
+    replaced = old.join(fresh.select("result_id"), "result_id", "left_semi")
+    keys = fresh.select(*CASE_KEYS).unionByName(replaced.select(*CASE_KEYS)).distinct()
+    keys.write.mode("overwrite").parquet(paths["staging/keys"])
+    keys = spark.read.parquet(paths["staging/keys"])
+    _replace_buckets(silver.newest_results(old.unionByName(fresh)), paths["silver"], paths["staging/silver"], touched)
+
+    current = spark.read.parquet(paths["silver"]).drop("bucket").join(keys, CASE_KEYS, "left_semi")
+    contexts = gold.gold_report_context(current).withColumn("bucket", _bucket(*CASE_KEYS, buckets=buckets))
+    touched = [r[0] for r in keys.select(_bucket(*CASE_KEYS, buckets=buckets)).distinct().collect()]
+    untouched = _stored(spark, paths["cases"], contexts, touched).join(keys, CASE_KEYS, "left_anti")
+    _replace_buckets(untouched.unionByName(contexts), paths["cases"], paths["staging/cases"], touched)
+
+
+def layer_batches(output: str, **settings) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the layers up to date with a stream of events."""
+
+    def update(events: DataFrame, batch_id: int) -> None:
+        update_layers(events.sparkSession, events, output, **settings)
+
+    return update
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description="Write the bronze, silver and gold layers.")
     parser.add_argument("--source", choices=["jsonl", "kafka"], default="jsonl")

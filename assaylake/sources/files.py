@@ -38,3 +38,9 @@ def find_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
 
 def has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
     return not _listing(spark, folder, pattern).isEmpty()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a layer, if there is one."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -1,36 +1,42 @@
-"""Polling for changes with a cursor that loses no ties."""
+"""Polling for changes with a cursor that loses no event, equal copies included."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 
 @dataclass(frozen=True)
 class Cursor:
-    """The last event seen: its change time and its id."""
+    """The last event seen: its change time, its id and its arrival number."""
 
     modified_at: datetime
     event_id: str = ""
+    seq: int = -1
 
 
 def changes_after(log: DataFrame, cursor: Cursor | None, limit: int | None = None) -> DataFrame:
-    """Events after the cursor in (modified_at, event_id) order.
+    """Events after the cursor in (modified_at, event_id, seq) order.
 
-    A bare ``modified_at >`` would skip events that share the time of the last one in a limited
-    page; the id makes the order total.
+    Copies of an event share time and id, so only the arrival number makes the order total; a page
+    may end between two of them.
     """
     found = log
     if cursor is not None:
-        same = (F.col("modified_at") == F.lit(cursor.modified_at)) & (F.col("event_id") > cursor.event_id)
-        found = found.filter((F.col("modified_at") > F.lit(cursor.modified_at)) | same)
-    found = found.orderBy("modified_at", "event_id")
+        later = F.col("modified_at") > F.lit(cursor.modified_at)
+        same = F.col("modified_at") == F.lit(cursor.modified_at)
+        after = (F.col("event_id") > cursor.event_id) | ((F.col("event_id") == cursor.event_id) & (F.col("seq") > cursor.seq))
+        found = found.filter(later | (same & after))
+    found = found.orderBy("modified_at", "event_id", "seq")
     return found if limit is None else found.limit(limit)
 
 
-def next_cursor(page: DataFrame, previous: Cursor | None = None) -> Cursor | None:
-    """Where to go on after a page; the previous cursor when it was empty."""
-    last = page.agg(F.max(F.struct("modified_at", "event_id")).alias("last")).first()["last"]
-    return previous if last is None else Cursor(last["modified_at"], last["event_id"])
+def poll(log: DataFrame, cursor: Cursor | None, limit: int) -> tuple[list[Row], Cursor | None]:
+    """One page of at most ``limit`` events and where to go on; the given cursor when there is none."""
+    page = changes_after(log, cursor, limit).collect()
+    if not page:
+        return [], cursor
+    last = page[-1]
+    return page, Cursor(last["modified_at"], last["event_id"], last["seq"])

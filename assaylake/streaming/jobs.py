@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from .. import fixed_values as fv
 from ..functions import ids
 from ..operators import bus, reports, silver
-from ..schemas import EVENT_SCHEMA
+from ..schemas import CASE_KEYS, EVENT_SCHEMA
 from ..session import checkpoint_dir
 from ..sources.event_log import bronze_from_messages, with_bronze_columns
 
@@ -118,22 +118,26 @@ def fan_out_to_kafka(events: DataFrame, servers: str, checkpoint: str | None = N
 
 
 def staleness_batches(
-    current_reports: Callable[[], DataFrame], versions: Callable[[], DataFrame], path: str
+    current_reports: Callable[[], DataFrame],
+    versions: Callable[[], DataFrame],
+    path: str,
+    at: Callable[[int], Column],
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: mark reports of refreshed cases whose hash has changed.
 
-    Each batch writes its OUTDATED status changes to its own folder, so a repeated batch replaces
-    its rows. A case without a report gives none.
+    ``at`` gives the time that a batch marks with, so a repeated batch writes the same rows over its own
+    folder. Only reports of the batch's cases and their versions are read, and reports that are OUTDATED
+    already are not marked again. A case without a report gives none.
     """
 
     def check(cases: DataFrame, batch_id: int) -> None:
-        checked = reports.outdated_check(current_reports(), versions(), cases)
-        marked = checked.filter(
-            F.col("version_number").isNotNull() & (F.col("is_outdated") == F.lit(True))
-        )
+        keys = cases.select(*CASE_KEYS).distinct()
+        touched = current_reports().join(keys, CASE_KEYS, "left_semi").filter(F.col("status") != fv.OUTDATED)
+        theirs = versions().join(touched.select("report_id"), "report_id", "left_semi")
+        checked = reports.outdated_check(touched, theirs, cases)
+        marked = checked.filter(F.col("version_number").isNotNull() & (F.col("is_outdated") == F.lit(True)))
         marked.select(
-            "report_id", F.current_timestamp().alias("at"), F.lit(batch_id).cast("long").alias("seq"),
-            F.lit(fv.OUTDATED).alias("status"),
+            "report_id", at(batch_id).alias("at"), F.lit(batch_id).cast("long").alias("seq"), F.lit(fv.OUTDATED).alias("status")
         ).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return check

@@ -65,11 +65,7 @@ def lab_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case contexts; cases too large for one row are looked for in the raw events first."""
-    lab = lab_events(spark, sf_dir)
-    return gold.gold_report_context(
-        _silver_of(lab), hot=gold.hot_cases(lab), generated_at=F.lit(DAY_ONE).cast("timestamp")
-    )
+    return gold.gold_report_context(lab_silver(spark, sf_dir), generated_at=F.lit(DAY_ONE).cast("timestamp"))
 
 
 # --- Event log -------------------------------------------------------------------------------
@@ -126,6 +122,48 @@ def extract_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fhir_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as FHIR resources: several codings, all kinds of values and ranges, and missing parts."""
+    coding = "named_struct('system', {}, 'code', {}, 'display', {})"
+    local = coding.format("'http://local'", "concat('L-', o_orderpriority)", "cast(null as string)")
+    loinc = coding.format("'http://loinc.org'", "'718-7'", "' Hemoglobin'")
+    categories = "transform({}, c -> named_struct('coding', array(named_struct('code', c))))"
+    quantity = "named_struct('value', {}, 'unit', {}, 'code', {})"
+    nothing = "cast(null as string)"
+    return table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey")).selectExpr(
+        "case when k % 11 = 0 then 'DiagnosticReport' else 'Observation' end as resourceType",
+        "case when k % 13 = 0 then '  ' else concat('obs-', k) end as id",
+        "case o_orderstatus when 'F' then 'final' when 'O' then 'preliminary' end as status",
+        "case when k % 17 = 0 then '' else substr(cast(o_orderdate as string), 1, 10) end as effectiveDateTime",
+        "case when k % 17 = 0 and k % 2 = 0 then '2024-02-03T04:05:06Z' end as issued",
+        f"""case o_orderpriority when '1-URGENT' then {categories.format("array('laboratory')")}
+            when '2-HIGH' then {categories.format("array('vital-signs', 'lab')")}
+            when '3-MEDIUM' then {categories.format("array('labour')")}
+            when '5-LOW' then array(named_struct('coding', array(named_struct('code', 'laboratory')))) end as category""",
+        f"""named_struct('text', case when k % 3 = 0 then concat('Test ', o_orderpriority) else '' end, 'coding',
+            case when k % 2 = 0 then array({local}, {loinc}) else array({local}) end) as code""",
+        "named_struct('reference', case when k % 19 > 0 then concat('Patient/', o_custkey) end) as subject",
+        "case when k % 2 = 1 then array(named_struct('reference', concat('ServiceRequest/', k, '/'))) end as basedOn",
+        "case when k % 3 = 0 then named_struct('reference', concat('SP-', k)) end as specimen",
+        f"""case k % 4 when 0 then {quantity.format("cast(o_totalprice as string)", "case when k % 8 = 4 then '' else 'mg/dL' end", "'g'")}
+            when 1 then {quantity.format(nothing, nothing, nothing)} end as valueQuantity""",
+        "case when k % 4 in (1, 2) then concat('text ', k) end as valueString",
+        "case when k % 4 = 3 then named_struct('text', case when k % 7 > 0 then 'seen' end) end as valueCodeableConcept",
+        f"""case k % 3 when 0 then array(named_struct('text', '1-2', 'low', cast(null as struct<value: string, unit: string>),
+                'high', cast(null as struct<value: string, unit: string>)))
+            when 1 then array(named_struct('text', {nothing}, 'low', named_struct('value', '1.50', 'unit', 'g'),
+                'high', named_struct('value', '3', 'unit', {nothing}))) end as referenceRange""",
+        "case when k % 5 = 0 then array(named_struct('coding', array(named_struct('code', ''), named_struct('code', 'H')))) end"
+        " as interpretation",
+    )
+
+
+def undated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations, some with a date that cannot be read."""
+    odd = F.when(F.col("ENCOUNTER").endswith("3"), "no date").otherwise(F.col("DATE"))
+    return extract_observations(spark, sf_dir).withColumn("DATE", odd)
+
+
 # --- Report tables, from every case ----------------------------------------------------------
 
 
@@ -207,6 +245,9 @@ def exports(cases: DataFrame) -> DataFrame:
         3: [("a", 5, "FINAL_PDF", "GENERATED"), ("b", 6, "FINAL_PDF", "GENERATED")],
         8: [("a", 5, "FINAL_PDF", "FAILED")],
         9: [("a", 5, "DRAFT_PDF", "GENERATED")],
+        5: [("a", 5, "FINAL_PDF", "GENERATED")],  # rejected
+        11: [("a", 5, "DRAFT_PDF", "GENERATED")],  # no version
+        12: [("a", 5, "FINAL_PDF", "GENERATED")],  # no report
     }
     return _story_rows(cases, rows, "part string, hour int, export_type string, export_status string").select(
         F.concat(F.lit("EXP-"), F.substring("context_hash", 1, 16), F.lit("-"), "part").alias("export_id"),
@@ -242,17 +283,19 @@ def responses(cases: DataFrame) -> DataFrame:
     )
 
 
-def patient_conversations(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
-    """Each conversation belongs to the first report of the patient with its number."""
-    first = reports(cases).groupBy("patient_id").agg(F.min("report_id").alias("report_id"))
+def conversations(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    """Each conversation belongs to the first report of the patient with its number, or to the first of all."""
+    known = reports(cases)
+    first = known.groupBy("patient_id").agg(F.min("report_id").alias("own_report"))
     talks = table(spark, sf_dir, "conversations").withColumn(
         "patient_id", F.concat(F.lit("PAT-"), F.col("conv_id").cast("string"))
     )
-    return talks.join(first, "patient_id")
+    any_report = known.agg(F.min("report_id")).scalar()
+    return talks.join(first, "patient_id", "left").withColumn("report_id", F.coalesce("own_report", any_report))
 
 
 def chat_messages(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
-    return patient_conversations(spark, sf_dir, cases).select(
+    return conversations(spark, sf_dir, cases).select(
         "report_id",
         "role",
         F.col("text").alias("message"),
@@ -264,7 +307,7 @@ def chat_messages(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFra
 def questions(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
     """The user turns, as questions to the report."""
     return (
-        patient_conversations(spark, sf_dir, cases)
+        conversations(spark, sf_dir, cases)
         .filter("role = 'user'")
         .select(
             "report_id",
@@ -276,5 +319,5 @@ def questions(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
-    asked = patient_conversations(spark, sf_dir, cases).select("report_id").distinct()
+    asked = conversations(spark, sf_dir, cases).select("report_id").distinct()
     return asked.withColumn("chat_session_id", F.concat(F.lit("CHS-"), "report_id"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import ids
 from ..operators import gold, silver
 from ..schemas import CASE_KEYS
+from ..sources import ranges
+from ..streaming import jobs
 from . import inputs
 from .oracle_base import DEDUP_CTE, GOLD_CTE, LAB_CTE, SILVER_CTE, TYPED_CTE
 from .registry import as_text, register
@@ -32,18 +34,28 @@ SILVER_OUT = [
 ]
 
 
-@register(
-    "silver_latest",
+SILVER_SQL = (
     SILVER_CTE
     + """ select event_id, event_type, patient_id, order_id, specimen_id, test_code, loinc_code, test_name, value,
       value_raw, value_numeric, value_text, unit, reference_range, abnormal_flag, validation_status,
       cast(result_datetime as varchar) as result_datetime, result_id, cast(modified_at as varchar) as modified_at
-      from silver""",
+      from silver"""
 )
+
+
+@register("silver_latest", SILVER_SQL)
 def silver_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(inputs.lab_silver(spark, sf_dir), "result_datetime", "modified_at").select(*SILVER_OUT)
 
 
+@register("latest_state", SILVER_SQL)
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the streaming state holds after all events, on a batch frame."""
+    state = jobs.latest_state(inputs.lab_events(spark, sf_dir))
+    rows = jobs.silver_from_state(state, ranges.range_table(spark))
+    return as_text(rows, "result_datetime", "modified_at").select(*SILVER_OUT)
+
+
 @register(
     "silver_rejects",
     TYPED_CTE

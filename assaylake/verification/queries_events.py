@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids
 from ..operators import bus, events, extracts
-from ..schemas import CASE_KEYS, EVENT_COLUMNS
+from ..schemas import CASE_KEYS, EVENT_COLUMNS, NORMALIZED_COLUMNS
+from ..streaming.cursor import Cursor, changes_after
 from . import inputs
 from .oracle_base import GOLD_CTE, LAB_CTE
 from .registry import as_text, register
@@ -222,28 +223,6 @@ def apply_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(events.apply_validations(log, requests), "result_datetime", "modified_at").select(*CHANGED_OUT)
 
 
-@register(
-    "create_results",
-    LAB_CTE
-    + """ select 'NEW-' || cast(seq as varchar) as event_id, 'LAB_RESULT_CREATED' as event_type, patient_id, order_id,
-      specimen_id, test_code, value, 'PRELIMINARY' as validation_status, result_datetime, modified_at,
-      'RES-' || sha256(concat_ws('|', patient_id, order_id, specimen_id, test_code,
-        replace(replace(result_datetime,'T',' '),'Z','+00:00'))) as result_id
-      from lab where result_datetime <> 'bad'""",
-)
-def create_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = (
-        inputs.lab_events(spark, sf_dir)
-        .filter("result_datetime <> 'bad'")
-        .drop("event_id", "event_type", "result_id", "validation_status")
-        .withColumn("event_id", F.concat(F.lit("NEW-"), F.col("seq").cast("string")))
-    )
-    return events.new_result_events(requests).select(
-        "event_id", "event_type", *CASE_KEYS, "test_code", "value", "validation_status", "result_datetime",
-        "modified_at", "result_id",
-    )
-
-
 @register(
     "layer_counts",
     GOLD_CTE
@@ -343,6 +322,40 @@ def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bus.parsed_events(inputs.kafka_messages(spark, sf_dir))
 
 
+@register(
+    "changes_page",
+    LOG_CTE
+    + f""", edge as (select modified_at as m, event_id as i, seq as s from log where event_id like '%7'
+        order by modified_at, event_id, seq limit 1)
+      select {EVENT_SQL} from (
+        select log.* from log, edge
+        where modified_at > m or (modified_at = m and (event_id > i or (event_id = i and seq > s)))
+        order by modified_at, event_id, seq limit 1000)""",
+)
+def changes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first of two copies of one event."""
+    log = inputs.event_log(spark, sf_dir)
+    edge = log.filter(F.col("event_id").endswith("7")).orderBy("modified_at", "event_id", "seq").first()
+    page = changes_after(log, Cursor(edge["modified_at"], edge["event_id"], edge["seq"]), limit=1000)
+    return event_rows(page)
+
+
+@register(
+    "append_events",
+    LOG_CTE
+    + f""" select {EVENT_SQL} from log
+      union all
+      select seq + 1000000000, 'AGAIN-' || event_id, event_type, patient_id, order_id, specimen_id, result_id, value,
+        validation_status, cast(modified_at as varchar) from log where event_type = 'LAB_RESULT_VALIDATED'""",
+)
+def append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = inputs.event_log(spark, sf_dir)
+    again = log.filter("event_type = 'LAB_RESULT_VALIDATED'").withColumns(
+        {"event_id": F.concat(F.lit("AGAIN-"), F.col("event_id")), "seq": F.col("seq") + 1_000_000_000}
+    )
+    return event_rows(events.append_events(log, again))
+
+
 # --- Clinical extract ------------------------------------------------------------------------
 
 OBS_CTE = """with obs as (
@@ -471,3 +484,77 @@ def reference_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extracts.normalized_csv(inputs.extract_observations(spark, sf_dir), inputs.extract_patients(spark, sf_dir))
     return extracts.lab_events(rows, inputs.SECRET)
+
+
+# --- FHIR ------------------------------------------------------------------------------------
+
+FHIR_CTE = """with labs as (
+  select o_orderkey as k, *,
+    case when o_orderkey % 13 > 0 then 'obs-' || o_orderkey end as source_observation_id,
+    case when o_orderkey % 19 > 0 then cast(o_custkey as varchar) end as source_patient_id
+  from orders where o_orderkey % 11 > 0 and o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW')),
+shaped as (
+  select source_patient_id, source_observation_id,
+    case when k % 2 = 1 then cast(k as varchar) end as source_order_id,
+    case when k % 3 = 0 then 'SP-' || k end as source_specimen_id,
+    case when k % 2 = 0 then '718-7' else 'L-' || o_orderpriority end as test_code,
+    case when k % 2 = 0 then '718-7' end as loinc_code,
+    case when k % 2 = 0 then 'Hemoglobin' when k % 3 = 0 then 'Test ' || o_orderpriority else 'L-' || o_orderpriority end as test_name,
+    case k % 4 when 0 then cast(o_totalprice as varchar) when 3 then case when k % 7 > 0 then 'seen' end else 'text ' || k end as value,
+    case when k % 8 = 4 then 'g' when k % 4 = 0 then 'mg/dL' end as unit,
+    case k % 3 when 0 then '1-2' when 1 then '1.5 - 3 g' end as reference_range,
+    case when k % 5 = 0 then 'H' end as abnormal_flag,
+    case o_orderstatus when 'O' then 'PRELIMINARY' else 'FINAL' end as validation_status,
+    case when k % 17 > 0 then substr(cast(o_orderdate as varchar),1,10) when k % 2 = 0 then '2024-02-03T04:05:06Z' end as result_datetime
+  from labs),
+checked as (
+  select *, case when source_patient_id is null then 'source_patient_id' when source_observation_id is null then 'source_observation_id'
+    when value is null then 'value' when result_datetime is null then 'result_datetime' end as missing from shaped)"""
+TIME_TEXT = "case when length(result_datetime) = 10 then result_datetime || 'T00:00:00' else result_datetime end"
+NORMALIZED = ", ".join(NORMALIZED_COLUMNS)
+
+
+@register("fhir_lab_predicate", FHIR_CTE + " select source_observation_id, source_patient_id from labs")
+def fhir_lab_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labs = inputs.fhir_resources(spark, sf_dir).filter(extracts.lab_resource_predicate())
+    return labs.selectExpr("nullif(trim(id), '') as source_observation_id", "split_part(subject.reference, '/', 2) as source_patient_id")
+
+
+@register("fhir_normalized", FHIR_CTE + f" select * exclude (missing) replace ({TIME_TEXT} as result_datetime) from checked where missing is null")
+def fhir_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracts.normalized_fhir(inputs.fhir_resources(spark, sf_dir))
+
+
+@register(
+    "fhir_events",
+    FHIR_CTE
+    + f""", keyed as (
+      select *, 'SYNTHEA|' || source_observation_id as observation,
+        coalesce(source_order_id, 'SYNTHEA|' || source_observation_id || '|order') as order_key
+      from checked where missing is null)
+    select {uuid5_sql('EVT', 'observation')} as event_id, 'GLIMS_SIM' as source_system, 'SYNTHEA' as origin_source,
+      'LAB_RESULT_CREATED' as event_type, {HMAC_SQL.format('source_patient_id')} as patient_id,
+      {uuid5_sql('ORD', 'order_key')} as order_id,
+      {uuid5_sql('SPC', "coalesce(source_specimen_id, order_key || '|specimen')")} as specimen_id, test_code, loinc_code,
+      test_name, value, unit, reference_range, abnormal_flag, validation_status, {TIME_TEXT} as result_datetime
+    from keyed""",
+)
+def fhir_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracts.lab_events(extracts.normalized_fhir(inputs.fhir_resources(spark, sf_dir)), inputs.SECRET)
+
+
+@register(
+    "incomplete_rows",
+    FHIR_CTE
+    + OBS_CTE.replace("with obs as", ", obs as").replace("labs as", "csv_labs as")
+    + f""" select {NORMALIZED}, missing from checked where missing is not null
+      union all
+      select patient, sha256(concat_ws('|', patient, encounter, code, 'no date', category, description, 'U', value, patient, '0')),
+        encounter, null, trim(code), trim(code), description, value, 'U', null, null, 'FINAL', 'no date', 'result_datetime'
+      from csv_labs where encounter like '%3' and patient in (select id from patients)""",
+)
+def incomplete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reject feed of both readers."""
+    fhir = extracts.shaped_fhir(inputs.fhir_resources(spark, sf_dir))
+    csv = extracts.shaped_csv(inputs.undated_observations(spark, sf_dir), inputs.extract_patients(spark, sf_dir))
+    return extracts.incomplete_rows(fhir).unionByName(extracts.incomplete_rows(csv))

@@ -261,7 +261,8 @@ exports as (
     export_status, {_ts(2, 'h', 'n')} as generated_at
   from story join (values
       (2,'a',5,'FINAL_PDF','GENERATED'),(3,'a',5,'FINAL_PDF','GENERATED'),(3,'b',6,'FINAL_PDF','GENERATED'),
-      (8,'a',5,'FINAL_PDF','FAILED'),(9,'a',5,'DRAFT_PDF','GENERATED')) as t(k,part,h,export_type,export_status)
+      (8,'a',5,'FINAL_PDF','FAILED'),(9,'a',5,'DRAFT_PDF','GENERATED'),(5,'a',5,'FINAL_PDF','GENERATED'),
+      (11,'a',5,'DRAFT_PDF','GENERATED'),(12,'a',5,'FINAL_PDF','GENERATED')) as t(k,part,h,export_type,export_status)
     on k = n),
 statuses as (
   select report_id, status, max(at_time) over (partition by report_id) as updated_at from changes
@@ -475,6 +476,24 @@ def response_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated.select("report_id", "accepted", "reason", "stored_model_name")
 
 
+@register(
+    "response_versions",
+    STORY
+    + f""" select {uuid5_sql('RPV', "r.report_id || '|' || cast(coalesce(v.version_number,0) + 1 as varchar)")} as report_version_id,
+      r.report_id, {KEYS}, coalesce(v.version_number,0) + 1 as version_number, s.context_hash as source_context_hash,
+      'text of ' || r.report_id as report_text, 'remote_medgemma:model-a' as model_name, 'AI_DRAFT' as status,
+      '2026-03-01 00:00:00' as created_at
+      from reports r join story s using ({KEYS}) left join newest v on v.report_id = r.report_id
+      where s.n not in (0, 4, 8, 10)""",
+)
+def response_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold_cases = inputs.lab_gold(spark, sf_dir)
+    made = reports.response_versions(
+        inputs.responses(gold_cases), inputs.reports(gold_cases), inputs.versions(gold_cases), gold_cases, now()
+    )
+    return as_text(made, "created_at")
+
+
 @register(
     "model_provenance",
     STORY
@@ -518,12 +537,29 @@ def latest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILENAME = "regexp_replace(lower(export_type) || '_' || report_id, '[^A-Za-z0-9_.-]+', '_', 'g') || '_v' || version_number || '.pdf'"
-REGISTRY_CTE = f""", registry as (
-  select {uuid5_sql('EXP', "e.report_id || '|' || export_type || '|' || cast(generated_at as varchar)")} as export_id,
-    e.report_id, e.patient_id, e.order_id, v.report_version_id, v.source_context_hash, export_type, export_status,
-    generated_at, case when export_status = 'GENERATED' then length(e.report_id) * 100 end as file_size_bytes,
-    lower(export_type) || '_' || e.report_id || '_v' || v.version_number || '.pdf' as requested_filename
-  from exports e join newest v on v.report_id = e.report_id)"""
+REGISTRY_CTE = f""", attempts as (
+  select e.*, v.report_version_id, v.version_number, v.source_context_hash,
+    case when c.is_outdated or c.status = 'OUTDATED' then {quoted(fv.MSG_EXPORT_OUTDATED)}
+      when export_type = 'FINAL_PDF' and c.status = 'AI_DRAFT' then {quoted(fv.MSG_FINAL_DRAFT)}
+      when export_type = 'FINAL_PDF' and c.status = 'REJECTED' then {quoted(fv.MSG_FINAL_REJECTED)}
+      when v.report_id is null then {quoted(fv.MSG_EXPORT_NO_VERSION)} end as error
+  from exports e left join newest v on v.report_id = e.report_id left join checked c on c.report_id = e.report_id),
+registry as (
+  select {uuid5_sql('EXP', "report_id || '|' || export_type || '|' || cast(generated_at as varchar)")} as export_id,
+    report_id, patient_id, order_id, report_version_id, source_context_hash, export_type, generated_at, error,
+    case when error is null and export_status = 'GENERATED' then 'GENERATED' else 'FAILED' end as export_status,
+    case when error is null and export_status = 'GENERATED' then length(report_id) * 100 end as file_size_bytes,
+    lower(export_type) || '_' || report_id || '_v' || version_number || '.pdf' as requested_filename
+  from attempts)"""
+
+
+def gated_registry(gold_cases: DataFrame) -> DataFrame:
+    checked = checked_reports(gold_cases).select(
+        "report_id", "specimen_id", "case_found", "is_outdated", "status", "version_number"
+    )
+    attempts = inputs.export_attempts(gold_cases).join(checked, "report_id", "left")
+    gated = reports.export_gate(attempts, F.col("export_type")).drop("version_number")
+    return reports.export_registry(gated, inputs.versions(gold_cases))
 
 
 @register(
@@ -533,13 +569,21 @@ REGISTRY_CTE = f""", registry as (
     + """ select export_id, report_id, report_version_id,
       case when export_status = 'GENERATED' then requested_filename else 'pending.pdf' end as pdf_filename,
       requested_filename, export_status, source_context_hash, cast(generated_at as varchar) as generated_at,
-      'local-biologist' as generated_by, file_size_bytes, export_type from registry""",
+      'local-biologist' as generated_by, file_size_bytes, export_type, error from registry""",
 )
 def export_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold_cases = inputs.lab_gold(spark, sf_dir)
-    return as_text(
-        reports.export_registry(inputs.export_attempts(gold_cases), inputs.versions(gold_cases)), "generated_at"
-    )
+    return as_text(gated_registry(inputs.lab_gold(spark, sf_dir)), "generated_at")
+
+
+@register(
+    "export_list",
+    STORY
+    + """ select export_id, report_id, export_type, export_status, cast(generated_at as varchar) as generated_at
+      from exports order by generated_at desc, export_id""",
+)
+def export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = reports.export_list(inputs.exports(inputs.lab_gold(spark, sf_dir)))
+    return as_text(listed, "generated_at").select("export_id", "report_id", "export_type", "export_status", "generated_at")
 
 
 @register(
@@ -570,22 +614,26 @@ def export_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
       from silver group by all)
     select e.export_id, e.report_id, e.export_type, cast(e.generated_at as varchar) as generated_at, {KEYS}, r.status,
       v.version_number, v.source_context_hash, v.report_text, v.model_name,
-      case when v.model_name like 'remote%' then 'remote_medgemma' else 'mock_medgemma' end as provider_used,
+      case when v.model_name like 'remote%' then 'remote_medgemma' when v.model_name is not null then 'mock_medgemma' end as provider_used,
       a.comment as biologist_comment, cast(a.created_at as varchar) as validation_date, g.context_hash, g.results_count,
       g.validation_status_summary, {ISO.format('g.first_result_datetime')} as first_result_datetime,
-      {ISO.format('g.last_result_datetime')} as last_result_datetime, l.result_lines
-    from exports e join current_reports r on r.report_id = e.report_id left join newest v on v.report_id = e.report_id
+      {ISO.format('g.last_result_datetime')} as last_result_datetime, l.result_lines,
+      case when r.report_id is null then {filled(fv.MSG_REPORT_MISSING, "e.report_id")}
+        when g.patient_id is null then {filled(fv.MSG_CASE_MISSING, "r.patient_id", "r.order_id", "r.specimen_id")}
+        when v.report_id is null then {quoted(fv.MSG_EXPORT_NO_VERSION)} end as error
+    from exports e left join current_reports r on r.report_id = e.report_id left join newest v on v.report_id = e.report_id
       left join {LATEST_VALIDATION} a on a.report_id = e.report_id
-      join gold g on g.patient_id = r.patient_id and g.order_id = r.order_id and g.specimen_id = r.specimen_id
-      join lines l on l.patient_id = r.patient_id and l.order_id = r.order_id and l.specimen_id = r.specimen_id""".replace(
+      left join (select * from story where n <> 9) g on g.patient_id = r.patient_id and g.order_id = r.order_id and g.specimen_id = r.specimen_id
+      left join lines l on l.patient_id = g.patient_id and l.order_id = g.order_id and l.specimen_id = g.specimen_id""".replace(
         f"{KEYS}, r.status", "r.patient_id, r.order_id, r.specimen_id, r.status"
     ),
 )
 def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold_cases = inputs.lab_gold(spark, sf_dir)
     current = reports.reports_with_status(inputs.reports(gold_cases), inputs.status_changes(gold_cases))
+    remaining = inputs.with_scenario(gold_cases).filter("n <> 9").select(*gold_cases.columns)  # some cases are gone
     dossier = reports.export_dossier(
-        inputs.exports(gold_cases), current, inputs.versions(gold_cases), gold_cases, inputs.actions(gold_cases)
+        inputs.exports(gold_cases), current, inputs.versions(gold_cases), remaining, inputs.actions(gold_cases)
     )
     return (
         as_text(dossier, "generated_at", "validation_date")
@@ -594,7 +642,7 @@ def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
             "export_id", "report_id", "export_type", "generated_at", *CASE_KEYS, "status", "version_number",
             "source_context_hash", "report_text", "model_name", "provider_used", "biologist_comment", "validation_date",
             "context_hash", "results_count", "validation_status_summary", "first_result_datetime", "last_result_datetime",
-            "result_lines",
+            "result_lines", "error",
         )
     )
 
@@ -602,8 +650,8 @@ def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Chat ------------------------------------------------------------------------------------
 
 CHAT_CTE = f""", talks as (
-  select c.*, f.report_id from conversations c
-  join (select patient_id, min(report_id) as report_id from reports group by all) f
+  select c.*, coalesce(f.report_id, (select min(report_id) from reports)) as report_id from conversations c
+  left join (select patient_id, min(report_id) as report_id from reports group by all) f
     on f.patient_id = 'PAT-' || cast(c.conv_id as varchar)),
 answers as (
   select t.report_id, t.turn, t.text as question, {_ts(3, '0', 't.turn')} as created_at, r.patient_id, r.order_id,
@@ -703,6 +751,10 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"version": ' || v.version_number || '}' as details_json, cast(v.created_at as varchar) as created_at
       from versions v join reports r on r.report_id = v.report_id
       union all
+      select 'REPORT_REGENERATED', 'report', r.report_id, r.patient_id, r.order_id,
+        '{"version": ' || (coalesce(v.version_number, 0) + 1) || '}', '2026-03-01 00:00:00'
+      from reports r left join newest v on v.report_id = r.report_id
+      union all
       select 'REPORT_' || action, 'report', report_id, patient_id, order_id,
         '{"comment": ' || coalesce(to_json(comment), 'null') || '}', cast(created_at as varchar) from actions
       union all
@@ -711,22 +763,28 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
       union all
       select case when export_status = 'FAILED' then 'PDF_GENERATION_FAILED' when export_type = 'DRAFT_PDF'
           then 'DRAFT_PDF_GENERATED' else 'PDF_GENERATED' end, 'report_export', export_id, patient_id, order_id,
-        '{' || case when export_status = 'FAILED' then '"error": "disk full", ' else '' end || '"export_id": "' || export_id ||
-        '", "export_type": "' || export_type || '", "pdf_filename": "' || requested_filename || '", "report_id": "' ||
-        report_id || '", "report_version_id": "' || report_version_id || '", "source_context_hash": "' ||
-        source_context_hash || '"}', cast(generated_at as varchar) from registry""",
+        '{' || case when export_status = 'FAILED' then '"error": ' || to_json(coalesce(error, 'disk full')) || ', ' else '' end ||
+        '"export_id": "' || export_id || '", "export_type": "' || export_type || '", "pdf_filename": ' ||
+        coalesce(to_json(requested_filename), 'null') || ', "report_id": "' || report_id || '", "report_version_id": ' ||
+        coalesce(to_json(report_version_id), 'null') || ', "source_context_hash": ' ||
+        coalesce(to_json(source_context_hash), 'null') || '}', cast(generated_at as varchar) from registry""",
 )
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold_cases = inputs.lab_gold(spark, sf_dir)
     keyed = inputs.reports(gold_cases).select("report_id", "patient_id", "order_id")
     stored = inputs.versions(gold_cases).join(keyed, "report_id")
+    exported = inputs.export_attempts(gold_cases).select("report_id", "patient_id", "order_id").distinct()
     registry = (
-        reports.export_registry(inputs.export_attempts(gold_cases), inputs.versions(gold_cases))
-        .join(keyed, "report_id")
-        .withColumn("error", F.when(F.col("export_status") == fv.EXPORT_FAILED, "disk full"))
+        gated_registry(gold_cases)
+        .join(exported, "report_id")
+        .withColumn("error", F.when(F.col("export_status") == fv.EXPORT_FAILED, F.coalesce("error", F.lit("disk full"))))
+    )
+    again = reports.regenerate_drafts(
+        inputs.reports(gold_cases), inputs.versions(gold_cases), gold_cases, now(), text=lambda: F.lit("")
     )
     return reports.audit_log(
         reports.audit_drafts(stored),
+        reports.audit_drafts(again, "REPORT_REGENERATED"),
         reports.audit_actions(inputs.actions(gold_cases)),
         reports.audit_chat(answered(spark, sf_dir, gold_cases)),
         reports.audit_exports(registry),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from assaylake.operators import bus, events
 from assaylake.schemas import SchemaMismatch
-from assaylake.streaming.cursor import changes_after, next_cursor
+from assaylake.streaming.cursor import poll
+from assaylake.verification import inputs
 
 ROUTES = {
     "LAB_RESULT_CREATED": "glims.result", "LAB_RESULT_UPDATED": "glims.result", "LAB_RESULT": "glims.result",
@@ -112,10 +113,19 @@ def test_validation_and_append(spark, make_events):
 def test_cursor_loses_no_ties(make_events):
     log, cursor, seen = log_of(make_events), None, []
     while True:
-        page = changes_after(log, cursor, limit=2)
-        found = ids_of(page)
-        if not found:
+        page, cursor = poll(log, cursor, limit=2)
+        if not page:
             break
-        seen += found
-        cursor = next_cursor(page, cursor)
+        seen += [r.event_id for r in page]
     assert seen == ["b", "c", "d", "a"]
+
+
+def test_pages_of_the_lab_log_give_every_event_once(spark):
+    log, cursor, seen = inputs.event_log(spark, "/root/testdata/sf0.001").cache(), None, []
+    while True:
+        page, cursor = poll(log, cursor, limit=150)
+        if not page:
+            break
+        seen += [r.seq for r in page]
+    assert len(seen) == len(set(seen)) == log.count()
+    log.unpersist()

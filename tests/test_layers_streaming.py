@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from assaylake.operators import events, gold, reports
+from assaylake.plans import layers as runs
 from assaylake.plans.layers import run_layers
 from assaylake.schemas import EVENT_COLUMNS
 from assaylake.sources import event_log, layers
@@ -59,7 +61,7 @@ def test_sample_takes_the_first_objects_in_file_order(spark, tmp_path):
 
 def test_layers_from_json_lines(spark, tmp_path):
     bronze = event_log.bronze_from_jsonl(spark, [json_lines(spark, tmp_path / "in")])
-    done = run_layers(spark, bronze, str(tmp_path / "lake"), inline_results=2)
+    done = run_layers(spark, bronze, str(tmp_path / "lake"))
     expected_silver = inputs.lab_silver(spark, SF)
     assert done["bronze"].records == inputs.raw_events(spark, SF).count()
     assert done["silver"].records == expected_silver.count()
@@ -143,9 +145,48 @@ def test_staleness_is_marked_on_refreshed_cases(spark, tmp_path):
     cases = spark.read.parquet(str(tmp_path / "old"))
     current = reports.reports_with_status(inputs.reports(cases), inputs.status_changes(cases))
     stream = spark.readStream.schema(cases.schema).parquet(str(tmp_path / "old"))
-    check = jobs.staleness_batches(lambda: current, lambda: inputs.versions(cases), str(tmp_path / "changes"))
+    check = jobs.staleness_batches(lambda: current, lambda: inputs.versions(cases), str(tmp_path / "changes"), lambda _: F.lit("2026-05-01").cast("timestamp"))
     run_all(stream.writeStream.foreachBatch(check).option("checkpointLocation", str(tmp_path / "cp")))
     marked = spark.read.parquet(str(tmp_path / "changes"))
     stale = inputs.with_scenario(cases).filter("n in (1, 4)")
     assert marked.count() == stale.count() > 0
     assert marked.join(stale, "report_id", "left_anti").isEmpty()
+    current = reports.reports_with_status(
+        inputs.reports(cases), inputs.status_changes(cases).unionByName(marked.select("report_id", "at", "seq", "status"))
+    )
+    again = jobs.staleness_batches(
+        lambda: current, lambda: inputs.versions(cases), str(tmp_path / "again"), lambda _: F.lit("2026-05-02").cast("timestamp")
+    )
+    again(cases, 0)
+    assert spark.read.parquet(str(tmp_path / "again")).isEmpty()
+
+
+def test_updated_layers_equal_a_full_run(spark, tmp_path, ranges):
+    bronze = inputs.lab_events(spark, SF).drop("seq").cache()
+    silver_columns = ["event_id", "result_id", "value", "abnormal_flag", "modified_at"]
+    case_columns = ["patient_id", "order_id", "specimen_id", "results_count", "results", "context_hash"]
+    run_layers(spark, bronze, str(tmp_path / "full"), ranges=ranges)
+    step = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for number in (0, 1, 2, 2):  # the last batch comes twice
+        runs.update_layers(spark, bronze.filter(step == number), str(tmp_path / "kept"), ranges=ranges, buckets=5)
+    for layer, columns in (("silver", silver_columns), ("cases", case_columns)):
+        full, kept = (spark.read.parquet(str(tmp_path / x / layer)).select(*columns) for x in ("full", "kept"))
+        assert full.exceptAll(kept).isEmpty() and kept.exceptAll(full).isEmpty()
+    bronze.unpersist()
+
+
+def test_a_moved_result_leaves_its_old_case(spark, tmp_path, ranges, make_events):
+    moved = make_events({"event_id": "E2", "order_id": "other", "modified_at": "2026-03-01T00:00:00Z"})
+    for batch in (make_events({}), moved):
+        runs.update_layers(spark, batch, str(tmp_path), ranges=ranges)
+    cases = spark.read.parquet(str(tmp_path / "cases")).collect()
+    assert [(r.order_id, r.results_count) for r in cases] == [("other", 1)]
+
+
+def test_stream_keeps_the_layers(spark, tmp_path, ranges):
+    stream = jobs.jsonl_stream(spark, json_lines(spark, tmp_path / "in", files=3), maxFilesPerTrigger="2")
+    update = runs.layer_batches(str(tmp_path / "lake"), ranges=ranges, buckets=4)
+    run_all(stream.writeStream.foreachBatch(update).option("checkpointLocation", str(tmp_path / "cp")))
+    columns = ["event_id", "result_id", "value_numeric", "abnormal_flag"]
+    kept, batch = spark.read.parquet(str(tmp_path / "lake/silver")).select(*columns), inputs.lab_silver(spark, SF).select(*columns)
+    assert kept.exceptAll(batch).isEmpty() and batch.exceptAll(kept).isEmpty()

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from assaylake.verification import compare
+from assaylake.verification import catalog, compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def duck():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     assert compare.differences(entry.queries()[name](spark, SF), duck, entry.oracle_sql()[name]) == []
 

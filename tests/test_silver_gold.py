@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from assaylake.functions import texts
 from assaylake.operators import gold, silver
 from assaylake.schemas import CASE_KEYS
 
@@ -113,17 +114,22 @@ def test_hash_does_not_depend_on_row_order(spark, make_events, ranges):
     assert one == rows(gold.gold_report_context(result.repartition(11, F.rand())), *CASE_KEYS, "context_hash")
 
 
-def test_large_cases_take_the_streamed_way_with_equal_results(spark, make_events, ranges):
-    result = silver.silver_lab_results(
-        many(spark, make_events).unionByName(make_events({"event_id": "X", "order_id": "small"})), ranges
-    ).cache()
-    names = [c for c in gold.CONTEXT_COLUMNS if c not in ("results", "generated_at")]
-    plain = rows(gold.gold_report_context(result), *names)
-    split = gold.gold_report_context(result, hot=gold.hot_cases(result, limit=20))
-    assert rows(split, *names) == plain
-    assert split.filter("results is null").count() == 4
-    assert gold.gold_report_context(result, hot=gold.hot_cases(result, limit=25)).filter("results is null").count() == 0
-    assert gold.case_results(result).count() == 101
+def test_a_very_large_case_keeps_every_result(spark, make_events, ranges):
+    count = 150_000
+    one = make_events({}).drop("event_id", "result_id", "value")
+    large = spark.range(0, count, 1, 8).crossJoin(one).withColumns({
+        "event_id": F.format_string("E%07d", "id"), "result_id": F.format_string("R%07d", "id"),
+        "value": F.when(F.col("id") % 3 == 0, "1").otherwise("7"),
+    }).drop("id")
+    context = gold.gold_report_context(silver.silver_lab_results(large, ranges)).cache()
+    row = context.select(
+        "results_count", F.size("results").alias("listed"), "context_hash", texts.draft_report().alias("draft"),
+        texts.context_text().alias("prompt"), texts.chat_answer(F.lit("q")).alias("answer"),
+    ).first()
+    assert row.results_count == row.listed == count and None not in row
+    assert f"- ... {count - 40} additional" in row.prompt and f"contains {count} result(s)" in row.answer
+    assert gold.exploded_results(context).count() == count
+    context.unpersist()
 
 
 def test_flag_counts_add_up(spark, make_events, ranges):
