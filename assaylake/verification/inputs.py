@@ -68,6 +68,22 @@ def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.gold_report_context(lab_silver(spark, sf_dir), generated_at=F.lit(DAY_ONE).cast("timestamp"))
 
 
+def busy_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lab events in seven cases of very many results, some with a reference range of their own."""
+    lab = lab_events(spark, sf_dir)
+    group = (F.split_part(F.col("order_id"), F.lit("-"), F.lit(2)).cast("long") % 7).cast("string")
+    number = F.split_part(F.col("event_id"), F.lit("-"), F.lit(2)).cast("long")
+    merged = lab.withColumns(
+        {
+            "patient_id": F.when(F.trim("patient_id") == "", F.col("patient_id")).otherwise(F.concat(F.lit("PAT-"), group)),
+            "order_id": F.concat(F.lit("ORD-"), group),
+            "specimen_id": F.lit("SPC-1"),
+            "reference_range": F.when(number % 3 == 0, "1 - 2"),
+        }
+    )
+    return gold.gold_report_context(_silver_of(merged), generated_at=F.lit(DAY_ONE).cast("timestamp"))
+
+
 # --- Event log -------------------------------------------------------------------------------
 
 

@@ -226,6 +226,31 @@ def draft_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.lab_gold(spark, sf_dir).select(*CASE_KEYS, texts.draft_report().alias("report_text"))
 
 
+def _busy(sql: str) -> str:
+    """The same over seven cases of very many results, so that every limit of the texts is passed."""
+    for old, new in (
+        ("else 'PAT-' || cast(user_id as varchar) end", "else 'PAT-' || cast(user_id%7 as varchar) end"),
+        ("'ORD-' || cast(user_id as varchar) || '-' || d as order_id", "'ORD-' || cast(user_id%7 as varchar) as order_id"),
+        ("'SPC-' || cast(user_id as varchar) || '-' || d || '-' || cast(event_id%2 as varchar) as specimen_id", "'SPC-1' as specimen_id"),
+        ("cast(null as varchar) as reference_range", "case when event_id%3=0 then '1 - 2' end as reference_range"),
+    ):
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    return sql
+
+
+@register(
+    "busy_case_texts",
+    _busy(GOLD_CTE + DRAFT_CTE + PROMPT_CTE.removeprefix(RANKED))
+    + f""" select {KEYS}, cast(drafts.results_count as bigint) as results_count, report_text, context_text
+      from drafts join prompts using ({KEYS})""",
+)
+def busy_case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.busy_gold(spark, sf_dir).select(
+        *CASE_KEYS, "results_count", texts.draft_report().alias("report_text"), texts.context_text().alias("context_text")
+    )
+
+
 # --- Report tables in SQL --------------------------------------------------------------------
 
 
