@@ -10,6 +10,7 @@ import json
 import os
 import re
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession, functions as F
@@ -18,6 +19,7 @@ from assaylake import fixed_values as fv
 from assaylake.operators import gold, silver
 from assaylake.session import configure
 from assaylake.sources.ranges import range_table
+from assaylake.streaming import jobs
 from assaylake.verification import inputs
 
 
@@ -83,7 +85,21 @@ def main() -> None:
         gold.gold_report_context(rows.withColumn("is_latest", F.lit(True))).filter("status = 'READY_FOR_AI'").count()
         rows.filter(F.col("abnormal_flag").isin("H", "L")).count()
 
+    def streamed():
+        with tempfile.TemporaryDirectory() as folder:  # the session of this script is local
+            state = jobs.latest_state(spark.readStream.schema(stored.schema).parquet(bronze))
+            flagged = jobs.silver_from_state(state, range_table(spark))
+            query = flagged.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder)
+            query.trigger(availableNow=True).start().awaitTermination()
+
+    bronze = tempfile.mkdtemp(prefix="bench-bronze-") + "/events"
+    inputs.lab_events(spark, sf_dir).write.parquet(bronze)
+    stored = spark.read.parquet(bronze)
+
     seconds = {
+        "gold_report_context": timed(lambda: run(inputs.lab_gold(spark, sf_dir)), runs),
+        "silver_batch_of_stored_events": timed(lambda: run(silver.silver_lab_results(stored, range_table(spark))), runs),
+        "silver_stream_of_stored_events": timed(streamed, runs),
         "silver_native": timed(lambda: run(native()), runs),
         "silver_python_udfs": timed(lambda: run(with_python_udfs(latest())), runs),
         "kpis_one_pass": timed(lambda: gold.dashboard_kpis(native().withColumn("is_latest", F.lit(True))).collect(), runs),
