@@ -6,20 +6,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SYMBOLS = 7  # of nine bits each, in the first sort key
+SYMBOLS = 6  # of ten bits each, in the first sort key
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and rank of every position, for symbols 0..511.
+    """Suffix array and rank of every position, for symbols 0..1022.
 
-    The first sort is by seven symbols. Each refinement looks at the ranks ``h`` places on, sorts only the
+    The first sort is by six symbols; what lies behind the end is smaller than all of them. Each refinement looks at the ranks ``h`` places on, sorts only the
     groups that are still tied, and doubles ``h``.
     """
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(SYMBOLS, dtype=np.int64)])
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(SYMBOLS, dtype=np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for i in range(SYMBOLS):
-        key = key << 9 | padded[i : i + n]
+        key = key << 10 | padded[i : i + n]
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.concatenate(([True], key[1:] != key[:-1]))
@@ -121,20 +121,46 @@ def merged(a: Grams, b: Grams) -> Grams:
     return Grams(np.insert(a.words, place[new], b.words[new], axis=0), np.insert(smallest, place[new], b.smallest[new]))
 
 
+def joined(segments: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with a zero byte behind each: bytes, starts, lengths, and the place of every window of ``size``."""
+    lengths = np.array([len(s) for s in segments], dtype=np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    raw = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
+    windows = lengths - size + 1
+    places = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    return raw, starts, lengths, places
+
+
+def may_repeat(segments: list[bytes], size: int) -> np.ndarray:
+    """Which segments hold a window whose hash occurs twice; the windows of all others are unique."""
+    raw, _, lengths, places = joined(segments, size)
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray(len(raw), dtype="<u8", buffer=padded, strides=(1,))
+    value = np.zeros(len(places), dtype=np.uint64)
+    for at in [*range(0, size - 7, 8), size - 8]:
+        value = (value ^ (value >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[places + at]
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    value ^= value >> np.uint64(33)
+    ordered = np.sort(value)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    hit = np.zeros(len(value), dtype=bool)
+    if len(twice):
+        hit = twice[np.minimum(np.searchsorted(twice, value), len(twice) - 1)] == value
+    windows = lengths - size + 1
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(windows) - windows) > 0
+
+
 def repeated_grams(segments: list[bytes], ids: np.ndarray, size: int) -> tuple[Grams, np.ndarray, np.ndarray]:
     """The strings of ``size`` bytes in the segments of a shard, and for every window its place among them.
 
     ``ids`` has the smallest id of each segment. Windows are numbered through, segment by segment.
     """
-    lengths = np.array([len(s) for s in segments], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    raw = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
+    raw, starts, lengths, places = joined(segments, size)
     text = raw.astype(np.int16) + 1
     text[starts + lengths] = 0
     order, rank = suffix_array(text)
     windows = lengths - size + 1
     common = common_prefixes(text, order, rank, starts, windows, size)
-    places = np.repeat(starts - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(int(windows.sum()))
     by = np.argsort(rank[places])
     sorted_places = places[by]
     fresh = common[sorted_places] < size

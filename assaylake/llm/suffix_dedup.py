@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import cut
-from .suffix_arrays import binary_search, merged, repeated_grams
+from .suffix_arrays import binary_search, may_repeat, merged, repeated_grams
 
 SIZE = 50  # bytes of a window
 PART = 16  # bytes of the strings that name it
@@ -35,7 +35,7 @@ STEP = 1 << 16  # bytes that are scanned at once
 RUN = 64  # windows of a segment at most
 BLOCK = 4 << 20  # bytes of text in a block
 SHARD = 2 << 20  # bytes of the segments of a shard
-ARRAY = 1 << 20  # bytes under one suffix array
+ARRAY = 1 << 19  # bytes under one suffix array
 ANCHORS = 1 << 20  # minimizers that one bucket compares
 HOT = 20_000  # segments of a minimizer above which windows are dealt by content
 NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
@@ -159,6 +159,8 @@ def minimizers(stored: DataFrame, buckets: int) -> DataFrame:
                 names = names[heads]
                 rows = np.concatenate([_six(names), np.minimum(count, 127)[:, None].astype(np.uint8) | shared[:, None].astype(np.uint8) << 7], axis=1)
                 bucket = _bucket(names, buckets)
+                order = np.argsort(bucket, kind="stable")
+                rows, bucket = rows[order], bucket[order]
                 edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 found = [rows[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(rows)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], type=pa.int32()), pa.array([block] * len(edges), type=pa.int64()), pa.array(found, type=pa.binary())], ["bucket", "block", "found"])
@@ -167,8 +169,8 @@ def minimizers(stored: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Even ranges of the 48-bit names; sorted names give sorted buckets."""
-    return ((names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    """Even buckets of the 48-bit names. Minimizers are small numbers, so they are mixed first."""
+    return ((names * _MIX[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def _compare(hot: int):
@@ -296,15 +298,21 @@ def _resolve(limit: int):
             smallest_of[mine] = np.minimum(smallest_of[mine], least)
         ids = smallest_of
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1).tolist(), len(texts)]
+        # Windows that no other segment has belong to their own segment's smallest document.
+        again = np.flatnonzero(may_repeat(texts, SIZE))
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes[again]) // limit)) + 1).tolist(), len(again)]
         runs, all_grams = [], None
         for a, b in zip(edges, edges[1:], strict=False):
             if a < b:
-                grams, of_window, _ = repeated_grams(texts[a:b], ids[a:b], SIZE)
+                grams, of_window, _ = repeated_grams([texts[i] for i in again[a:b].tolist()], ids[again[a:b]], SIZE)
                 runs.append((grams, of_window))
                 all_grams = grams if all_grams is None else merged(all_grams, grams)
-        smallest = [all_grams.smallest[binary_search(all_grams.words, g.words)[0]][w] if len(runs) > 1 else g.smallest[w] for g, w in runs]
-        smallest = np.concatenate(smallest)
+        smallest = np.repeat(ids, sizes - SIZE + 1)
+        if runs:
+            found = [all_grams.smallest[binary_search(all_grams.words, g.words)[0]][w] if len(runs) > 1 else g.smallest[w] for g, w in runs]
+            use = np.zeros(len(texts), dtype=bool)
+            use[again] = True
+            smallest[np.repeat(use, sizes - SIZE + 1)] = np.concatenate(found)
         windows = sizes - SIZE + 1
         first = np.cumsum(windows) - windows
         out = []
