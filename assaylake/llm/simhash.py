@@ -128,7 +128,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     smallest = cut(base.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")))
     roots = cut(components(links(smallest.select("fingerprint"))).withColumnRenamed("node", "fingerprint"))
     linked = cut(roots.join(smallest, "fingerprint"))
-    reached = linked.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    # Stored first, so that Spark can split the join where one component is very large.
+    reached = cut(linked.groupBy("root").agg(F.min("smallest").alias("component_id")))
     group = smallest.join(linked.join(reached, "root").select("fingerprint", "component_id"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "smallest").alias("component_id")
     )

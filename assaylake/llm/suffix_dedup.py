@@ -403,7 +403,8 @@ def resolved(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     documents = stored.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "document"))
     documents = documents.select("block", "place", F.col("document.ids").alias("id"), F.col("document.digests").alias("digest"))
     least = documents.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
-    copies = documents.join(least, "digest").where("id > least").groupBy("block").agg(F.collect_list("place").alias("copies"))
+    # Stored first, so that Spark can split the join where one text has very many copies.
+    copies = documents.join(cut(least), "digest").where("id > least").groupBy("block").agg(F.collect_list("place").alias("copies"))
     told = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))
     # Both uses below read the same columns, so that the blocks are shuffled once.
     columns = stored.select("block", "ids", "sizes", "texts", "others")
