@@ -187,3 +187,19 @@ def test_empty_tables(no_docs):
     assert simhash.near_groups(no_docs).count() == 0
     assert suffix_dedup.repeated_spans(no_docs).count() == 0
     assert suffix_dedup.without_repeats(no_docs).columns == no_docs.columns
+
+
+def clashing(spark):
+    """Repeated rows and ids that several texts share; each group of equal texts and the text that stays."""
+    made = [("twice", 1), ("twice", 1), ("x y", 2), ("alone", 2), ("xy", 1), ("xy", 0), ("a b", 3), ("a\nb", 3), ("ab", 4), ("often", 5)]
+    made += [("often", 5)] * 20 + [("twice", 6), ("no id", None), ("no id", None)]
+    df = spark.createDataFrame([(t, i, "d") for t, i in made], "text string, doc_id long, digest string").repartition(3)
+    return df, [("a\nb", 3), ("alone", 2), ("no id", None), ("no id", None), ("often", 5), ("twice", 1), ("x y", 2)]
+
+
+def test_exact_dedup_keeps_each_text_once(llm, docs):
+    df, expected = clashing(llm)
+    assert sorted((r.text, r.doc_id) for r in exact_dedup.exact_dedup(df).collect()) == expected
+    plain = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    kept = [plain(r.text) for r in exact_dedup.exact_dedup(docs).where("doc_id is not null").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == {plain(r.text) for r in docs.where("doc_id is not null").collect()}
