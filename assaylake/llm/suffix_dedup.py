@@ -143,7 +143,10 @@ def _from_six(data: np.ndarray) -> np.ndarray:
 
 
 def minimizers(stored: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block, found``: distinct minimizers of each block, with their number and whether documents share them."""
+    """``bucket, block, found, more``: distinct minimizers of each block, with their number and whether documents share them.
+
+    ``found`` counts to 127; ``more`` has the place and the rest of each higher count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +163,19 @@ def minimizers(stored: DataFrame, buckets: int) -> DataFrame:
                 rows = np.concatenate([_six(names), np.minimum(count, 127)[:, None].astype(np.uint8) | shared[:, None].astype(np.uint8) << 7], axis=1)
                 bucket = _bucket(names, buckets)
                 order = np.argsort(bucket, kind="stable")
-                rows, bucket = rows[order], bucket[order]
+                rows, bucket, count = rows[order], bucket[order], count[order]
                 edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                found = [rows[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(rows)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], type=pa.int32()), pa.array([block] * len(edges), type=pa.int64()), pa.array(found, type=pa.binary())], ["bucket", "block", "found"])
+                spans = list(zip(edges, [*edges[1:], len(rows)], strict=True))
+                found, more = [rows[a:b].tobytes() for a, b in spans], [_rest(count[a:b]) for a, b in spans]
+                columns = [pa.array(bucket[edges], type=pa.int32()), pa.array([block] * len(edges), type=pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, type=pa.binary()), pa.array(more, type=pa.binary())], ["bucket", "block", "found", "more"])
+
+    return stored.select("block", "sizes", "texts").mapInArrow(run, "bucket int, block long, found binary, more binary")
+
 
-    return stored.select("block", "sizes", "texts").mapInArrow(run, "bucket int, block long, found binary")
+def _rest(count: np.ndarray) -> bytes:
+    high = np.flatnonzero(count > 127)
+    return np.stack([high, count[high] - 127], axis=1).astype("<u4").tobytes()
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -180,7 +190,12 @@ def _compare(hot: int):
         names = np.concatenate([_from_six(d[:, :6]) for d in data])
         marks = np.concatenate([d[:, 6] for d in data])
         known, inverse, times = np.unique(names, return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, weights=(marks & 127).astype(np.float64), minlength=len(known))
+        count, start = (marks & 127).astype(np.float64), 0
+        for part, rest in zip(data, rows.column("more").to_pylist(), strict=True):
+            place, high = np.frombuffer(rest, dtype="<u4").reshape(-1, 2).T
+            count[start + place] += high
+            start += len(part)
+        total = np.bincount(inverse, weights=count, minlength=len(known))
         shared = times > 1
         shared[inverse[marks > 127]] = True
         keep = shared[inverse]

@@ -203,3 +203,19 @@ def test_exact_dedup_keeps_each_text_once(llm, docs):
     plain = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
     kept = [plain(r.text) for r in exact_dedup.exact_dedup(docs).where("doc_id is not null").collect()]
     assert len(kept) == len(set(kept)) and set(kept) == {plain(r.text) for r in docs.where("doc_id is not null").collect()}
+
+
+def test_minimizers_are_counted_in_full(llm):
+    """A minimizer of one block only becomes hot by its real number of segments, not by 127 of a block."""
+    rng = np.random.default_rng(6)
+    some = lambda: "".join(chr(c) for c in rng.integers(97, 123, 60))
+    given = [(some() + "one string in many documents" + some(), i) for i in range(400)]
+    stored = suffix_dedup.blocks(llm.createDataFrame(given, "text string, doc_id long").coalesce(1), "text", "doc_id")
+    row = stored.collect()
+    assert len(row) == 1
+    names, count = np.unique(suffix_dedup.Block(row[0].texts, row[0].sizes).segments()[2], return_counts=True)
+    assert count.max() > 300
+    shared = suffix_dedup.minimizers(stored, 3).groupBy("bucket").applyInArrow(suffix_dedup._compare(300), "block long, shared binary")
+    data = np.concatenate([np.frombuffer(r.shared, dtype=np.uint8).reshape(-1, 7) for r in shared.collect()])
+    found = suffix_dedup._from_six(data[:, :6])[data[:, 6] > 0]
+    assert sorted(found.tolist()) == sorted(names[count > 300].tolist())
