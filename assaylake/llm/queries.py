@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_files, topk
+from . import bpe, chat, exact_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, token_files, topk
 from .shared import cut, prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -119,3 +119,35 @@ def op8(spark, sf_dir):
         (F.expr("xxhash64(conv_id, 1) % 2") != 0).alias("held_out"),
         F.sha2("rendered", 256).alias("rendered_sha256"),
     )
+
+
+def rebuilt_words(doc_id, text):
+    """Words with a planted period at the end, for one document in ten by the crc32 of its id; other texts as they are."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    found = F.struct(words.alias("w"), F.size(words).alias("n"), F.crc32(doc_id.cast("string").cast("binary")).alias("h"))
+    g, n = (lambda x: F.floor(x["h"] / 10)), (lambda x: x["n"])
+    start = lambda x: g(x) % n(x)
+    period = lambda x: 1 + F.floor((n(x) - start(x)) / (3 + g(x) % 8))
+    place = lambda x, i, a, p: F.when(i < a, i).otherwise(a + (i - a) % p)
+    planned = F.transform(F.array(found), lambda x: F.struct(x["w"].alias("w"), start(x).alias("a"), period(x).alias("p")))
+    planted = F.transform(planned, lambda x: F.array_join(F.transform(x["w"], lambda w, i: F.get(x["w"], place(x, i, x["a"], x["p"]).cast("int"))), " "))
+    return F.when((found["h"] % 10 == 0) & (found["n"] > 0), planted[0]).otherwise(text)
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(docs.withColumn("text", rebuilt_words(F.col("doc_id"), F.col("text"))))
+    # Greatest length first, then smallest start, then smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
