@@ -6,17 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..checkpoints import stored
 
-def day_piece(df: DataFrame, name: str) -> Column:
-    """The day of an order column: of a time, or the first ten characters of a text. Pieces rise with the order."""
-    kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.date_trunc("day", F.col(name))
-    return F.substring(F.col(name), 1, 10) if kind == "string" else F.lit(0)
 
+def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """``df`` in the order of keys and order columns (nulls first), cut into ranges of even size, and stored.
+
+    ``_piece`` is the range of a row and ``_at`` its place in the whole order. A key of any size, also one whose
+    rows share one order value or are equal in full, is spread over ranges. Ranges come from a sample of
+    the rows, so they are stored once: every later use sees the same ones. ``columns`` are those to keep.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    place = [*keys, *order, "_tie"]
+    ordered = tied.repartitionByRange(*place).sortWithinPartitions(*place)
+    # The number of a row is that of its partition and its place there.
+    numbered = ordered.select(*(df.columns if columns is None else columns), F.monotonically_increasing_id().alias("_at"))
+    return stored(numbered).withColumn("_piece", F.shiftright("_at", 33))
 
-def _pieces(df: DataFrame, order: Sequence[str], piece: Column | None) -> DataFrame:
-    return df.withColumn("_piece", day_piece(df, order[0]) if piece is None else piece)
+
+def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None) -> tuple[DataFrame, list[str]]:
+    if piece is None:
+        return range_pieces(df, keys, order), ["_at"]
+    return df.withColumn("_piece", piece), list(order)
 
 
 def row_number_in_pieces(
@@ -25,11 +36,13 @@ def row_number_in_pieces(
     """``row_number`` per key, ascending with nulls first, for keys of any size.
 
     Rows are numbered inside (key, piece); the counts per piece, at most one row per key and piece,
-    give each piece its start. ``piece`` must not fall along the order; it decides how the work is
-    split and never changes the result. The default is the day of the first order column.
+    give each piece its start. Pieces are even ranges of the order (:func:`range_pieces`), so no key and no
+    order value makes a large one. A caller that knows better may give ``piece``, a column that does not fall
+    along the order; pieces decide how the work is split and never change the result. Rows that are equal
+    in all order columns are numbered in any order.
     """
     keys = list(keys)
-    cut = _pieces(df, order, piece)
+    cut, order = _pieces(df, keys, order, piece)
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -50,8 +63,8 @@ def running_last(
     Values run inside (key, piece); the last value of each piece is aggregated and carried on. See
     :func:`row_number_in_pieces` for ``piece``.
     """
-    keys, order = list(keys), list(order)
-    cut = _pieces(df, order, piece)
+    keys = list(keys)
+    cut, order = _pieces(df, keys, order, piece)
     place = F.struct(*order)
     ends = cut.groupBy(*keys, "_piece").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias("_end_" + f) for f in fields]

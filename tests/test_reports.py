@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assaylake import fixed_values as fv
 from assaylake.functions import texts
 from assaylake.operators import cases, gold, reports, silver
-from assaylake.operators.sizing import row_number_in_pieces
+from assaylake.operators.sizing import range_pieces, row_number_in_pieces, running_last
 
 T1, T2, T3 = (datetime(2026, 1, d) for d in (1, 2, 3))
 
@@ -178,6 +178,28 @@ def test_numbers_in_pieces_equal_plain_numbers(spark):
     assert numbered.exceptAll(expected).isEmpty() and numbered.count() == 500
 
 
+def test_one_key_with_one_time_is_spread(spark):
+    """Nearly all rows have one key and one time: pieces stay even, numbers and running values stay right."""
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 50 = 0, concat('r', id), 'hot') as key", "timestamp'2026-01-01' as at", "id",
+        "if(id % 7 = 0, cast(id as string), null) as a", "if(id = 3, 'x', null) as b",
+    )
+    sizes = [r["count"] for r in range_pieces(rows, ["key"], ["at"]).groupBy("_piece").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    numbered = row_number_in_pieces(rows, ["key"], ["at", "id"], "n")
+    assert numbered.exceptAll(rows.selectExpr("*", "cast(row_number() over (partition by key order by at, id) as int) as n")).isEmpty()
+    assert numbered.count() == 20_000
+    run = running_last(rows, ["key"], ["at", "id"], ["a", "b"])
+    plain = rows.selectExpr("key", "at", "id", *[f"last({c}, true) over (partition by key order by at, id) as {c}" for c in "ab"])
+    assert run.select(*plain.columns).exceptAll(plain).isEmpty() and run.count() == 20_000
+
+
+def test_equal_rows_get_numbers_of_their_own(spark):
+    rows = spark.createDataFrame([(None, None)] * 300 + [("k", 1)] * 5, "key string, at long").repartition(4)
+    found = row_number_in_pieces(rows, ["key"], ["at"], "n").collect()
+    assert sorted(r.n for r in found if r.key is None) == list(range(1, 301)) and sorted(r.n for r in found if r.key) == [1, 2, 3, 4, 5]
+
+
 def test_latest_export_and_validation(spark):
     exports = spark.createDataFrame(
         [("e1", "r", "GENERATED", T1), ("e2", "r", "FAILED", T3), ("e3", "r", "GENERATED", T2)],
