@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, token_files, topk
+from . import bpe, chat, exact_dedup, packing, prefix_trie, quality, runs, simhash, suffix_dedup, token_counts, token_files, topk
 from .shared import cut, prepare, table
 
 QUERIES, ORACLES = {}, {}
 
+# The crc32 of a decimal number ``x`` (text), bit by bit: a byte is added, then eight steps.
+CRC32_SQL = """xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(x, ''), lambda y: [unicode(y)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda r, y: CASE WHEN y >= 0 THEN xor(r, y) ELSE xor(r >> 1, (r & 1) * 3988292384) END, 4294967295::BIGINT))"""
+
 
 def register(name: str, sql: str | None = None):
     def keep(function):
@@ -151,3 +156,59 @@ def op11(spark, sf_dir):
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def rebuilt_conversations(rows):
+    """Conversations whose first turns are those of the first conversation of their five; and all their lengths."""
+    head, base = F.crc32(F.col("c").cast("string").cast("binary")) % 9, F.col("c") - F.pmod("c", F.lit(5))
+    sizes = cut(rows.groupBy("c").agg(F.max("d").alias("n")).select("c", "n", head.alias("h"), base.alias("base")))
+    given = sizes.where("c = base").select(F.col("c").alias("_base"), F.col("n").alias("_n"))
+    shared = F.least("h", F.coalesce("_n", F.lit(0))).cast("long")
+    plans = cut(sizes.join(given, F.col("base") == F.col("_base"), "left").select("c", "n", "h", "base", shared.alias("shared")))
+    first = rows.where("d <= 8 and pmod(c, 5) = 0").withColumnRenamed("c", "base").join(plans.drop("n"), "base").where("d <= h")
+    rest = rows.join(plans, "c").where("d > h").withColumn("d", F.col("d") - F.col("h") + F.col("shared"))
+    columns = ["c", "d", "k1", "k2", "n_bytes"]
+    lengths = plans.select("c", (F.col("shared") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).cast("long").alias("n"))
+    return first.select(columns).union(rest.select(columns)), lengths
+
+
+@register(
+    "op13_conversation_trie",
+    """
+    WITH t AS (
+        SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d,
+            coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), s AS (SELECT c, max(d) AS n, crc AS h, c - ((c % 5) + 5) % 5 AS base FROM t JOIN (
+        SELECT c, @crc@ % 9 AS crc FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS x FROM t)) USING (c) GROUP BY c, crc
+    ), p AS (
+        SELECT s.c, s.n, s.h, s.base, least(s.h, coalesce(b.n, 0)) AS shared FROM s LEFT JOIN s b ON b.c = s.base
+    ), r AS (
+        SELECT p.c, t.d, role, text FROM p JOIN t ON t.c = p.base WHERE t.d <= p.h
+        UNION ALL SELECT p.c, t.d - p.h + p.shared, role, text FROM p JOIN t ON t.c = p.c WHERE t.d > p.h
+    ), k AS (
+        SELECT c, d, strlen(text) AS b,
+            list(sha256(concat(length(role), ':', role, text))) OVER (PARTITION BY c ORDER BY d) AS name,
+            max(d) OVER (PARTITION BY c) AS n
+        FROM r
+        UNION ALL SELECT p.c, 0, 0, [], coalesce(m.n, 0) FROM p LEFT JOIN (SELECT c, max(d) AS n FROM r GROUP BY c) m USING (c)
+    ), g AS (
+        SELECT d, name, min(c) AS rep, count(*) AS n_convs, min(b) AS b, count(*) FILTER (d < n) = 0 AS leaf,
+            coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '') AS ends
+        FROM k GROUP BY d, name
+    ), a AS (
+        SELECT x.d, x.name, sum((y.n_convs - 1) * y.b) AS saved, count(*) FILTER (y.leaf) AS leaves,
+            count(*) FILTER (y.d = x.d + 1) AS children
+        FROM g y JOIN k z ON z.c = y.rep AND z.d <= y.d JOIN g x ON x.d = z.d AND x.name = z.name GROUP BY x.d, x.name
+    )
+    SELECT g.rep AS conv_id, CAST(g.d AS BIGINT) AS depth, u.rep AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs,
+        CAST(children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+        sha256(g.ends) AS ends_sha256
+    FROM g JOIN a ON a.d = g.d AND a.name = g.name
+    LEFT JOIN g u ON u.d = g.d - 1 AND u.name = g.name[:g.d - 1]
+    """.replace("@crc@", CRC32_SQL),
+)
+def op13(spark, sf_dir):
+    rows = cut(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    rebuilt, lengths = rebuilt_conversations(rows)
+    return prefix_trie.trie(cut(rebuilt), cut(lengths))
