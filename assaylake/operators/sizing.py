@@ -24,14 +24,21 @@ def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     return stored(numbered).withColumn("_piece", F.shiftright("_at", 33))
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None) -> tuple[DataFrame, list[str]]:
+def _pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None, columns: Sequence[str] | None = None
+) -> tuple[DataFrame, list[str]]:
     if piece is None:
-        return range_pieces(df, keys, order), ["_at"]
+        return range_pieces(df, keys, order, columns), ["_at"]
     return df.withColumn("_piece", piece), list(order)
 
 
 def row_number_in_pieces(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, piece: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    piece: Column | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """``row_number`` per key, ascending with nulls first, for keys of any size.
 
@@ -39,10 +46,11 @@ def row_number_in_pieces(
     give each piece its start. Pieces are even ranges of the order (:func:`range_pieces`), so no key and no
     order value makes a large one. A caller that knows better may give ``piece``, a column that does not fall
     along the order; pieces decide how the work is split and never change the result. Rows that are equal
-    in all order columns are numbered in any order.
+    in all order columns are numbered in any order. ``columns`` are those to keep, keys included; wide columns that
+    only order rows are moved once.
     """
-    keys = list(keys)
-    cut, order = _pieces(df, keys, order, piece)
+    keys, columns = list(keys), list(df.columns if columns is None else columns)
+    cut, order = _pieces(df, keys, order, piece, columns)
     sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -51,7 +59,7 @@ def row_number_in_pieces(
     return (
         join_nullable(numbered, starts, [*keys, "_piece"])
         .withColumn(name, (F.col("_in_piece") + F.col("_start")).cast("int"))
-        .select(*df.columns, name)
+        .select(*columns, name)
     )
 
 
