@@ -181,9 +181,10 @@ def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     given = conversations.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text")
     )
-    numbered = row_number_in_pieces(given, ["c"], ["turn", "role", "text"], "d")
     digest = lambda seed: F.xxhash64(F.lit(seed), "role", F.octet_length("role"), "text")
-    return numbered.select("c", F.col("d").cast("long").alias("d"), digest(1).alias("k1"), digest(2).alias("k2"), F.octet_length("text").cast("long").alias("n_bytes"))
+    given = given.withColumns({"k1": digest(1), "k2": digest(2), "n_bytes": F.octet_length("text").cast("long")})
+    numbered = row_number_in_pieces(given, ["c"], ["turn", "role", "text"], "d", columns=["c", "k1", "k2", "n_bytes"])
+    return numbered.withColumn("d", F.col("d").cast("long"))
 
 
 def trie(rows: DataFrame, sequences: DataFrame) -> DataFrame:
