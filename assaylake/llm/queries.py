@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, prefix_trie, quality, runs, simhash, suffix_dedup, token_counts, token_files, topk
+from . import bpe, chat, exact_dedup, jaccard_join, packing, prefix_trie, quality, runs, simhash, suffix_dedup, token_counts, token_files, topk
 from .shared import cut, prepare, table
 
 QUERIES, ORACLES = {}, {}
@@ -212,3 +212,32 @@ def op13(spark, sf_dir):
     rows = cut(prefix_trie.turns(table(spark, sf_dir, "conversations")))
     rebuilt, lengths = rebuilt_conversations(rows)
     return prefix_trie.trie(cut(rebuilt), cut(lengths))
+
+
+@register(
+    "op12_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+        FROM w
+    ), n AS (
+        SELECT doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+    ), o AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id
+    ), l AS (
+        SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)
+    ), r AS (
+        SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+    )
+    SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id
+    FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) ON a = doc_id
+    """,
+)
+def op12(spark, sf_dir):
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
