@@ -11,17 +11,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
+from .shared import written
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links ``(a, b)`` of longs to ``(node, root)``: equal roots mean connected. Isolated nodes are absent."""
-    links, rounds = cut(links.where("a <> b").distinct()), []
+    links, rounds = written(links.where("a <> b").distinct()), []
     while not links.isEmpty():
         salt = F.lit(len(rounds))
         place = lambda name: F.struct(F.xxhash64(name, salt).alias("order"), F.col(name).alias("node"))
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = cut(
+        moved = written(
             both.groupBy("a")
             .agg(F.min(place("b")).alias("best"))
             .select(F.col("a").alias("node"), F.least("best", place("a")).getField("node").alias("root"))
@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         rounds.append(moved)
         first = moved.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         second = moved.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        links = cut(
+        links = written(
             links.join(first, "a")
             .join(second, "b")
             .where("root_a <> root_b")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -45,6 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Compute the frame once, into a table in the shared folder, and go on from it.
+
+    Unlike a checkpoint, a table has the size of its files. Checkpoints keep the estimates of their plans, which
+    joins multiply, so in loops the estimates would grow beyond all numbers.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
