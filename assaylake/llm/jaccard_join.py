@@ -83,20 +83,20 @@ def name(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """A bitmap of parities: sets differ in at least as many elements as their bitmaps in bits."""
+def parities(hashes: np.ndarray) -> list[int]:
+    """A bitmap of parities as longs: sets differ in at least as many elements as their bitmaps in bits."""
     counts = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-    return np.packbits(counts & 1, bitorder="little").tobytes()
+    return np.packbits(counts & 1, bitorder="little").view("<i8").tolist()
 
 
-def needed(n, m):
+def needed(n, m, percent: int = PERCENT):
     """The least overlap of linked sets of sizes ``n`` and ``m``; for numbers, arrays and columns."""
-    whole = PERCENT * (n + m) + 99 + PERCENT
-    return F.floor(whole / (100 + PERCENT)).cast("long") if isinstance(whole, Column) else whole // (100 + PERCENT)
+    whole = percent * (n + m) + 99 + percent
+    return F.floor(whole / (100 + percent)).cast("long") if isinstance(whole, Column) else whole // (100 + percent)
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_size(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,14 +104,14 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-_BASE = "doc_id long, key long, node long, n int, bits binary, mins array<bigint>, bucket int, seen long"
+_BASE = "doc_id long, key long, node long, n int, bits array<bigint>, mins array<bigint>, bucket int, seen long"
 
 
-def sets(texts: DataFrame) -> DataFrame:
+def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """A row per document: ``doc_id, key, node, n, bits, mins``; and rows ``bucket, seen`` that count frequent n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, total = Hasher(), np.zeros(BUCKETS, dtype=np.int32), 0
+        hasher, counts, total = Hasher(words), np.zeros(BUCKETS, dtype=np.int32), 0
         for batch in batches:
             nodes, sizes, bits, mins, gathered = [], [], [], [], []
             for text in batch.column(2):
@@ -124,12 +124,12 @@ def sets(texts: DataFrame) -> DataFrame:
                 total += len(hashes)
             if gathered:
                 counts += np.bincount(np.concatenate(gathered).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-            made = [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(bits, type=pa.binary()), pa.array(mins, type=pa.list_(pa.int64()))]
+            made = [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(bits, type=pa.list_(pa.int64())), pa.array(mins, type=pa.list_(pa.int64()))]
             empty = [pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *empty], _BASE_NAMES)
         # Buckets that stand out among those of this task; an order of n-grams needs no more.
         often = np.flatnonzero(counts > 4 + 4 * total // BUCKETS)
-        none = [pa.nulls(len(often), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
+        none = [pa.nulls(len(often), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], _BASE_NAMES)
 
     return texts.mapInArrow(run, _BASE)
@@ -138,12 +138,12 @@ def sets(texts: DataFrame) -> DataFrame:
 _BASE_NAMES = [field.split()[0] for field in _BASE.split(", ")]
 
 
-def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``token, node, n, rest``: the first n-grams of every set, and how many follow, itself included."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, seen = Hasher(), np.zeros(BUCKETS, dtype=np.int64), set()
+        hasher, counts, seen = Hasher(words), np.zeros(BUCKETS, dtype=np.int64), set()
         counts[shared.value[0]] = shared.value[1]
         for batch in batches:
             tokens, nodes, sizes, rests = [], [], [], []
@@ -155,7 +155,7 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                 if len(seen) >= KNOWN:
                     seen.clear()
                 seen.add(node)
-                p = prefix_size(n)
+                p = prefix_size(n, percent)
                 order = np.argsort(counts[(hashes >> np.uint64(42)).astype(np.int64)], kind="stable")[:p]
                 tokens.append(hashes[order].view(np.int64))
                 nodes.append(node)
@@ -191,13 +191,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
         yield left
 
 
-def shared_lists(rows: DataFrame) -> DataFrame:
+def shared_lists(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The postings whose list has another set of a size in reach, each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come by token, size and set, so the nearest size stands next to a row: no list is gathered.
         before: list[np.ndarray] | None = None  # the last row, whose next neighbour is not known yet
-        fits = lambda a, b: (a[0] == b[0]) & (100 * a[2].astype(np.int64) >= PERCENT * b[2].astype(np.int64))
+        fits = lambda a, b: (a[0] == b[0]) & (100 * a[2].astype(np.int64) >= percent * b[2].astype(np.int64))
         near = False  # whether that row has a neighbour before it
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
@@ -218,7 +218,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, node long, n int, rest int")
 
 
-def met(lists: DataFrame) -> DataFrame:
+def met(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs ``(a, b)`` of clusters that may hold linked sets, from ``token, leader, comp, low, high, rest``.
 
     ``low, high`` are the sizes of the members in the list, ``rest`` the largest number of n-grams that follow.
@@ -246,10 +246,10 @@ def met(lists: DataFrame) -> DataFrame:
                 at = at[place[at] >= lag]
                 to = at - lag
                 # Skip all earlier rows of the unit at once.
-                open_ = (100 * most_high[to] >= PERCENT * low[at]) & (np.minimum(most_rest[to], rest[at]) >= needed(low[at], low[at] * PERCENT // 100))
+                open_ = (100 * most_high[to] >= percent * low[at]) & (np.minimum(most_rest[to], rest[at]) >= needed(low[at], low[at] * percent // 100, percent))
                 at, to = at[open_], to[open_]
-                good = (100 * high[to] >= PERCENT * low[at]) & (100 * high[at] >= PERCENT * low[to]) & (comp[at] != comp[to])
-                good &= np.minimum(rest[at], rest[to]) >= needed(low[at], low[to])
+                good = (100 * high[to] >= percent * low[at]) & (100 * high[at] >= percent * low[to]) & (comp[at] != comp[to])
+                good &= np.minimum(rest[at], rest[to]) >= needed(low[at], low[to], percent)
                 good &= (u[at] == v[at]) | (own[at] != own[to])
                 if good.any():
                     pair = np.stack([leader[at[good]], leader[to[good]]])
@@ -263,8 +263,7 @@ def met(lists: DataFrame) -> DataFrame:
 
 def _apart(one: str, other: str) -> Column:
     """Bits in which two bitmaps differ."""
-    word = lambda c, k: F.conv(F.hex(F.substring(F.col(c), 8 * k + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(one, k).bitwiseXOR(word(other, k))) for k in range(BITS // 64)), F.lit(0))
+    return sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(BITS // 64)), F.lit(0))
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str], sides: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -274,13 +273,13 @@ def _with(pairs: DataFrame, table: DataFrame, columns: list[str], sides: tuple[s
     return pairs
 
 
-def asked_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+def asked_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, words: int = WORDS) -> DataFrame:
     """``node, hashes`` of the asked nodes, once each, from one text of each."""
     wanted = cut(asked.join(nodes.select("node", "least"), "node").select("node", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key")))
     small = F.broadcast(wanted) if wanted.count() <= LOOKUP else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(words)
         for batch in batches:
             found = [hasher(t.as_py()) for t in batch.column(1)]
             same = pa.array([name(h) == n for h, n in zip(found, batch.column(0).to_pylist(), strict=True)], type=pa.bool_())
@@ -308,13 +307,19 @@ def overlaps(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(run, "a long, b long, overlap long, a_n long, b_n long"))
 
 
-def _linked() -> Column:
-    return F.col("overlap") >= needed(F.col("a_n"), F.col("b_n"))
+def _linked(percent: int) -> Column:
+    return F.col("overlap") >= needed(F.col("a_n"), F.col("b_n"), percent)
 
 
-def _reach(n: str, m: str) -> Column:
+def _reach(n: str, m: str, percent: int) -> Column:
     """How many n-grams linked sets of two sizes may not have in common."""
-    return F.col(n) + F.col(m) - 2 * needed(F.col(n), F.col(m))
+    return F.col(n) + F.col(m) - 2 * needed(F.col(n), F.col(m), percent)
+
+
+def _fits(percent: int) -> Column:
+    """Whether two sizes can link, and the bitmaps leave a link open."""
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return sizes & (_apart("a_bits", "b_bits") <= _reach("a_n", "b_n", percent))
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,34 +327,37 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
+def _leaders(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """``a, b``: every node ``b`` and the smallest node ``a`` of each key that it has in common with others."""
+    leaders = keyed.groupBy(*keys).agg(F.min("node").alias("leader"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    return keyed.join(leaders, keys).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    Texts are lower-cased (A to Z) and cut into words by white space. A set has the distinct four-word shingles; fewer
-    words are one shingle. Sets link at a Jaccard similarity of 0.85 or more; ``component_id`` is the smallest id that
-    links reach, itself included, null where no row of the component has an id. Null texts and texts without a word
-    have no shingle and link with nothing. Repeated rows stay repeated. An empty table gives an empty result;
-    other columns do not matter, whatever their names.
+
+def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, more_keys=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All that link: ``base`` (a row per text), ``nodes`` (a row per set that is not empty), ``roots`` (``node, comp``).
+
+    ``texts`` has ``doc_id, key, text``. ``more_keys`` gives further keys (``node`` and others) from ``nodes`` and texts, by
+    which sets find leaders; they change the work, never the result.
     """
-    texts = _texts(df, id_col, text_col)
-    made = cut(sets(texts))
+    made = cut(sets(texts, words))
     base = made.where("node is not null").select("doc_id", "key", "node", "n", "bits", "mins")
     first = lambda c: F.first(c).alias(c)
     nodes = cut(base.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), first("n"), first("bits"), first("mins")))
 
     # Relations: sets against the leader of those that share a smallest hash.
-    keyed = nodes.select("node", F.posexplode("mins").alias("k", "least_hash"))
-    leaders = keyed.groupBy("k", "least_hash").agg(F.min("node").alias("leader"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    near = keyed.join(leaders, ["k", "least_hash"]).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = _with(near, nodes, ["n", "bits"]).where(100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
-    near = cut(near.where(_apart("a_bits", "b_bits") <= _reach("a_n", "b_n")).select("a", "b"))
+    near = _leaders(nodes.select("node", F.posexplode("mins").alias("k", "least_hash")), ["k", "least_hash"])
+    if more_keys is not None:
+        keyed = more_keys(nodes, texts)
+        near = near.union(_leaders(keyed, [c for c in keyed.columns if c != "node"]))
+    near = cut(_with(near.distinct(), nodes, ["n", "bits"]).where(_fits(percent)).select("a", "b"))
 
     frequent = made.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
-    lists = cut(shared_lists(postings(texts, tuple(frequent.column(k).to_numpy() for k in range(2)))))
-    hashes = asked_sets(texts, nodes, near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-    relations = overlaps(near, hashes).where(_linked())
+    lists = cut(shared_lists(postings(texts, tuple(frequent.column(k).to_numpy() for k in range(2)), words, percent), percent))
+    hashes = asked_sets(texts, nodes, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), words)
+    relations = overlaps(near, hashes).where(_linked(percent))
 
-    clusters = relations.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("leader"), (F.col("a_n") + F.col("b_n") - 2 * F.col("overlap")).alias("off"))).alias("l"))
+    off = F.col("a_n") + F.col("b_n") - 2 * F.col("overlap")
+    clusters = relations.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("leader"), off.alias("off"))).alias("l"))
     links = relations.select("a", "b")
     members = cut(
         _roots(nodes, links).join(clusters, "node", "left")
@@ -362,41 +370,51 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Clusters against clusters of other components, by the lists.
     named = lists.join(members.select("node", "leader", "comp"), "node")
     grouped = named.groupBy("token", "leader").agg(F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    pairs = _with(cut(met(cut(grouped))), spans, ["bits", "off", "high", "sets"])
-    pairs = cut(pairs.where(_apart("a_bits", "b_bits") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high")).drop("a_bits", "b_bits"))
+    pairs = _with(cut(met(cut(grouped), percent)), spans, ["bits", "off", "high", "sets"])
+    pairs = cut(pairs.where(_apart("a_bits", "b_bits") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent)).drop("a_bits", "b_bits"))
     more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(hashes.select("node"), "node", "left_anti")
-    hashes = hashes.union(asked_sets(texts, nodes, more))
-    compared = overlaps(pairs, hashes)
-    links = cut(links.union(compared.where(_linked()).select("a", "b")))
+    compared = overlaps(pairs, hashes.union(asked_sets(texts, nodes, more, words)))
+    links = cut(links.union(compared.where(_linked(percent)).select("a", "b")))
 
     # Members of clusters that are still apart, where the answer of their leaders leaves it open.
     roots = _roots(nodes, links)
-    off = F.col("a_n") + F.col("b_n") - 2 * F.col("overlap")
     open_ = (
-        compared.withColumn("apart", off).drop("a_n", "b_n", "overlap").join(pairs, ["a", "b"]).where("a_sets > 1 or b_sets > 1")
-        .where(F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high"))
+        compared.select("a", "b", off.alias("apart")).join(pairs, ["a", "b"]).where("a_sets > 1 or b_sets > 1")
+        .where(F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent))
     )
-    open_ = cut(_with(open_.select("a", "b", "apart"), roots, ["comp"]).where("a_comp <> b_comp").select("a", "b", "apart"))
+    open_ = cut(_with(open_, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b", "apart", "b_off", "b_high"))
     if not open_.isEmpty():
-        links = links.union(_between_members(open_, lists, sized, texts, nodes))
+        pairs = cut(_between_members(open_, sized, percent))
+        hashes = asked_sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
+        links = links.union(overlaps(pairs, hashes).where(_linked(percent)).select("a", "b"))
         roots = _roots(nodes, cut(links))
-    return _with_components(base, nodes, roots)
+    return base, nodes, roots
+
+
+def _between_members(open_: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of the given pairs of clusters that may link.
 
+    ``|x ^ y| >= |a ^ b| - |a ^ x| - |b ^ y|`` for members ``x`` and ``y`` of clusters ``a`` and ``b``, and the bitmaps bound it as well.
+    """
+    side = lambda s: sized.select(F.col("leader").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "off", "bits")])
+    apart = open_.withColumnsRenamed({"b_off": "most_off", "b_high": "most"}).join(side("a"), "a")
+    # What is out of reach of every member of the other cluster is left out first.
+    apart = apart.where(F.col("apart") - F.col("a_off") - F.col("most_off") <= _reach("a_n", "most", percent)).drop("most_off", "most")
+    bound = F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_n", "b_n", percent)
+    both = apart.join(side("b"), "b").where(bound & _fits(percent))
+    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
-def _between_members(open_: DataFrame, lists: DataFrame, sized: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between members of the given pairs of clusters, by the lists that both share."""
-    rows = lists.join(sized.select("node", "leader", "off"), "node")
-    side = lambda s: rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "rest", "off")], F.col("leader").alias(s))
-    both = open_.join(side("a"), "a").join(side("b"), ["token", "b"])
-    fits = 100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")
-    bound = F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_n", "b_n")
-    meet = both.where(fits & bound & (F.least("a_rest", "b_rest") >= needed(F.col("a_n"), F.col("b_n"))))
-    pairs = cut(meet.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
-    hashes = asked_sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    return overlaps(pairs, hashes).where(_linked()).select("a", "b")
 
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``.
 
-def _with_components(base: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    Texts are lower-cased (A to Z) and cut into words by white space. A set has the distinct four-word shingles; fewer
+    words are one shingle. Sets link at a Jaccard similarity of 0.85 or more; ``component_id`` is the smallest id that
+    links reach, itself included, null where no row of the component has an id. Null texts and texts without a word
+    have no shingle and link with nothing. Repeated rows stay repeated. An empty table gives an empty result;
+    other columns do not matter, whatever their names.
+    """
+    base, nodes, roots = linked_sets(_texts(df, id_col, text_col), words, percent)
     ids = roots.join(nodes.select("node", F.col("least.doc_id").alias("id")), "node")
     # Stored first, so that Spark can split the join where one component is very large.
     smallest = cut(ids.groupBy("comp").agg(F.min("id").alias("component_id")))
