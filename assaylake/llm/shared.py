@@ -14,12 +14,13 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches of long texts small."""
+    """Let Python workers import this package, and keep Arrow batches of long texts small, by rows and by bytes."""
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         environment["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 
