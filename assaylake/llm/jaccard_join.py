@@ -22,18 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .shared import cut, windows
+from .shared import cut, tidy, windows
 
 WORDS = 4
 PERCENT = 85
-BUCKETS = 1 << 22  # of n-gram hashes whose counts order them
+BUCKETS = 1 << 21  # of n-gram hashes whose counts order them
 KEYS = 8
 BITS = 512
 BLOCK = 4096  # rows of a list in a block
 LOOKUP = 300_000  # rows whose texts are asked for by broadcast; beyond that they are joined by a shuffle
 WINDOW = 1 << 20
 GATHERED = 1 << 16
-KNOWN = 1 << 19  # words or sets that a task remembers
+KNOWN = 1 << 17  # words or sets that a task remembers
+LEADERS = 2  # that a set is compared with first
 
 _rng = np.random.default_rng(12)
 _FACTORS = _rng.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,7 +121,7 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 sizes.append(len(hashes))
                 bits.append(parities(hashes))
                 mins.append([int((hashes * f).min().view(np.int64)) for f in _KEYS] if len(hashes) else [])
-                gathered.append(hashes >> np.uint64(42))
+                gathered.append(hashes >> np.uint64(43))
                 total += len(hashes)
             if gathered:
                 counts += np.bincount(np.concatenate(gathered).astype(np.int64), minlength=BUCKETS).astype(np.int32)
@@ -132,7 +133,7 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
         none = [pa.nulls(len(often), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], _BASE_NAMES)
 
-    return texts.mapInArrow(run, _BASE)
+    return texts.mapInArrow(tidy(run), _BASE)
 
 
 _BASE_NAMES = [field.split()[0] for field in _BASE.split(", ")]
@@ -143,7 +144,7 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: i
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, seen = Hasher(words), np.zeros(BUCKETS, dtype=np.int64), set()
+        hasher, counts, seen = Hasher(words), np.zeros(BUCKETS, dtype=np.int32), set()
         counts[shared.value[0]] = shared.value[1]
         for batch in batches:
             tokens, nodes, sizes, rests = [], [], [], []
@@ -156,7 +157,7 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: i
                     seen.clear()
                 seen.add(node)
                 p = prefix_size(n, percent)
-                order = np.argsort(counts[(hashes >> np.uint64(42)).astype(np.int64)], kind="stable")[:p]
+                order = np.argsort(counts[(hashes >> np.uint64(43)).astype(np.int64)], kind="stable")[:p]
                 tokens.append(hashes[order].view(np.int64))
                 nodes.append(node)
                 sizes.append(n)
@@ -168,7 +169,7 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: i
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "rest"])
 
-    return texts.select("text").mapInArrow(run, "token long, node long, n int, rest int")
+    return texts.select("text").mapInArrow(tidy(run), "token long, node long, n int, rest int")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -215,7 +216,7 @@ def shared_lists(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(r) for r in before], ["token", "node", "n", "rest"])
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    return dealt.mapInArrow(run, "token long, node long, n int, rest int")
+    return dealt.mapInArrow(tidy(run), "token long, node long, n int, rest int")
 
 
 def met(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +259,7 @@ def met(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], ["a", "b"])
 
     dealt = units.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "low", "leader")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _apart(one: str, other: str) -> Column:
@@ -287,7 +288,7 @@ def asked_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, words: int
             yield made.filter(same)
 
     read = texts.join(small, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return cut(read.select("node", "text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]))
+    return cut(read.select("node", "text").mapInArrow(tidy(run), "node long, hashes binary").dropDuplicates(["node"]))
 
 
 def overlaps(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -304,7 +305,7 @@ def overlaps(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (common, *sizes))], ["a", "b", "overlap", "a_n", "b_n"])
 
     both = _with(pairs.select("a", "b"), hashes, ["hashes"]).select("a", "b", "a_hashes", "b_hashes")
-    return cut(both.mapInArrow(run, "a long, b long, overlap long, a_n long, b_n long"))
+    return cut(both.mapInArrow(tidy(run), "a long, b long, overlap long, a_n long, b_n long"))
 
 
 def _linked(percent: int) -> Column:
@@ -349,7 +350,10 @@ def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, mo
     if more_keys is not None:
         keyed = more_keys(nodes, texts)
         near = near.union(_leaders(keyed, [c for c in keyed.columns if c != "node"]))
-    near = cut(_with(near.distinct(), nodes, ["n", "bits"]).where(_fits(percent)).select("a", "b"))
+    # A set may have a leader for each key; those with the most keys in common do. This bounds the work and loses no link.
+    often = near.groupBy("a", "b").agg(F.count("*").alias("keys")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False).alias("l"))
+    near = often.select(F.explode(F.slice("l", 1, LEADERS)).alias("l"), "b").select("l.a", "b")
+    near = cut(_with(near, nodes, ["n", "bits"]).where(_fits(percent)).select("a", "b"))
 
     frequent = made.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     lists = cut(shared_lists(postings(texts, tuple(frequent.column(k).to_numpy() for k in range(2)), words, percent), percent))

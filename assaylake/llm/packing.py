@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
+from .shared import cut, tidy
 from .word_tokens import word_encoder
 
 CAPACITY = 4096
@@ -45,7 +45,7 @@ def pieces(df: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, i
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, _ITEMS)
+    return source.mapInArrow(tidy(run), _ITEMS)
 
 
 @lru_cache(maxsize=4)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut
+from .shared import cut, tidy
 
 BUCKETS = 1 << 17
 LABELLED = 100_000  # labelled rows, in the order of a hash of their id, that models and border are fitted on
@@ -84,7 +84,7 @@ def counts(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) ->
 
     source = docs.select(F.col(id_col).cast("long").alias("labelled_id"), F.col(text_col).cast("string").alias("text"))
     marked = source.join(labelled, "labelled_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    return marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return marked.mapInArrow(tidy(run), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def weighed(docs: DataFrame, model: Model, into: str, text_col: str = "text") ->
 
     if log_ratio is None:
         return docs.withColumn(into, F.lit(0.0))
-    return docs.select("*").mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{into}` double")
+    return docs.select("*").mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{into}` double")
 
 
 def gumbel_key(weight: Column, doc_id: Column, seed: int = SEED) -> Column:

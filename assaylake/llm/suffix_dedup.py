@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
+from .shared import cut, tidy
 from .suffix_arrays import binary_search, may_repeat, merged, repeated_grams
 
 SIZE = 50  # bytes of a window
@@ -76,7 +76,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, block: int = BLOCK) -> Dat
         if waiting:
             yield made()
 
-    return source.mapInArrow(run, "block long, ids array<long>, digests array<binary>, sizes binary, texts binary, others binary")
+    return source.mapInArrow(tidy(run), "block long, ids array<long>, digests array<binary>, sizes binary, texts binary, others binary")
 
 
 class Block:
@@ -170,7 +170,7 @@ def minimizers(stored: DataFrame, buckets: int) -> DataFrame:
                 columns = [pa.array(bucket[edges], type=pa.int32()), pa.array([block] * len(edges), type=pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, type=pa.binary()), pa.array(more, type=pa.binary())], ["bucket", "block", "found", "more"])
 
-    return stored.select("block", "sizes", "texts").mapInArrow(run, "bucket int, block long, found binary, more binary")
+    return stored.select("block", "sizes", "texts").mapInArrow(tidy(run), "bucket int, block long, found binary, more binary")
 
 
 def _rest(count: np.ndarray) -> bytes:
@@ -295,7 +295,7 @@ def segments(stored: DataFrame, shards: int) -> DataFrame:
                     kinds = (pa.int32(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "block", "segments"])
 
-    return stored.mapInArrow(run, "shard int, block long, segments binary")
+    return stored.mapInArrow(tidy(run), "shard int, block long, segments binary")
 
 
 def _resolve(limit: int):
@@ -403,7 +403,7 @@ def kept_texts(stored: DataFrame, shards: int, make, schema: str) -> DataFrame:
                 with pa.ipc.open_stream(others) as stream:
                     yield make(stream.read_next_batch(), kept, spans, block.sizes)
 
-    return stored.mapInArrow(run, schema)
+    return stored.mapInArrow(tidy(run), schema)
 
 
 def resolved(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, int]:
