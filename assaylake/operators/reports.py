@@ -204,7 +204,7 @@ def _new_versions(selected: DataFrame, versions: DataFrame, created_at: Column,
         model.alias("model_name"),
         F.lit(fv.AI_DRAFT).alias("status"),
         created_at.alias("created_at"),
-        *[c for c in ("is_new_report",) if c in selected.columns],
+        *[c for c in ("is_new_report", "error") if c in selected.columns],
     )
 
 
@@ -298,12 +298,17 @@ def response_versions(
     """The next version of every report with an accepted model response: its text under its stored model name.
 
     ``responses`` has one row per report, as :func:`response_gate` takes them. Refused ones give no version;
-    their reasons are in the gate's rows.
+    their reasons are in the gate's rows. An accepted one whose report or case is gone keeps its row, with an
+    ``error`` and without version id, number and status.
     """
     accepted = response_gate(responses).filter("accepted").select("report_id", "report_text", "stored_model_name")
-    keyed = accepted.join(reports.select("report_id", *CASE_KEYS), "report_id")
-    selected = keyed.join(context.select(*CASE_KEYS, "context_hash"), CASE_KEYS)
-    return _new_versions(selected, versions, created_at, F.col("stored_model_name"))
+    keyed = accepted.join(reports.select("report_id", *CASE_KEYS, F.lit(True).alias("_known")), "report_id", "left")
+    selected = keyed.join(context.select(*CASE_KEYS, "context_hash"), CASE_KEYS, "left")
+    missing = F.format_string(fv.MSG_REPORT_MISSING, F.col("report_id"))
+    error = F.when(F.col("_known").isNull(), missing).when(F.col("context_hash").isNull(), _case_missing_text())
+    made = _new_versions(selected.withColumn("error", error), versions, created_at, F.col("stored_model_name"))
+    good = F.col("error").isNull()
+    return made.withColumns({c: F.when(good, F.col(c)) for c in ("report_version_id", "version_number", "status")})
 
 
 # --- Exports ---------------------------------------------------------------------------------
@@ -467,11 +472,17 @@ def chat_transcript(answers: DataFrame) -> DataFrame:
     return answers.select(*kept, F.explode(both).alias("_m")).select(*kept, "_m.*")
 
 
+SESSION_MISSING = "Chat session not found for report_id=%s"
+
+
 def chat_history(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Messages with their session, oldest first per report; ties keep ``message_seq``."""
-    return messages.join(sessions.select("report_id", "chat_session_id"), "report_id").orderBy(
-        "report_id", "created_at", "message_seq"
-    )
+    """Messages with their session, oldest first per report; ties keep ``message_seq``.
+
+    A message without a session keeps its row, with an ``error``.
+    """
+    found = messages.join(sessions.select("report_id", "chat_session_id"), "report_id", "left")
+    error = F.when(F.col("chat_session_id").isNull(), F.format_string(SESSION_MISSING, F.coalesce("report_id", F.lit(""))))
+    return found.withColumn("error", error).orderBy("report_id", "created_at", "message_seq")
 
 
 # --- Audit -----------------------------------------------------------------------------------

@@ -504,11 +504,15 @@ def response_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "response_versions",
     STORY
-    + f""" select {uuid5_sql('RPV', "r.report_id || '|' || cast(coalesce(v.version_number,0) + 1 as varchar)")} as report_version_id,
-      r.report_id, {KEYS}, coalesce(v.version_number,0) + 1 as version_number, s.context_hash as source_context_hash,
-      'text of ' || r.report_id as report_text, 'remote_medgemma:model-a' as model_name, 'AI_DRAFT' as status,
-      '2026-03-01 00:00:00' as created_at
-      from reports r join story s using ({KEYS}) left join newest v on v.report_id = r.report_id
+    + f""" select case when r.report_id is not null then
+        {uuid5_sql('RPV', "s.report_id || '|' || cast(coalesce(v.version_number,0) + 1 as varchar)")} end as report_version_id,
+      s.report_id, r.patient_id, r.order_id, r.specimen_id,
+      case when r.report_id is not null then coalesce(v.version_number,0) + 1 end as version_number,
+      case when r.report_id is not null then s.context_hash end as source_context_hash,
+      'text of ' || s.report_id as report_text, 'remote_medgemma:model-a' as model_name,
+      case when r.report_id is not null then 'AI_DRAFT' end as status, '2026-03-01 00:00:00' as created_at,
+      case when r.report_id is null then 'Report not found: ' || s.report_id end as error
+      from story s left join reports r on r.report_id = s.report_id left join newest v on v.report_id = r.report_id
       where s.n not in (0, 4, 8, 10)""",
 )
 def response_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -738,7 +742,7 @@ def chat_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     STORY
     + CHAT_CTE
     + f""" select report_id, 'CHS-' || report_id as chat_session_id, role, text as message, turn as message_seq,
-      cast({_ts(3, '0', 'turn')} as varchar) as created_at from talks""",
+      cast({_ts(3, '0', 'turn')} as varchar) as created_at, cast(null as varchar) as error from talks""",
 )
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold_cases = inputs.lab_gold(spark, sf_dir)
@@ -746,7 +750,7 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.chat_messages(spark, sf_dir, gold_cases), inputs.sessions(spark, sf_dir, gold_cases)
     )
     return as_text(history, "created_at").select(
-        "report_id", "chat_session_id", "role", "message", "message_seq", "created_at"
+        "report_id", "chat_session_id", "role", "message", "message_seq", "created_at", "error"
     )
 
 

@@ -215,3 +215,12 @@ def test_latest_export_and_validation(spark):
     other = spark.createDataFrame([("r", "COMMENTED", None, T3.replace(day=4)), ("r", None, None, T3.replace(day=5))], actions.schema)
     folded = reports.current_status(reports.action_status_changes(actions.unionByName(other))).first()
     assert folded.status == "REJECTED" and folded.updated_at == T3
+
+
+def test_messages_without_a_session_stay(spark):
+    messages = spark.createDataFrame([("r1", "user", "a", 1, T1), ("r2", "user", "b", 1, T1), (None, "user", "c", 1, T1)],
+                                     "report_id string, role string, message string, message_seq int, created_at timestamp")
+    sessions = spark.createDataFrame([("r1", "s1")], "report_id string, chat_session_id string")
+    found = {r.message: (r.chat_session_id, r.error) for r in reports.chat_history(messages, sessions).collect()}
+    missing = "Chat session not found for report_id="
+    assert found == {"a": ("s1", None), "b": (None, missing + "r2"), "c": (None, missing)}
