@@ -9,6 +9,9 @@ nodes are walked from the roots. By Cauchy-Schwarz no point of a pair scores mor
 
 so a pair is left out when that is below the worst kth score of the query node. What the units find is
 ranked once more per query. Nothing is approximate.
+
+Rows that repeat an id are rows of their own. Equal rows travel once, with their number: a query meets at most
+``k`` of them, and its result is given once for each of its own copies.
 """
 
 from __future__ import annotations
@@ -61,10 +64,13 @@ def cover_tree(vectors: np.ndarray, leaf: int) -> Node:
 
 
 class Search:
-    """Top k of every query over the vectors of a shard; ties go to the smaller id."""
+    """Top k of every query over the vectors of a shard; ties go to the smaller id.
+
+    ``query_rows`` and ``rows`` number the distinct rows: a query does not meet its own number.
+    """
 
-    def __init__(self, query_ids, queries, ids, vectors, k: int):
-        self.query_ids, self.queries, self.ids, self.vectors, self.k = query_ids, queries, ids, vectors, k
+    def __init__(self, query_rows, queries, rows, ids, vectors, k: int):
+        self.query_rows, self.queries, self.rows, self.ids, self.vectors, self.k = query_rows, queries, rows, ids, vectors, k
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
 
@@ -91,7 +97,7 @@ class Search:
     def _leaves(self, rows: np.ndarray, columns: np.ndarray) -> None:
         scores = self.queries[rows] @ self.vectors[columns].T
         ids = self.ids[columns]
-        scores[self.query_ids[rows][:, None] == ids[None, :]] = -np.inf
+        scores[self.query_rows[rows][:, None] == self.rows[columns][None, :]] = -np.inf
         better = (scores >= self.scores[rows, -1][:, None]) & (scores > -np.inf)
         some = better.any(axis=1)
         rows, scores = rows[some], scores[some]
@@ -114,17 +120,26 @@ def _matrix(column: pa.ChunkedArray, scale: int) -> np.ndarray:
     return values
 
 
+UNIT = "row long, query_id long, copies long, vec_id long, score long"
+
+
 def _unit(k: int, scale: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([(column.split()[0], pa.int64()) for column in UNIT.split(", ")])
         if not len(queries) or not len(vectors):
             return schema.empty_table()
-        query_ids = queries.column("vec_id").to_numpy()
-        search = Search(query_ids, _matrix(queries.column("vector"), scale), vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"), scale), k)
+        # Of equal rows k besides the query's own can be in a result; only the first one is a query's own.
+        times = np.minimum(vectors.column("copies").to_numpy(), k + 1)
+        first = np.concatenate([[0], np.cumsum(times)[:-1]])
+        rows = np.full(times.sum(), -1)
+        rows[first] = vectors.column("row").to_numpy()
+        ids = np.repeat(vectors.column("vec_id").to_numpy(), times)
+        candidates = np.repeat(_matrix(vectors.column("vector"), scale), times, axis=0)
+        search = Search(queries.column("row").to_numpy(), _matrix(queries.column("vector"), scale), rows, ids, candidates, k)
         search.run()
         hit = search.scores > -np.inf
-        owners = np.broadcast_to(query_ids[:, None], hit.shape)
-        return pa.table([owners[hit], search.found[hit], search.scores[hit].astype(np.int64)], schema=schema)
+        of_query = [np.broadcast_to(queries.column(c).to_numpy()[:, None], hit.shape)[hit] for c in ("row", "vec_id", "copies")]
+        return pa.table([*of_query, search.found[hit], search.scores[hit].astype(np.int64)], schema=schema)
 
     return run
 
@@ -145,23 +160,29 @@ def top_k(
     shard: int = SHARD,
     group: int = GROUP,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the k best other vectors of every query.
+    """``query_id, rank, vec_id, score`` of the k best other rows of every query.
 
-    Queries are the rows whose id is divisible by ``every``. Vectors that are null, empty or hold a null or
-    non-finite component take no part, nor do rows without an id. Rows that repeat an id count once, with the
-    smallest of their vectors. Vectors meet those of their own length only. A query alone gives no row.
+    Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own. Vectors that are
+    null, empty or hold a null or non-finite component take no part, nor do rows without an id. Rows that repeat
+    an id all take part: as candidates each on its own, also for one another, and as queries with one result each.
+    Vectors meet those of their own length only. A query alone gives no row. Components so large that scores
+    could pass 2**53 raise a ``ValueError``: doubles would no longer hold them exactly.
     """
     vector = F.col(vector_col).cast("array<double>")
     base = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
-    base = cut(base.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    base = base.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()))
     is_query = F.col("vec_id") % every == 0
     rows, queries = base.select(F.count("*"), F.count_if(is_query)).first()
     shards, groups = max(1, -(-rows // shard)), max(1, -(-queries // group))
-    place = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    place = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     size, all_of = F.size("vector").alias("size"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keys = ["size", "shard", "group"]
-    left = base.where(is_query).select("vec_id", "vector", size, place(groups, 1).alias("group"), all_of(shards).alias("shard"))
-    right = base.select("vec_id", "vector", size, place(shards, 2).alias("shard"), all_of(groups).alias("group"))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_unit(k, scale), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ["row", "vec_id", "vector", "copies", size]
+    left = base.where(is_query).select(*columns, place(groups, 1).alias("group"), all_of(shards).alias("shard"))
+    right = base.select(*columns, place(shards, 2).alias("shard"), all_of(groups).alias("group"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_unit(k, scale), UNIT)
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    each = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("query_id", "rank", "vec_id", "score")

@@ -144,11 +144,12 @@ def test_odd_conversations(llm, conversations):
 
 
 def plain_top_k(rows, k, every):
-    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in usable:
+    for n, (q, query) in enumerate(usable):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+            others = [(i, v) for m, (i, v) in enumerate(usable) if m != n and len(v) == len(query)]
+            scores = sorted((-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in others)
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -162,7 +163,8 @@ def test_top_k(llm, settings, monkeypatch):
     rows = [(i, (centres[i % 6] + rng.normal(0, 0.02, 4)).round(2).tolist()) for i in range(400)]
     rows += [(400 + i, rows[0][1]) for i in range(12)]  # ties
     rows += [(500, None), (510, []), (520, [1.0, None, 0.0, 0.0]), (530, [float("nan")] * 4), (540, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (550, [1.0, 2.0]), (560, [3.0])]
-    frame = llm.createDataFrame([(v, i, "x", 1.0) for i, v in rows] + [(rows[10][1], 10, "x", 1.0)], "embedding array<double>, vec_id long, vector string, score double")
+    rows += [rows[10]] * 2 + [rows[11]] * 9 + [(20, rows[33][1]), (30, [1.0, 2.0])]  # repeated rows, and ids with other vectors
+    frame = llm.createDataFrame([(v, i, "x", 1.0) for i, v in rows], "embedding array<double>, vec_id long, vector string, score double")
     found = sorted(tuple(r) for r in topk.top_k(frame, every=10, **settings).collect())
     assert found == plain_top_k(rows, 5, 10)
 
@@ -171,7 +173,7 @@ def test_search_prunes_what_is_far(monkeypatch):
     rng = np.random.default_rng(1)
     vectors = np.floor(256 * np.concatenate([rng.normal(c, 0.01, (500, 3)) for c in ([1, 0, 0], [0, 1, 0], [0, 0, 1], [-1, 0, 0])]))
     monkeypatch.setattr(topk, "LEAF", 50)
-    search, seen = topk.Search(np.arange(4), vectors[:4], np.arange(2000), vectors, 5), []
+    search, seen = topk.Search(np.arange(4), vectors[:4], np.arange(2000), np.arange(2000), vectors, 5), []
     leaves = search._leaves
     search._leaves = lambda rows, columns: (seen.append(len(columns)), leaves(rows, columns))
     search.run()
