@@ -24,7 +24,7 @@ def time_text(ts: Column) -> Column:
     return iso_text(ts.cast("timestamp"))
 
 
-def _prompt_line(item: Column) -> Column:
+def prompt_line(item: Column) -> Column:
     number = item["value_numeric"]
     value = F.array_join(
         F.filter(
@@ -70,28 +70,32 @@ PROMPT_HEADERS = [
 ]
 
 
-def context_text(max_results: int = fv.PROMPT_RESULT_LINES) -> Column:
-    """A case as compact prompt text: nine header lines, then one line per result."""
-    results = F.col("results")
-    more = F.size(results) - max_results
-    lines = F.concat(
-        F.array(*[F.concat(F.lit(h + ": "), _clean(F.col(h))) for h in PROMPT_HEADERS], F.lit("results:")),
-        F.transform(F.slice(results, 1, max_results), _prompt_line),
-        F.when(more > 0, F.array(F.format_string(fv.PROMPT_MORE_RESULTS, more))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_join(lines, "\n")
+def context_text(max_results: int = fv.PROMPT_RESULT_LINES, lines: Column | None = None) -> Column:
+    """A case as compact prompt text: nine header lines, then one line per result.
+
+    Result lines come from the nested ``results``, or are given as one text (null: none) for a case
+    without them.
+    """
+    headers = [*[F.concat(F.lit(h + ": "), _clean(F.col(h))) for h in PROMPT_HEADERS], F.lit("results:")]
+    more = (F.size("results") if lines is None else F.col("results_count")) - max_results
+    omitted = F.when(more > 0, F.format_string(fv.PROMPT_MORE_RESULTS, more))
+    if lines is not None:
+        return F.array_join(F.array(*headers, lines, omitted), "\n")
+    shown = F.transform(F.slice(F.col("results"), 1, max_results), prompt_line)
+    return F.array_join(F.concat(F.array(*headers), shown, F.array(omitted)), "\n")
 
 
-def report_prompt() -> Column:
-    return F.concat(F.lit(fv.REPORT_INSTRUCTIONS + "\n\nGold context:\n"), context_text())
+def report_prompt(context: Column | None = None) -> Column:
+    """The prompt for a report; ``context`` is the text of the case where it is built already."""
+    return F.concat(F.lit(fv.REPORT_INSTRUCTIONS + "\n\nGold context:\n"), context_text() if context is None else context)
 
 
-def chat_prompt(report_text: Column, question: Column) -> Column:
+def chat_prompt(report_text: Column, question: Column, context: Column | None = None) -> Column:
     return F.concat(
         F.lit(fv.CHAT_INSTRUCTIONS + "\n\nGenerated report:\n"),
         report_text,
         F.lit("\n\nGold context:\n"),
-        context_text(),
+        context_text() if context is None else context,
         F.lit("\n\nQuestion:\n"),
         question,
     )
@@ -110,7 +114,7 @@ def flag_split() -> dict[str, Column]:
     }
 
 
-def _draft_line(item: Column) -> Column:
+def draft_line(item: Column) -> Column:
     return F.trim(
         F.concat(
             F.lit("- "),
@@ -129,18 +133,28 @@ def _draft_line(item: Column) -> Column:
     )
 
 
-def _draft_lines(chosen: Column, limit: int) -> Column:
-    def lines(results: Column) -> Column:
-        more = F.size(results) - limit
-        rest = F.when(more > 0, F.concat(F.lit("\n"), F.format_string(fv.DRAFT_MORE_RESULTS, more))).otherwise("")
-        shown = F.array_join(F.transform(F.slice(results, 1, limit), _draft_line), "\n")
-        return F.when(F.size(results) == 0, fv.DRAFT_NO_RESULTS).otherwise(F.concat(shown, rest))
+def _section(shown: Column, count: Column, limit: int) -> Column:
+    more = count - limit
+    rest = F.when(more > 0, F.concat(F.lit("\n"), F.format_string(fv.DRAFT_MORE_RESULTS, more))).otherwise("")
+    return F.when(count == 0, fv.DRAFT_NO_RESULTS).otherwise(F.concat(shown, rest))
+
+
+def _nested_section(chosen: Column, limit: int) -> Column:
+    def section(results: Column) -> Column:
+        shown = F.array_join(F.transform(F.slice(results, 1, limit), draft_line), "\n")
+        return _section(shown, F.size(results), limit)
 
-    return bind(chosen, lines)
+    return bind(chosen, section)
 
 
-def draft_report() -> Column:
-    """The template draft of a case."""
+def draft_report(abnormal_lines: Column | None = None, normal_lines: Column | None = None) -> Column:
+    """The template draft of a case, from its nested ``results`` or from the first lines of each kind as texts."""
+    if abnormal_lines is None or normal_lines is None:
+        abnormal = _nested_section(with_flag(fv.FLAG_HIGH, fv.FLAG_LOW), fv.DRAFT_ABNORMAL_LINES)
+        normal = _nested_section(with_flag(fv.FLAG_NORMAL), fv.DRAFT_NORMAL_LINES)
+    else:
+        abnormal = _section(abnormal_lines, F.col("abnormal_results_count"), fv.DRAFT_ABNORMAL_LINES)
+        normal = _section(normal_lines, F.col("normal_results_count"), fv.DRAFT_NORMAL_LINES)
     return F.format_string(
         fv.DRAFT_TEXT,
         _shown(F.col("patient_id")),
@@ -152,8 +166,8 @@ def draft_report() -> Column:
         F.col("abnormal_results_count"),
         F.col("normal_results_count"),
         F.col("unknown_flag_results_count"),
-        _draft_lines(with_flag(fv.FLAG_HIGH, fv.FLAG_LOW), fv.DRAFT_ABNORMAL_LINES),
-        _draft_lines(with_flag(fv.FLAG_NORMAL), fv.DRAFT_NORMAL_LINES),
+        abnormal,
+        normal,
     )
 
 

@@ -41,7 +41,7 @@ def case_results(silver: DataFrame) -> DataFrame:
     return _latest(silver).select(*CASE_KEYS, *RESULT_FIELDS)
 
 
-def _status_and_time(generated_at: Column | None) -> dict[str, Column]:
+def status_and_time(generated_at: Column | None) -> dict[str, Column]:
     return {
         "status": F.when(F.col("results_count") > 0, fv.READY_FOR_AI).otherwise(fv.INCOMPLETE),
         "generated_at": F.current_timestamp() if generated_at is None else generated_at,
@@ -75,7 +75,7 @@ def gold_report_context(silver: DataFrame, *, generated_at: Column | None = None
         *case_aggregates(), F.array_sort(F.collect_list(F.struct(*RESULT_FIELDS))).alias("results")
     )
     return grouped.withColumns(
-        {**_status_and_time(generated_at), "context_hash": ids.context_hash(F.col("results"))}
+        {**status_and_time(generated_at), "context_hash": ids.context_hash(F.col("results"))}
     ).select(*CONTEXT_COLUMNS)
 
 

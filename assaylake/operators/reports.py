@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import ids, texts
 from ..functions.values import first_match
-from ..schemas import CASE_KEYS
+from ..schemas import CASE_KEYS, RESULT_FIELDS
+from .gold import case_results
 from .silver import first_row
 from .sizing import row_number_in_pieces
 
@@ -377,13 +378,13 @@ def result_line(item: Column) -> Column:
     return F.array_join(F.array(*cells), "\t", "")
 
 
-def export_dossier(
-    exports: DataFrame, reports: DataFrame, versions: DataFrame, context: DataFrame, actions: DataFrame
+def dossier_headers(
+    exports: DataFrame, reports: DataFrame, versions: DataFrame, context: DataFrame, actions: DataFrame, *extra: Column
 ) -> DataFrame:
-    """Everything a printed report shows, one row per export, also of one whose parts are gone (``error``).
+    """What a printed report shows besides its result lines, one row per export, also of one whose parts are gone (``error``).
 
-    ``reports`` carries the folded status. Reports and cases are cut down to the exported ones first;
-    the result lines are joined last.
+    ``reports`` carries the folded status. Reports and cases are cut down to the exported ones first.
+    ``extra`` are further columns of the case; without them the context needs no result list.
     """
     wanted = reports.join(exports.select("report_id").distinct(), "report_id", "left_semi")
     newest = latest_validations(actions).select(
@@ -402,7 +403,7 @@ def export_dossier(
         "validation_status_summary",
         texts.time_text(F.col("first_result_datetime")).alias("first_result_datetime"),
         texts.time_text(F.col("last_result_datetime")).alias("last_result_datetime"),
-        F.transform("results", result_line).alias("result_lines"),
+        *extra,
     )
     return (
         exports.select("export_id", "report_id", "export_type", "generated_at")
@@ -425,6 +426,31 @@ def export_dossier(
     )
 
 
+def dossier_lines(exports: DataFrame, reports: DataFrame, silver: DataFrame) -> DataFrame:
+    """The result lines of every export as rows: ``export_id, report_id, place`` (from 1), ``result_id, result_line``.
+
+    Places are numbered in pieces, so a case of any size is split over tasks; a consumer reads an export
+    in the order of ``place``. Exports whose report or case is gone have no line.
+    """
+    asked = exports.select("export_id", "report_id").join(reports.select("report_id", *CASE_KEYS), "report_id")
+    lines = case_results(silver).join(asked.select(*CASE_KEYS).distinct(), CASE_KEYS, "left_semi").select(
+        *CASE_KEYS, "result_id", result_line(F.struct(*RESULT_FIELDS)).alias("result_line")
+    )
+    placed = row_number_in_pieces(lines, CASE_KEYS, ["result_id"], "place")
+    return asked.join(placed, CASE_KEYS).select("export_id", "report_id", "place", "result_id", "result_line")
+
+
+def export_dossier(
+    exports: DataFrame, reports: DataFrame, versions: DataFrame, context: DataFrame, actions: DataFrame
+) -> DataFrame:
+    """:func:`dossier_headers` with the result lines of the nested context in each row.
+
+    For cases of any size use :func:`dossier_headers` and :func:`dossier_lines`.
+    """
+    lines = F.transform("results", result_line).alias("result_lines")
+    return dossier_headers(exports, reports, versions, context, actions, lines)
+
+
 # --- Chat ------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
-from ..operators import bus, events, gold, silver
+from ..checkpoints import stored
+from ..operators import bus, case_contents, events, gold, silver
 from ..schemas import CASE_KEYS, EVENT_COLUMNS
 from ..sources import ranges
 
@@ -68,10 +69,21 @@ def lab_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.gold_report_context(lab_silver(spark, sf_dir), generated_at=F.lit(DAY_ONE).cast("timestamp"))
 
 
-def busy_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lab events in seven cases of very many results, some with a reference range of their own."""
+def contexts_of(silver_rows: DataFrame) -> DataFrame:
+    """Contexts without result lists."""
+    return case_contents.case_contexts(silver_rows, generated_at=F.lit(DAY_ONE).cast("timestamp"))
+
+
+def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver as a stored layer, for queries that read it more than once."""
+    return stored(lab_silver(spark, sf_dir))
+
+
+def busy_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lab results in cases of twenty users each, a third of them all in one case; some have a reference range."""
     lab = lab_events(spark, sf_dir)
-    group = (F.split_part(F.col("order_id"), F.lit("-"), F.lit(2)).cast("long") % 7).cast("string")
+    user = F.split_part(F.col("order_id"), F.lit("-"), F.lit(2)).cast("long")
+    group = F.when(user % 3 == 0, "HOT").otherwise(F.floor(user / 20).cast("string"))
     number = F.split_part(F.col("event_id"), F.lit("-"), F.lit(2)).cast("long")
     merged = lab.withColumns(
         {
@@ -81,7 +93,7 @@ def busy_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
             "reference_range": F.when(number % 3 == 0, "1 - 2"),
         }
     )
-    return gold.gold_report_context(_silver_of(merged), generated_at=F.lit(DAY_ONE).cast("timestamp"))
+    return stored(_silver_of(merged))
 
 
 # --- Event log -------------------------------------------------------------------------------

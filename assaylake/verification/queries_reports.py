@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import texts
-from ..operators import cases, gold, reports
+from ..operators import case_contents, cases, gold, reports
 from ..schemas import CASE_KEYS
 from . import inputs
 from .oracle_base import GOLD_CTE, SILVER_CTE
@@ -115,9 +115,12 @@ def case_card(spark: SparkSession, sf_dir: str) -> DataFrame:
       from gold""",
 )
 def case_flag_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.lab_gold(spark, sf_dir).select(
-        *CASE_KEYS, *[c.alias(n) for n, c in texts.flag_split().items()]
-    )
+    return case_contents.case_flag_split(inputs.lab_silver(spark, sf_dir))
+
+
+@register("case_content_hash", GOLD_CTE + f" select {KEYS}, cast(results_count as bigint) as results_count, status, context_hash from gold")
+def case_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.contexts_of(inputs.stored_silver(spark, sf_dir)).select(*CASE_KEYS, "results_count", "status", "context_hash")
 
 
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
@@ -195,7 +198,9 @@ prompts as (
     GOLD_CTE + PROMPT_CTE + f" select {KEYS}, {quoted(fv.REPORT_INSTRUCTIONS)} || chr(10) || chr(10) || 'Gold context:' || chr(10) || context_text as prompt from prompts",
 )
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.lab_gold(spark, sf_dir).select(*CASE_KEYS, texts.report_prompt().alias("prompt"))
+    silver = inputs.stored_silver(spark, sf_dir)
+    described = case_contents.with_context_texts(inputs.contexts_of(silver), silver)
+    return described.select(*CASE_KEYS, texts.report_prompt(F.col("context_text")).alias("prompt"))
 
 
 def _kind_lines(kind: str, limit: int) -> str:
@@ -223,14 +228,18 @@ DRAFT_CTE = (
 
 @register("draft_report_text", GOLD_CTE + DRAFT_CTE + f" select {KEYS}, report_text from drafts")
 def draft_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.lab_gold(spark, sf_dir).select(*CASE_KEYS, texts.draft_report().alias("report_text"))
+    silver = inputs.stored_silver(spark, sf_dir)
+    return case_contents.with_draft_reports(gold.case_summaries(silver), silver).select(*CASE_KEYS, "report_text")
+
+
+BUSY_GROUP = "(case when user_id % 3 = 0 then 'HOT' else cast(user_id // 20 as varchar) end)"
 
 
 def _busy(sql: str) -> str:
-    """The same over seven cases of very many results, so that every limit of the texts is passed."""
+    """The same over cases of very many results, one with a third of all, so that every limit of the texts is passed."""
     for old, new in (
-        ("else 'PAT-' || cast(user_id as varchar) end", "else 'PAT-' || cast(user_id%7 as varchar) end"),
-        ("'ORD-' || cast(user_id as varchar) || '-' || d as order_id", "'ORD-' || cast(user_id%7 as varchar) as order_id"),
+        ("else 'PAT-' || cast(user_id as varchar) end", f"else 'PAT-' || {BUSY_GROUP} end"),
+        ("'ORD-' || cast(user_id as varchar) || '-' || d as order_id", f"'ORD-' || {BUSY_GROUP} as order_id"),
         ("'SPC-' || cast(user_id as varchar) || '-' || d || '-' || cast(event_id%2 as varchar) as specimen_id", "'SPC-1' as specimen_id"),
         ("cast(null as varchar) as reference_range", "case when event_id%3=0 then '1 - 2' end as reference_range"),
     ):
@@ -246,9 +255,9 @@ def _busy(sql: str) -> str:
       from drafts join prompts using ({KEYS})""",
 )
 def busy_case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.busy_gold(spark, sf_dir).select(
-        *CASE_KEYS, "results_count", texts.draft_report().alias("report_text"), texts.context_text().alias("context_text")
-    )
+    silver = inputs.busy_silver(spark, sf_dir)
+    drafted = case_contents.with_draft_reports(inputs.contexts_of(silver), silver)
+    return case_contents.with_context_texts(drafted, silver).select(*CASE_KEYS, "results_count", "report_text", "context_text")
 
 
 # --- Report tables in SQL --------------------------------------------------------------------
@@ -676,6 +685,22 @@ def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "export_dossier_lines",
+    STORY
+    + f""" select e.export_id, e.report_id,
+      cast(row_number() over (partition by e.export_id order by s.result_id) as integer) as place, s.result_id,
+      coalesce(test_name,'') || chr(9) || coalesce(loinc_code,'') || chr(9) || coalesce(value_raw,'') || chr(9) ||
+        coalesce(unit,'') || chr(9) || coalesce(reference_range,'') || chr(9) || abnormal_flag || chr(9) ||
+        coalesce(validation_status,'') || chr(9) || coalesce({ISO.format('result_datetime')},'') as result_line
+    from exports e join reports r on r.report_id = e.report_id
+      join silver s on s.patient_id = r.patient_id and s.order_id = r.order_id and s.specimen_id = r.specimen_id""",
+)
+def export_dossier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold_cases = inputs.lab_gold(spark, sf_dir)
+    return reports.dossier_lines(inputs.exports(gold_cases), inputs.reports(gold_cases), inputs.stored_silver(spark, sf_dir))
+
+
 # --- Chat ------------------------------------------------------------------------------------
 
 CHAT_CTE = f""", talks as (
@@ -718,10 +743,11 @@ def chat_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold_cases = inputs.lab_gold(spark, sf_dir)
     latest = reports.latest_versions(inputs.versions(gold_cases)).select("report_id", "report_text")
     asked = inputs.questions(spark, sf_dir, gold_cases).join(latest, "report_id")
-    in_context = asked.join(inputs.reports(gold_cases).drop("created_at"), "report_id").join(gold_cases, CASE_KEYS)
-    return in_context.select(
-        "report_id", "message_seq", texts.chat_prompt(F.col("report_text"), F.col("question")).alias("prompt")
-    )
+    silver = inputs.stored_silver(spark, sf_dir)
+    described = case_contents.with_context_texts(inputs.contexts_of(silver), silver)
+    in_context = asked.join(inputs.reports(gold_cases).drop("created_at"), "report_id").join(described, CASE_KEYS)
+    prompt = texts.chat_prompt(F.col("report_text"), F.col("question"), F.col("context_text"))
+    return in_context.select("report_id", "message_seq", prompt.alias("prompt"))
 
 
 @register(
