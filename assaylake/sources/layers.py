@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.bus import envelopes
 from ..schemas import PUBLIC_EVENT_COLUMNS, assert_no_source_ids, require_columns
+from . import versions
 from .files import exists
 
 FORMATS = ("parquet", "json")
@@ -36,14 +37,22 @@ def write_layer(df: DataFrame, path: str, *, format: str = "parquet") -> Written
 
 
 def read_layer(spark: SparkSession, path: str, *, format: str = "parquet", schema=None) -> DataFrame:
-    """Read a layer in the format it was written in; JSON needs its schema for the types."""
+    """Read a layer in the format it was written in; JSON needs its schema for the types.
+
+    In a lake that ``update_layers`` keeps, this is the layer of the current version.
+    """
+    lake, _, layer = path.rstrip("/").rpartition("/")
+    if lake and format == "parquet" and exists(spark, f"{lake}/{versions.POINTER}"):
+        version = versions.current(spark, lake)
+        if layer in version.buckets:
+            return versions.read(spark, lake, version, layer)
     reader = spark.read.format(format)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def read_cases(spark: SparkSession, path: str, *, format: str = "parquet", schema=None) -> DataFrame:
     """The case layer, with a clear error when there is none."""
-    if not exists(spark, path):
+    if not exists(spark, path) and not exists(spark, f"{path.rstrip('/').rpartition('/')[0]}/{versions.POINTER}"):
         raise NoCases(f"{path} does not exist; write the layers first")
     cases = read_layer(spark, path, format=format, schema=schema)
     if cases.isEmpty():

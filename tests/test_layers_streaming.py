@@ -7,6 +7,7 @@ from assaylake.operators import events, gold, reports
 from assaylake.plans import layers as runs
 from assaylake.plans.layers import run_layers
 from assaylake.schemas import EVENT_COLUMNS
+from assaylake.sources.layers import read_layer
 from assaylake.sources import event_log, layers
 from assaylake.sources.ranges import load_ranges
 from assaylake.streaming import jobs
@@ -170,8 +171,10 @@ def test_updated_layers_equal_a_full_run(spark, tmp_path, ranges):
     for number in (0, 1, 2, 2):  # the last batch comes twice
         runs.update_layers(spark, bronze.filter(step == number), str(tmp_path / "kept"), ranges=ranges, buckets=5)
     for layer, columns in (("silver", silver_columns), ("cases", case_columns)):
-        full, kept = (spark.read.parquet(str(tmp_path / x / layer)).select(*columns) for x in ("full", "kept"))
+        full, kept = (read_layer(spark, str(tmp_path / x / layer)).select(*columns) for x in ("full", "kept"))
         assert full.exceptAll(kept).isEmpty() and kept.exceptAll(full).isEmpty()
+    full, kept = (read_layer(spark, str(tmp_path / x / "kpis")).drop("generated_at").collect() for x in ("full", "kept"))
+    assert full == kept and len(full) == 1 and full[0].total_patients > 0
     bronze.unpersist()
 
 
@@ -179,8 +182,44 @@ def test_a_moved_result_leaves_its_old_case(spark, tmp_path, ranges, make_events
     moved = make_events({"event_id": "E2", "order_id": "other", "modified_at": "2026-03-01T00:00:00Z"})
     for batch in (make_events({}), moved):
         runs.update_layers(spark, batch, str(tmp_path), ranges=ranges)
-    cases = spark.read.parquet(str(tmp_path / "cases")).collect()
+    cases = read_layer(spark, str(tmp_path / "cases")).collect()
     assert [(r.order_id, r.results_count) for r in cases] == [("other", 1)]
+    kpis = read_layer(spark, str(tmp_path / "kpis")).first()
+    assert (kpis.total_orders, kpis.total_patients, kpis.total_results, kpis.ready_for_ai_cases) == (1, 1, 1, 1)
+    assert read_layer(spark, str(tmp_path / "orders")).collect() == [("other", 1)]
+
+
+@pytest.mark.parametrize("stop", ["gold.gold_report_context", "versions.publish"])
+def test_a_stopped_update_shows_the_old_state(spark, tmp_path, ranges, make_events, monkeypatch, stop):
+    lake = str(tmp_path)
+    runs.update_layers(spark, make_events({}), lake, ranges=ranges, buckets=3)
+    second = make_events({"event_id": "E2", "modified_at": "2026-03-01T00:00:00Z", "value": "99"}, {"event_id": "E3", "result_id": "R3"})
+
+    def state():
+        layers = [read_layer(spark, f"{lake}/{name}") for name in ("silver", "cases", "kpis", "patients", "orders")]
+        return [sorted(df.drop("generated_at", "cleaned_at", "silver_processed_at").collect(), key=str) for df in layers]
+
+    def stopped(*_, **__):
+        raise RuntimeError("stopped here")
+
+    old = state()
+    with monkeypatch.context() as patch:
+        place, _, name = stop.rpartition(".")
+        patch.setattr(getattr(runs, place) if place else runs, name, stopped)
+        with pytest.raises(RuntimeError, match="stopped here"):
+            runs.update_layers(spark, second, lake, ranges=ranges, buckets=3)
+    assert state() == old
+    runs.update_layers(spark, second, lake, ranges=ranges, buckets=3)
+    assert read_layer(spark, f"{lake}/kpis").first().total_results == 2
+    opened = read_layer(spark, f"{lake}/silver")  # a reader that opened this version reads on over the next one
+    runs.update_layers(spark, make_events({"event_id": "E4", "result_id": "R4"}), lake, ranges=ranges, buckets=3)
+    assert opened.count() == 2 and read_layer(spark, f"{lake}/silver").count() == 3
+
+
+def test_a_full_run_does_not_hide_behind_versions(spark, tmp_path, ranges, make_events):
+    runs.update_layers(spark, make_events({}), str(tmp_path), ranges=ranges)
+    with pytest.raises(ValueError, match="update_layers"):
+        runs.run_layers(spark, make_events({}), str(tmp_path), ranges=ranges)
 
 
 def test_stream_keeps_the_layers(spark, tmp_path, ranges):
@@ -188,5 +227,5 @@ def test_stream_keeps_the_layers(spark, tmp_path, ranges):
     update = runs.layer_batches(str(tmp_path / "lake"), ranges=ranges, buckets=4)
     run_all(stream.writeStream.foreachBatch(update).option("checkpointLocation", str(tmp_path / "cp")))
     columns = ["event_id", "result_id", "value_numeric", "abnormal_flag"]
-    kept, batch = spark.read.parquet(str(tmp_path / "lake/silver")).select(*columns), inputs.lab_silver(spark, SF).select(*columns)
+    kept, batch = read_layer(spark, str(tmp_path / "lake/silver")).select(*columns), inputs.lab_silver(spark, SF).select(*columns)
     assert kept.exceptAll(batch).isEmpty() and batch.exceptAll(kept).isEmpty()
