@@ -10,6 +10,9 @@ the leader. A set linked with a leader differs from it in a known number of n-gr
 with any other set has found bounds the set's own: ``|x ^ y| >= |r ^ y| - |r ^ x|``. Leaders stand for their clusters in
 the lists; clusters that links connect already are not compared, and members are compared only where the bound
 leaves it open. No link between sets of different components is lost.
+
+*Comparisons.* The n-grams of two sets meet only where wide bitmaps, a few bits for each n-gram, leave a link open; all
+other pairs keep the bound that these bitmaps give.
 """
 
 from __future__ import annotations
@@ -90,6 +93,20 @@ def parities(hashes: np.ndarray) -> list[int]:
     return np.packbits(counts & 1, bitorder="little").view("<i8").tolist()
 
 
+def wide_parities(hashes: np.ndarray) -> bytes:
+    """A bitmap of parities with two to four bits for each element, so that it tells large sets apart as well."""
+    size = max(BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else BITS
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def least_apart(one: np.ndarray, other: np.ndarray) -> int:
+    """A lower bound of the elements in which two sets differ, from wide bitmaps (bytes); the larger one is folded."""
+    small, large = sorted((one, other), key=len)
+    folded = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)
+    return int(np.bitwise_count(folded ^ small).sum())
+
+
 def needed(n, m, percent: int = PERCENT):
     """The least overlap of linked sets of sizes ``n`` and ``m``; for numbers, arrays and columns."""
     whole = percent * (n + m) + 99 + percent
@@ -275,7 +292,7 @@ def _with(pairs: DataFrame, table: DataFrame, columns: list[str], sides: tuple[s
 
 
 def asked_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, hashes`` of the asked nodes, once each, from one text of each."""
+    """``node, n, wide, hashes`` of the asked nodes, once each, from one text of each."""
     wanted = cut(asked.join(nodes.select("node", "least"), "node").select("node", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key")))
     small = F.broadcast(wanted) if wanted.count() <= LOOKUP else wanted
 
@@ -284,32 +301,39 @@ def asked_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, words: int
         for batch in batches:
             found = [hasher(t.as_py()) for t in batch.column(1)]
             same = pa.array([name(h) == n for h, n in zip(found, batch.column(0).to_pylist(), strict=True)], type=pa.bool_())
-            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in found], type=pa.binary())], ["node", "hashes"])
-            yield made.filter(same)
+            wide, whole = (pa.array([f(h) for h in found], type=pa.binary()) for f in (wide_parities, np.ndarray.tobytes))
+            sizes = pa.array([len(h) for h in found], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, wide, whole], ["node", "n", "wide", "hashes"]).filter(same)
 
     read = texts.join(small, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return cut(read.select("node", "text").mapInArrow(tidy(run), "node long, hashes binary").dropDuplicates(["node"]))
+    return cut(read.select("node", "text").mapInArrow(tidy(run), "node long, n long, wide binary, hashes binary").dropDuplicates(["node"]))
 
 
-def overlaps(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """``a, b, overlap, a_n, b_n`` of each pair, exactly."""
+def overlaps(pairs: DataFrame, hashes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b, linked, apart`` of each pair; ``apart`` is exact where a link was open, else a bound beyond the reach of links."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = (batch.column(k) for k in (4, 5))
+            found = [least_apart(*(np.frombuffer(w.as_buffer(), dtype=np.uint8) for w in pair)) for pair in zip(*wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, type=pa.int64())], ["a", "b", "a_n", "b_n", "apart"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, common = np.zeros((2, len(batch)), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            apart = np.zeros(len(batch), dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 one, other = (np.frombuffer(h.as_buffer(), dtype=np.uint64) for h in (x, y))
-                sizes[:, i] = len(one), len(other)
                 small, large = sorted((one, other), key=len)
-                common[i] = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (common, *sizes))], ["a", "b", "overlap", "a_n", "b_n"])
-
-    both = _with(pairs.select("a", "b"), hashes, ["hashes"]).select("a", "b", "a_hashes", "b_hashes")
-    return cut(both.mapInArrow(tidy(run), "a long, b long, overlap long, a_n long, b_n long"))
-
+                common = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
+                apart[i] = len(one) + len(other) - 2 * common
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart)], ["a", "b", "a_n", "b_n", "apart"])
 
-def _linked(percent: int) -> Column:
-    return F.col("overlap") >= needed(F.col("a_n"), F.col("b_n"), percent)
+    out, open_ = "a long, b long, a_n long, b_n long, apart long", F.col("apart") <= _reach("a_n", "b_n", percent)
+    known = _with(pairs.select("a", "b"), hashes, ["n", "wide"]).select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+    known = cut(known.mapInArrow(tidy(bounds), out))
+    both = _with(known.where(open_).drop("apart"), hashes, ["hashes"]).select("a", "b", "a_n", "b_n", "a_hashes", "b_hashes")
+    every = both.mapInArrow(tidy(counts), out).union(known.where(~open_))
+    return cut(every.select("a", "b", open_.alias("linked"), "apart"))
 
 
 def _reach(n: str, m: str, percent: int) -> Column:
@@ -358,10 +382,9 @@ def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, mo
     frequent = made.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     lists = cut(shared_lists(postings(texts, tuple(frequent.column(k).to_numpy() for k in range(2)), words, percent), percent))
     hashes = asked_sets(texts, nodes, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), words)
-    relations = overlaps(near, hashes).where(_linked(percent))
+    relations = overlaps(near, hashes, percent).where("linked")
 
-    off = F.col("a_n") + F.col("b_n") - 2 * F.col("overlap")
-    clusters = relations.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("leader"), off.alias("off"))).alias("l"))
+    clusters = relations.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("leader"), F.col("apart").alias("off"))).alias("l"))
     links = relations.select("a", "b")
     members = cut(
         _roots(nodes, links).join(clusters, "node", "left")
@@ -377,20 +400,20 @@ def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, mo
     pairs = _with(cut(met(cut(grouped), percent)), spans, ["bits", "off", "high", "sets"])
     pairs = cut(pairs.where(_apart("a_bits", "b_bits") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent)).drop("a_bits", "b_bits"))
     more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(hashes.select("node"), "node", "left_anti")
-    compared = overlaps(pairs, hashes.union(asked_sets(texts, nodes, more, words)))
-    links = cut(links.union(compared.where(_linked(percent)).select("a", "b")))
+    compared = overlaps(pairs, hashes.union(asked_sets(texts, nodes, more, words)), percent)
+    links = cut(links.union(compared.where("linked").select("a", "b")))
 
     # Members of clusters that are still apart, where the answer of their leaders leaves it open.
     roots = _roots(nodes, links)
     open_ = (
-        compared.select("a", "b", off.alias("apart")).join(pairs, ["a", "b"]).where("a_sets > 1 or b_sets > 1")
+        compared.select("a", "b", "apart").join(pairs, ["a", "b"]).where("a_sets > 1 or b_sets > 1")
         .where(F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent))
     )
     open_ = cut(_with(open_, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b", "apart", "b_off", "b_high"))
     if not open_.isEmpty():
         pairs = cut(_between_members(open_, sized, percent))
         hashes = asked_sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
-        links = links.union(overlaps(pairs, hashes).where(_linked(percent)).select("a", "b"))
+        links = links.union(overlaps(pairs, hashes, percent).where("linked").select("a", "b"))
         roots = _roots(nodes, cut(links))
     return base, nodes, roots
 

@@ -128,3 +128,16 @@ def test_registered_query(llm, docs, tmp_path):
 
 def test_empty(llm, no_docs):
     assert jaccard_join.jaccard_groups(no_docs).count() == 0
+
+
+def test_wide_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (300, 900, 200), (5000, 5200, 4900), (5000, 70, 0), (40_000, 41_000, 39_000)):
+        values = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        one, other = values[:n], np.concatenate((values[:both], values[n : n + m - both]))
+        wide = [np.frombuffer(jaccard_join.wide_parities(x), dtype=np.uint8) for x in (one, other)]
+        apart = len(np.setxor1d(one, other))
+        bound = jaccard_join.least_apart(*wide)
+        assert bound == jaccard_join.least_apart(*wide[::-1]) and bound <= apart, (n, m, both)
+        # Between sets of like sizes the bound is of use: much of the difference is seen.
+        assert bound >= 0.4 * apart or m < n // 2 or n < 10, (n, m, both)
