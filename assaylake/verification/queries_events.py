@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import ids
 from ..operators import bus, events, extracts
 from ..schemas import CASE_KEYS, EVENT_COLUMNS, NORMALIZED_COLUMNS
+from ..sources import log_ranges
 from ..streaming.cursor import Cursor, changes_after
 from . import inputs
 from .oracle_base import GOLD_CTE, LAB_CTE
@@ -322,22 +326,36 @@ def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bus.parsed_events(inputs.kafka_messages(spark, sf_dir))
 
 
-@register(
-    "changes_page",
+CHANGES_PAGE_SQL = (
     LOG_CTE
     + f""", edge as (select modified_at as m, event_id as i, seq as s from log where event_id like '%7'
         order by modified_at, event_id, seq limit 1)
       select {EVENT_SQL} from (
         select log.* from log, edge
         where modified_at > m or (modified_at = m and (event_id > i or (event_id = i and seq > s)))
-        order by modified_at, event_id, seq limit 1000)""",
+        order by modified_at, event_id, seq limit 1000)"""
 )
+
+
+def _edge(log: DataFrame) -> Cursor:
+    """The first of two copies of one event."""
+    edge = log.filter(F.col("event_id").endswith("7")).orderBy("modified_at", "event_id", "seq").first()
+    return Cursor(edge["modified_at"], edge["event_id"], edge["seq"])
+
+
+@register("changes_page", CHANGES_PAGE_SQL)
 def changes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after the first of two copies of one event."""
     log = inputs.event_log(spark, sf_dir)
-    edge = log.filter(F.col("event_id").endswith("7")).orderBy("modified_at", "event_id", "seq").first()
-    page = changes_after(log, Cursor(edge["modified_at"], edge["event_id"], edge["seq"]), limit=1000)
-    return event_rows(page)
+    return event_rows(changes_after(log, _edge(log), limit=1000))
+
+
+@register("changes_page_by_range", CHANGES_PAGE_SQL)
+def changes_page_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from a log stored in ranges, of which it opens a few."""
+    log, folder = inputs.event_log(spark, sf_dir), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log_ranges.write_ranges(log, folder, rows_per_range=2_000)
+    return event_rows(log_ranges.page_after(spark, folder, _edge(log), 1000))
 
 
 @register(
