@@ -6,6 +6,7 @@ only new pieces go to the library. Ids are kept as little-endian unsigned 16-bit
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -42,6 +43,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, two bytes each; null counts as empty."""
+        # Nothing here makes cycles, but many short-lived objects, for which the collector would go through all pieces known.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         made: list[list[bytes]] = [[] for _ in texts]
         waiting, size = [], 0
         for row, text in enumerate(texts):
@@ -59,13 +70,10 @@ class WordEncoder:
         for row, part in waiting:
             found = _PIECE.findall(part) if _SEPARATORS.search(part) else part.split()
             ids = list(map(known, found))
-            if None not in ids:
+            places = [i for i, x in enumerate(ids) if x is None]
+            if not places:
                 made[row].append(b"".join(ids))
                 continue
-            places, i = [], -1
-            for _ in range(ids.count(None)):
-                i = ids.index(None, i + 1)
-                places.append(i)
             missing = [found[i] for i in places]
             fresh.update(missing)
             gaps.append((len(made[row]), row, ids, places, missing))
@@ -85,14 +93,14 @@ class WordEncoder:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces. Words with punctuation behind them are looked up as two pieces."""
-        plain, parts, others = set(), {}, []
+        parts, others = {}, []
         for piece in pieces:
-            word = piece.rstrip(_PUNCTUATION)
-            if _WORD(word):
+            word = piece if piece.isalpha() else piece.rstrip(_PUNCTUATION)
+            if (word.isascii() and word.isalpha()) or _WORD(word):
                 parts[piece] = (word.lower(), piece[len(word) :])
-                plain.add(parts[piece][0])
             else:
                 others.append(piece)
+        plain = {word for word, _ in parts.values()}
         ends = {end for _, end in parts.values() if end}
         found = {x: self.known.get(x) or self.older.get(x) for x in plain | ends}
         words = [x for x in plain if found[x] is None]
@@ -107,7 +115,7 @@ class WordEncoder:
         """Ids of words of Latin letters, all in one call; a token that ends a word parts them."""
         if not words:
             return []
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u2")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u2")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")

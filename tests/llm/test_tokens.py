@@ -1,5 +1,6 @@
 """BPE, token counts, token-id files and packing against the library and plain versions."""
 
+import gc
 import hashlib
 import math
 import random
@@ -217,3 +218,21 @@ def test_best_fit_packing(docs, no_docs, word_library):
     sequences, bound = packing.certificate(made, 256)
     assert bound <= sequences <= bound + 1
     assert packing.best_fit_packing(no_docs, WORDS).count() == 0
+
+
+def test_collector_rests_while_words_are_encoded():
+    """The collector would go through all known pieces again and again; ids stay what the library gives."""
+    encoder = WordEncoder(WORDS)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeéXY,'") for _ in range(rng.randint(1, 6))) for _ in range(400)) for _ in range(150)]
+    runs = []
+    gc.callbacks.append(lambda phase, info: runs.append(phase))
+    try:
+        gc.collect()
+        before = len(runs)
+        found = encoder.encode(texts)
+        assert len(runs) == before > 0 and gc.isenabled()
+    finally:
+        gc.callbacks.pop()
+    library = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    assert found == library
