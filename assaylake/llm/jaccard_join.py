@@ -8,8 +8,9 @@ threshold; lists of many rows are cut into blocks, pairs of which are units of w
 *Answers.* Sets that share a smallest hash (eight hash orders) with others are first compared with one of them,
 the leader. A set linked with a leader differs from it in a known number of n-grams, so what the leader's comparison
 with any other set has found bounds the set's own: ``|x ^ y| >= |r ^ y| - |r ^ x|``. Leaders stand for their clusters in
-the lists; clusters that links connect already are not compared, and members are compared only where the bound
-leaves it open. No link between sets of different components is lost.
+the lists; clusters that links connect already are not compared, and members meet in the same lists only where the bound
+leaves it open. Bitmaps are compared inside the lists, and of the pairs between two components the nearest one is compared
+first, so that a large group does not give all its pairs. No link between sets of different components is lost.
 
 *Comparisons.* The n-grams of two sets meet only where wide bitmaps, a few bits for each n-gram, leave a link open; all
 other pairs keep the bound that these bitmaps give.
@@ -236,29 +237,35 @@ def shared_lists(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "token long, node long, n int, rest int")
 
 
-def met(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``(a, b)`` of clusters that may hold linked sets, from ``token, leader, comp, low, high, rest``.
+def met(lists: DataFrame, spans: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``(a, b, seen)`` of clusters of different components that may hold linked sets.
 
-    ``low, high`` are the sizes of the members in the list, ``rest`` the largest number of n-grams that follow.
+    ``lists`` has ``token, leader, comp, low, high, rest``: the sizes of the members in the list, and the largest number of
+    n-grams that follow. ``spans`` has ``node, off, high, bits`` of every leader; bitmaps are compared inside the lists, so that only
+    pairs within reach leave them. ``seen`` is the number of bits in which the leaders differ.
     """
     sizes = lists.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     several = sizes.where("one <> other").select(F.col("token").alias("_token"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     kept = lists.join(several, F.col("token") == F.col("_token")).drop("_token")
+    bits = [f"bits{k}" for k in range(BITS // 64)]
+    wide = spans.select(F.col("node").alias("leader"), "off", F.col("high").alias("most"), *[F.col("bits")[k].alias(c) for k, c in enumerate(bits)])
     own = F.pmod(F.xxhash64("leader"), F.col("blocks")).cast("int")
-    placed = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select("token", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "low", "leader", "comp", "high", "rest", "own")
+    placed = kept.join(wide, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["low", "leader", "comp", "high", "rest", "own", "off", "most", *bits]
+    units = placed.select("token", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, u, v, low, leader, comp, high, rest, own in _whole_groups(batches, 3):
+        for token, u, v, low, leader, comp, high, rest, own, off, most, *bits in _whole_groups(batches, 3):
             n = len(token)
             head = np.concatenate(([True], (token[1:] != token[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
             place = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
-            low, high, rest = (x.astype(np.int64) for x in (low, high, rest))
+            low, high, rest, off, most = (x.astype(np.int64) for x in (low, high, rest, off, most))
+            bits = np.stack(bits, axis=1).view(np.uint64)  # unsigned, as bits of negative numbers are not counted
             group = np.cumsum(head)
             # The largest size and the longest rest among the rows of a unit up to each row.
             most_high = np.maximum.accumulate(high + (group << 40)) & ((1 << 40) - 1)
             most_rest = np.maximum.accumulate(rest + (group << 40)) & ((1 << 40) - 1)
-            found, at, lag = [np.zeros((2, 0), dtype=np.int64)], np.arange(n), 0
+            found, at, lag = [np.zeros((3, 0), dtype=np.int64)], np.arange(n), 0
             while len(at):
                 lag += 1
                 at = at[place[at] >= lag]
@@ -269,14 +276,18 @@ def met(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
                 good = (100 * high[to] >= percent * low[at]) & (100 * high[at] >= percent * low[to]) & (comp[at] != comp[to])
                 good &= np.minimum(rest[at], rest[to]) >= needed(low[at], low[to], percent)
                 good &= (u[at] == v[at]) | (own[at] != own[to])
-                if good.any():
-                    pair = np.stack([leader[at[good]], leader[to[good]]])
-                    found.append(np.stack([pair.min(axis=0), pair.max(axis=0)]))
+                if not good.any():
+                    continue
+                x, y = at[good], to[good]
+                seen = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                within = seen - off[x] - off[y] <= most[x] + most[y] - 2 * needed(most[x], most[y], percent)
+                pair = np.stack([leader[x[within]], leader[y[within]]])
+                found.append(np.concatenate([pair.min(axis=0, keepdims=True), pair.max(axis=0, keepdims=True), seen[within][None]]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], ["a", "b", "seen"])
 
     dealt = units.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "low", "leader")
-    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long, seen long").distinct()
 
 
 def _apart(one: str, other: str) -> Column:
@@ -361,75 +372,108 @@ def _leaders(keyed: DataFrame, keys: list[str]) -> DataFrame:
 def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, more_keys=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All that link: ``base`` (a row per text), ``nodes`` (a row per set that is not empty), ``roots`` (``node, comp``).
 
-    ``texts`` has ``doc_id, key, text``. ``more_keys`` gives further keys (``node`` and others) from ``nodes`` and texts, by
-    which sets find leaders; they change the work, never the result.
+    ``texts`` has ``doc_id, key, text``. ``more_keys`` gives keys (``node`` and others) from ``nodes`` and texts, by which sets
+    find leaders first. What these link is not compared again by the smallest hashes and the lists.
     """
     made = cut(sets(texts, words))
     base = made.where("node is not null").select("doc_id", "key", "node", "n", "bits", "mins")
     first = lambda c: F.first(c).alias(c)
     nodes = cut(base.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"), first("n"), first("bits"), first("mins")))
 
-    # Relations: sets against the leader of those that share a smallest hash.
-    near = _leaders(nodes.select("node", F.posexplode("mins").alias("k", "least_hash")), ["k", "least_hash"])
+    # Relations: sets against the leader of those that share a key. Keys that are given come first; the smallest hashes
+    # go on from what those have linked.
+    roots = hashes = links = None
     if more_keys is not None:
         keyed = more_keys(nodes, texts)
-        near = near.union(_leaders(keyed, [c for c in keyed.columns if c != "node"]))
-    # A set may have a leader for each key; those with the most keys in common do. This bounds the work and loses no link.
-    often = near.groupBy("a", "b").agg(F.count("*").alias("keys")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False).alias("l"))
-    near = often.select(F.explode(F.slice("l", 1, LEADERS)).alias("l"), "b").select("l.a", "b")
-    near = cut(_with(near, nodes, ["n", "bits"]).where(_fits(percent)).select("a", "b"))
+        links, hashes = _related(keyed, [c for c in keyed.columns if c != "node"], texts, nodes, None, None, words, percent)
+        roots = _roots(nodes, links)
+    keyed = nodes.select("node", F.posexplode("mins").alias("k", "least_hash"))
+    more, hashes = _related(keyed, ["k", "least_hash"], texts, nodes, roots, hashes, words, percent)
+    roots = _roots(nodes, more) if roots is None else _joined(roots, more)
+    relations = more if links is None else links.union(more)
 
     frequent = made.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     lists = cut(shared_lists(postings(texts, tuple(frequent.column(k).to_numpy() for k in range(2)), words, percent), percent))
-    hashes = asked_sets(texts, nodes, near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), words)
-    relations = overlaps(near, hashes, percent).where("linked")
-
     clusters = relations.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("leader"), F.col("apart").alias("off"))).alias("l"))
-    links = relations.select("a", "b")
     members = cut(
-        _roots(nodes, links).join(clusters, "node", "left")
+        roots.join(clusters, "node", "left")
         .select("node", F.coalesce("l.leader", "node").alias("leader"), F.coalesce("l.off", F.lit(0)).alias("off"), "comp")
     )
-    sized = members.join(nodes.select("node", "n", "bits"), "node")
-    spans = sized.groupBy("leader").agg(F.max("off").alias("off"), F.max("n").alias("high"), F.count("*").alias("sets"), F.min("comp").alias("comp"))
+    spans = members.join(nodes.select("node", "n"), "node").groupBy("leader").agg(F.max("off").alias("off"), F.max("n").alias("high"))
     spans = cut(spans.join(nodes.select(F.col("node").alias("leader"), "bits"), "leader").withColumnRenamed("leader", "node"))
 
     # Clusters against clusters of other components, by the lists.
     named = lists.join(members.select("node", "leader", "comp"), "node")
     grouped = named.groupBy("token", "leader").agg(F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    pairs = _with(cut(met(cut(grouped), percent)), spans, ["bits", "off", "high", "sets"])
-    pairs = cut(pairs.where(_apart("a_bits", "b_bits") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent)).drop("a_bits", "b_bits"))
-    more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(hashes.select("node"), "node", "left_anti")
-    compared = overlaps(pairs, hashes.union(asked_sets(texts, nodes, more, words)), percent)
-    links = cut(links.union(compared.where("linked").select("a", "b")))
-
-    # Members of clusters that are still apart, where the answer of their leaders leaves it open.
-    roots = _roots(nodes, links)
-    open_ = (
-        compared.select("a", "b", "apart").join(pairs, ["a", "b"]).where("a_sets > 1 or b_sets > 1")
-        .where(F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent))
-    )
-    open_ = cut(_with(open_, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b", "apart", "b_off", "b_high"))
+    pairs = cut(met(cut(grouped), spans, percent))
+    compared, roots, hashes = _connected(pairs, texts, nodes, roots, hashes, words, percent)
+
+    # Members of clusters that are still apart, where the answer of their leaders leaves it open: by the same lists.
+    # A leader may be a member of another cluster, so a cluster of one set may still have members besides its leader.
+    open_ = _with(compared.select("a", "b", "apart"), spans, ["off", "high"]).where("a_off > 0 or b_off > 0")
+    open_ = open_.where(F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_high", "b_high", percent))
+    open_ = cut(_with(open_.select("a", "b"), roots, ["comp"]).where("a_comp <> b_comp").select("a", "b"))
     if not open_.isEmpty():
-        pairs = cut(_between_members(open_, sized, percent))
-        hashes = asked_sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
-        links = links.union(overlaps(pairs, hashes, percent).where("linked").select("a", "b"))
-        roots = _roots(nodes, cut(links))
+        asked = open_.select(F.col("a").alias("leader")).union(open_.select("b")).distinct()
+        some = members.join(asked, "leader").select("node").join(roots, "node")
+        alone = lists.join(some, "node").select("token", F.col("node").alias("leader"), "comp", F.col("n").alias("low"), F.col("n").alias("high"), "rest")
+        each = some.join(nodes, "node").select("node", F.lit(0).alias("off"), F.col("n").alias("high"), "bits")
+        _, roots, _ = _connected(cut(met(cut(alone), cut(each), percent)), texts, nodes, roots, hashes, words, percent)
     return base, nodes, roots
 
 
-def _between_members(open_: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of members of the given pairs of clusters that may link.
+def _related(
+    keyed: DataFrame, keys: list[str], texts: DataFrame, nodes: DataFrame, roots: DataFrame | None, hashes: DataFrame | None, words: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """``a, b, apart``: links of sets ``b`` to leaders ``a`` with which they share keys, and the sets read so far.
+
+    Pairs that ``roots`` connect are left out.
+    """
+    near = _leaders(keyed, keys).groupBy("a", "b").agg(F.count("*").alias("keys"))
+    if roots is not None:
+        near = _with(near, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b", "keys")
+    # A set may have a leader for each key; those with the most keys in common do. This bounds the work and loses no link.
+    often = near.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False).alias("l"))
+    near = often.select(F.explode(F.slice("l", 1, LEADERS)).alias("l"), "b").select("l.a", "b")
+    near = cut(_with(near, nodes, ["n", "bits"]).where(_fits(percent)).select("a", "b"))
+    hashes = _read_sets(near, texts, nodes, hashes, words)
+    return overlaps(near, hashes, percent).where("linked").select("a", "b", "apart"), hashes
+
+
+def _read_sets(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, known: DataFrame | None, words: int) -> DataFrame:
+    """``asked_sets`` of both sides of pairs, added to those that are known."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if known is None:
+        return asked_sets(texts, nodes, asked, words)
+    asked = cut(asked.join(known.select("node"), "node", "left_anti"))
+    return known if asked.isEmpty() else known.union(asked_sets(texts, nodes, asked, words))
+
+
+def _connected(
+    pairs: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, hashes: DataFrame, words: int, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``a, b, linked, apart`` of pairs ``(a, b, seen)``, the roots with their links, and the sets read so far.
 
-    ``|x ^ y| >= |a ^ b| - |a ^ x| - |b ^ y|`` for members ``x`` and ``y`` of clusters ``a`` and ``b``, and the bitmaps bound it as well.
+    Of the pairs between two components the nearest one is compared first; the others are only where those stay apart.
     """
-    side = lambda s: sized.select(F.col("leader").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "off", "bits")])
-    apart = open_.withColumnsRenamed({"b_off": "most_off", "b_high": "most"}).join(side("a"), "a")
-    # What is out of reach of every member of the other cluster is left out first.
-    apart = apart.where(F.col("apart") - F.col("a_off") - F.col("most_off") <= _reach("a_n", "most", percent)).drop("most_off", "most")
-    bound = F.col("apart") - F.col("a_off") - F.col("b_off") <= _reach("a_n", "b_n", percent)
-    both = apart.join(side("b"), "b").where(bound & _fits(percent))
-    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    pairs = cut(_with(pairs, roots, ["comp"]).withColumns({"low": F.least("a_comp", "b_comp"), "high": F.greatest("a_comp", "b_comp")}))
+    hashes = _read_sets(pairs, texts, nodes, hashes, words)
+    first = cut(pairs.groupBy("low", "high").agg(F.min(F.struct("seen", "a", "b")).alias("p")).select("p.a", "p.b"))
+    compared = overlaps(first, hashes, percent)
+    roots = _joined(roots, compared.where("linked"))
+    others = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    others = cut(_with(others, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b"))
+    if not others.isEmpty():
+        more = overlaps(others, hashes, percent)
+        compared, roots = compared.union(more), _joined(roots, more.where("linked"))
+    return compared, roots, hashes
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots that go on through more links: only components are linked, so this is far less than all links again."""
+    between = _with(links.select("a", "b"), roots, ["comp"]).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    moved = components(between).select(F.col("node").alias("comp"), "root")
+    return cut(roots.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -141,3 +141,19 @@ def test_wide_bitmaps_never_exceed_the_difference():
         assert bound == jaccard_join.least_apart(*wide[::-1]) and bound <= apart, (n, m, both)
         # Between sets of like sizes the bound is of use: much of the difference is seen.
         assert bound >= 0.4 * apart or m < n // 2 or n < 10, (n, m, both)
+
+
+def test_lists_give_only_pairs_within_reach(llm, monkeypatch):
+    """Copies of one text that are all just out of reach of each other: the lists do not give all pairs of them."""
+    rng, given, plain = random.Random(5), [], jaccard_join.met
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, base, 2))) for i in range(200)]
+
+    def watched(*args):
+        found = plain(*args).checkpoint()
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "met", watched)
+    assert groups(llm, rows) == plain_groups(rows)
+    assert given and max(given) < 10 * len(rows)
