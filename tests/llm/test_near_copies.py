@@ -6,7 +6,7 @@ import pytest
 from test_dedup import clashing, union
 
 import corpus_pipeline
-from assaylake.llm import near_copies
+from assaylake.llm import jaccard_join, near_copies
 
 FIELDS = "text string, doc_id long, digest string"
 
@@ -77,3 +77,33 @@ def test_stages_keep_each_text_once(llm, tmp_path):
 
 def test_empty(no_docs):
     assert near_copies.near_dedup(no_docs).count() == 0
+
+
+def test_what_simhash_links_is_not_compared_again(llm, monkeypatch):
+    """The first comparisons are those of SimHash anchors, and the later ones leave out what these have connected."""
+    rng, calls, anchors = random.Random(2), [], {}
+    overlaps, anchored = jaccard_join.overlaps, near_copies._anchors
+
+    def watched_overlaps(*args):
+        found = overlaps(*args)
+        calls.append([(r.a, r.b, r.linked) for r in found.collect()])
+        return found
+
+    def watched_anchors(*args):
+        found = anchored(*args)
+        for r in found.collect():
+            anchors.setdefault(r.node, set()).add((r.family, r.anchor))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "overlaps", watched_overlaps)
+    monkeypatch.setattr(near_copies, "_anchors", watched_anchors)
+    texts = []
+    for changes in [1, 2, 3, 4] * 6:
+        text = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        texts += [" ".join(text), " ".join([*text, "end"]), " ".join("changed" if i % (150 // changes) == 7 else w for i, w in enumerate(text))]
+    near_copies.near_groups(llm.createDataFrame([(t, i, "d") for i, t in enumerate(texts)], FIELDS)).count()
+    first, nodes = calls[0], sorted(anchors)
+    assert any(linked for _, _, linked in first) and all(anchors[a] & anchors[b] for a, b, _ in first)
+    place = {node: i for i, node in enumerate(nodes)}
+    root = union([(place[a], place[b]) for a, b, linked in first if linked], range(len(nodes)))
+    assert any(calls[1:]) and all(root[place[a]] != root[place[b]] for call in calls[1:] for a, b, _ in call)
