@@ -364,9 +364,15 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _leaders(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """``a, b``: every node ``b`` and the smallest node ``a`` of each key that it has in common with others."""
-    leaders = keyed.groupBy(*keys).agg(F.min("node").alias("leader"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    return keyed.join(leaders, keys).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    """``a, b``: every node ``b`` and the leader ``a`` of each key that it has in common with others.
+
+    The leader is the node whose keys are the most common ones: in a group of copies the one in the middle, near which most are.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = keyed.join(sizes, keys)
+    shared = shared.join(shared.groupBy("node").agg(F.sum("sets").alias("common")), "node").select("node", "common", *keys)
+    leaders = shared.groupBy(*keys).agg(F.max(F.struct("common", "node")).getField("node").alias("leader"))
+    return shared.join(leaders, keys).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
 def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, more_keys=None) -> tuple[DataFrame, DataFrame, DataFrame]:
