@@ -180,7 +180,8 @@ def top_k(
     keys = ["size", "shard", "group"]
     columns = ["row", "vec_id", "vector", "copies", size]
     left = base.where(is_query).select(*columns, place(groups, 1).alias("group"), all_of(shards).alias("shard"))
-    right = base.select(*columns, place(shards, 2).alias("shard"), all_of(groups).alias("group"))
+    # Columns of its own: of two sides that share theirs, Spark prunes the right one's where a result column is not asked for.
+    right = base.select(*[F.col(c).alias(c) for c in base.columns]).select(*columns, place(shards, 2).alias("shard"), all_of(groups).alias("group"))
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_unit(k, scale), UNIT)
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -185,3 +185,11 @@ def test_top_k_of_few_rows(llm):
     assert topk.top_k(llm.createDataFrame([], schema)).count() == 0
     assert topk.top_k(llm.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert [tuple(r) for r in topk.top_k(llm.createDataFrame([(0, [1.0]), (1, [-0.5])], schema)).collect()] == [(0, 1, 1, 256 * -128)]
+
+
+def test_top_k_where_some_columns_are_asked_for(llm):
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(40)]
+    found = topk.top_k(llm.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10)
+    expected = plain_top_k(rows, 5, 10)
+    assert found.count() == len(expected)
+    assert sorted(r[0] for r in found.select("vec_id").collect()) == sorted(e[2] for e in expected)
