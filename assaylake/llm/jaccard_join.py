@@ -9,8 +9,8 @@ threshold; lists of many rows are cut into blocks, pairs of which are units of w
 the leader. A set linked with a leader differs from it in a known number of n-grams, so what the leader's comparison
 with any other set has found bounds the set's own: ``|x ^ y| >= |r ^ y| - |r ^ x|``. Leaders stand for their clusters in
 the lists; clusters that links connect already are not compared, and members meet in the same lists only where the bound
-leaves it open. Bitmaps are compared inside the lists, and of the pairs between two components the nearest one is compared
-first, so that a large group does not give all its pairs. No link between sets of different components is lost.
+leaves it open. Bitmaps are compared inside the lists, and of the pairs between two components only the nearest one leaves
+the lists at first, so that a large group does not give all its pairs. No link between sets of different components is lost.
 
 *Comparisons.* The n-grams of two sets meet only where wide bitmaps, a few bits for each n-gram, leave a link open; all
 other pairs keep the bound that these bitmaps give.
@@ -18,6 +18,7 @@ other pairs keep the bound that these bitmaps give.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,33 +37,56 @@ BITS = 512
 BLOCK = 4096  # rows of a list in a block
 LOOKUP = 300_000  # rows whose texts are asked for by broadcast; beyond that they are joined by a shuffle
 WINDOW = 1 << 20
+TOGETHER = 1 << 18  # bytes of texts that are hashed together
 GATHERED = 1 << 16
-KNOWN = 1 << 17  # words or sets that a task remembers
+KNOWN = 1 << 17  # sets that a task remembers
+LONG = 64  # bytes of a word beyond which it is hashed alone
 LEADERS = 2  # that a set is compared with first
 
 _rng = np.random.default_rng(12)
 _FACTORS = _rng.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEYS = _rng.integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_NO_SPACE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+
 
 def _stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(30))
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lower-cased words of text bytes, and where the words begin. Texts begin at ``begins``, their words too."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    begins, word = begins[begins < len(data)], _NO_SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    first[begins] = word[begins]
+    last[:-1] &= ~word[1:]
+    last[begins[begins > 0] - 1] = word[begins[begins > 0] - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    values = _stir(sizes.astype(np.uint64) * _FACTORS[0] + (eight[starts] & _MASKS[np.minimum(sizes, 8)]))
+    for k in range(8, LONG, 8):
+        rows = np.flatnonzero(sizes > k)
+        if not len(rows):
+            break
+        part = eight[starts[rows] + k] & _MASKS[np.minimum(sizes[rows] - k, 8)]
+        values[rows] = _stir(values[rows] * _FACTORS[0] + part)
+    for row in np.flatnonzero(sizes > LONG):
+        values[row] = xxhash.xxh64_intdigest(padded[starts[row] : starts[row] + sizes[row]].tobytes())
+    return values, starts
+
+
 class Hasher:
-    """The n-grams of texts as sorted distinct 64-bit hashes. Word hashes are remembered, up to a bound."""
+    """The n-grams of texts as sorted distinct 64-bit hashes."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
-
-    def _hashes(self, found: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        for word in set(found).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+        self.words = words
 
     def _combined(self, hashes: np.ndarray, words: int) -> np.ndarray:
         n = len(hashes) - words + 1
@@ -73,8 +97,9 @@ class Hasher:
 
     def __call__(self, text: str | None) -> np.ndarray:
         carried, parts = np.zeros(0, dtype=np.uint64), []
-        for part in windows((text or "").encode().lower(), WINDOW):
-            hashes = np.concatenate((carried, self._hashes(part.split())))
+        for part in windows((text or "").encode(), WINDOW):
+            found, _ = word_hashes(np.frombuffer(part, dtype=np.uint8), np.zeros(1, dtype=np.int64))
+            hashes = np.concatenate((carried, found))
             if len(hashes) >= self.words:
                 parts.append(self._combined(hashes, self.words))
                 hashes = hashes[len(hashes) - self.words + 1 :]
@@ -83,15 +108,50 @@ class Hasher:
             return self._combined(carried, len(carried)) if len(carried) else carried
         return np.unique(np.concatenate(parts))
 
+    def each(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for many texts: the hashes of some texts, one text after the other, and how many each text has."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data, start = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + TOGETHER, "right")) - 1)
+            if offsets[end] - offsets[start] > WINDOW:  # a long one alone, in windows
+                hashes = self(texts[start].as_py())
+                yield hashes, np.array([len(hashes)])
+            else:
+                yield self._several(data[offsets[start] : offsets[end]], offsets[start:end] - offsets[start])
+            start = end
+
+    def _several(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, places = word_hashes(data, begins)
+        texts = len(begins)
+        words = np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=texts)
+        ends = np.cumsum(words)
+        values, own = np.zeros(len(hashes), dtype=np.uint64), np.repeat(np.arange(texts), words)
+        if len(hashes) >= self.words:
+            values[: len(hashes) - self.words + 1] = self._combined(hashes, self.words)
+        starts = np.arange(len(hashes)) + self.words <= ends[own]
+        for text in np.flatnonzero((words > 0) & (words < self.words)):
+            first = ends[text] - words[text]
+            starts[first], values[first] = True, self._combined(hashes[first : ends[text]], words[text])[0]
+        values, own = values[starts], own[starts]
+        place = np.searchsorted(own, np.arange(texts + 1)).tolist()
+        for a, b in zip(place, place[1:], strict=False):
+            values[a:b].sort()
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = (values[1:] != values[:-1]) | (own[1:] != own[:-1])
+        return values[new], np.bincount(own[new], minlength=texts)
+
 
 def name(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def parities(hashes: np.ndarray) -> list[int]:
-    """A bitmap of parities as longs: sets differ in at least as many elements as their bitmaps in bits."""
-    counts = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-    return np.packbits(counts & 1, bitorder="little").view("<i8").tolist()
+def parities(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Bitmaps of parities of sets, a row of longs each: sets differ in at least as many elements as their bitmaps in bits."""
+    place = np.repeat(np.arange(len(lengths)) * BITS, lengths) + (hashes & np.uint64(BITS - 1)).astype(np.int64)
+    counts = np.bincount(place, minlength=len(lengths) * BITS).reshape(-1, BITS)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def wide_parities(hashes: np.ndarray) -> bytes:
@@ -131,23 +191,25 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, total = Hasher(words), np.zeros(BUCKETS, dtype=np.int32), 0
+        lists = lambda values, each: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(each))).astype(np.int32), values)
         for batch in batches:
-            nodes, sizes, bits, mins, gathered = [], [], [], [], []
-            for text in batch.column(2):
-                hashes = hasher(text.as_py())
-                nodes.append(name(hashes))
-                sizes.append(len(hashes))
-                bits.append(parities(hashes))
-                mins.append([int((hashes * f).min().view(np.int64)) for f in _KEYS] if len(hashes) else [])
-                gathered.append(hashes >> np.uint64(43))
+            nodes, sizes, bits, mins = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for hashes, lengths in hasher.each(batch.column(2)):
+                ends = np.cumsum(lengths)
+                nodes += [name(hashes[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                sizes.append(lengths)
+                bits.append(parities(hashes, lengths).ravel())
+                firsts = (ends - lengths)[lengths > 0]
+                if len(firsts):
+                    mins.append(np.stack([np.minimum.reduceat(hashes * f, firsts) for f in _KEYS], axis=1).view(np.int64).ravel())
+                np.add.at(counts, (hashes >> np.uint64(43)).astype(np.int64), np.int32(1))
                 total += len(hashes)
-            if gathered:
-                counts += np.bincount(np.concatenate(gathered).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-            made = [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(bits, type=pa.list_(pa.int64())), pa.array(mins, type=pa.list_(pa.int64()))]
+            sizes, bits, mins = (np.concatenate(x) for x in (sizes, bits, mins))
+            made = [pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int32()), lists(bits, np.full(len(sizes), BITS // 64)), lists(mins, len(_KEYS) * (sizes > 0))]
             empty = [pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *empty], _BASE_NAMES)
-        # Buckets that stand out among those of this task; an order of n-grams needs no more.
-        often = np.flatnonzero(counts > 4 + 4 * total // BUCKETS)
+        # Buckets that stand out from chance among those of this task, however small it is; an order of n-grams needs no more.
+        often = np.flatnonzero(counts > math.ceil(total / BUCKETS + 3 * math.sqrt(total / BUCKETS)))
         none = [pa.nulls(len(often), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], _BASE_NAMES)
 
@@ -162,24 +224,26 @@ def postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: i
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, seen = Hasher(words), np.zeros(BUCKETS, dtype=np.int32), set()
-        counts[shared.value[0]] = shared.value[1]
+        hasher, counts, seen = Hasher(words), np.zeros(BUCKETS, dtype=np.uint16), set()
+        counts[shared.value[0]] = np.log2(shared.value[1] + 1.0) * 1024  # sixteen bits are sorted fast
         for batch in batches:
             tokens, nodes, sizes, rests = [], [], [], []
-            for text in batch.column(0):
-                hashes = hasher(text.as_py())
-                node, n = name(hashes), len(hashes)
-                if not n or node in seen:
-                    continue
-                if len(seen) >= KNOWN:
-                    seen.clear()
-                seen.add(node)
-                p = prefix_size(n, percent)
-                order = np.argsort(counts[(hashes >> np.uint64(43)).astype(np.int64)], kind="stable")[:p]
-                tokens.append(hashes[order].view(np.int64))
-                nodes.append(node)
-                sizes.append(n)
-                rests.append(n - np.arange(p, dtype=np.int32))
+            for hashes, each in hasher.each(batch.column(0)):
+                common, end = counts[(hashes >> np.uint64(43)).astype(np.int64)], 0
+                for n in each.tolist():
+                    start, end = end, end + n
+                    node = name(hashes[start:end])
+                    if not n or node in seen:
+                        continue
+                    if len(seen) >= KNOWN:
+                        seen.clear()
+                    seen.add(node)
+                    p = prefix_size(n, percent)
+                    order = np.argsort(common[start:end], kind="stable")[:p]
+                    tokens.append(hashes[start + order].view(np.int64))
+                    nodes.append(node)
+                    sizes.append(n)
+                    rests.append(n - np.arange(p, dtype=np.int32))
             lengths = [len(t) for t in tokens]
             columns = [
                 np.concatenate(tokens or [np.zeros(0, dtype=np.int64)]), np.repeat(np.array(nodes, dtype=np.int64), lengths),
@@ -237,12 +301,23 @@ def shared_lists(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "token long, node long, n int, rest int")
 
 
-def met(lists: DataFrame, spans: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``(a, b, seen)`` of clusters of different components that may hold linked sets.
+def _ends(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs ``(low, high, seen, a, b)``, one a column, the first and the last of each ``low`` and ``high``."""
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    new = np.ones(pairs.shape[1] + 1, dtype=bool)
+    new[1:-1] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    return pairs[:, new[:-1] | new[1:]]
+
+
+def met(lists: DataFrame, spans: DataFrame, percent: int = PERCENT, nearest: bool = False) -> DataFrame:
+    """Pairs ``(a, b)`` of clusters of different components that may hold linked sets.
+
+    ``nearest`` gives only the nearest pair of each two components, as ``low, high, a, b, more``: the components, the pair, and
+    whether there are others.
 
     ``lists`` has ``token, leader, comp, low, high, rest``: the sizes of the members in the list, and the largest number of
     n-grams that follow. ``spans`` has ``node, off, high, bits`` of every leader; bitmaps are compared inside the lists, so that only
-    pairs within reach leave them. ``seen`` is the number of bits in which the leaders differ.
+    pairs within reach leave them, and of those in one unit between two components the nearest and the farthest, if ``nearest``.
     """
     sizes = lists.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     several = sizes.where("one <> other").select(F.col("token").alias("_token"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
@@ -265,7 +340,7 @@ def met(lists: DataFrame, spans: DataFrame, percent: int = PERCENT) -> DataFrame
             # The largest size and the longest rest among the rows of a unit up to each row.
             most_high = np.maximum.accumulate(high + (group << 40)) & ((1 << 40) - 1)
             most_rest = np.maximum.accumulate(rest + (group << 40)) & ((1 << 40) - 1)
-            found, at, lag = [np.zeros((3, 0), dtype=np.int64)], np.arange(n), 0
+            found, at, lag = [np.zeros((5, 0), dtype=np.int64)], np.arange(n), 0
             while len(at):
                 lag += 1
                 at = at[place[at] >= lag]
@@ -281,13 +356,26 @@ def met(lists: DataFrame, spans: DataFrame, percent: int = PERCENT) -> DataFrame
                 x, y = at[good], to[good]
                 seen = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 within = seen - off[x] - off[y] <= most[x] + most[y] - 2 * needed(most[x], most[y], percent)
-                pair = np.stack([leader[x[within]], leader[y[within]]])
-                found.append(np.concatenate([pair.min(axis=0, keepdims=True), pair.max(axis=0, keepdims=True), seen[within][None]]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], ["a", "b", "seen"])
+                x, y, seen = x[within], y[within], seen[within]
+                pair, comps = np.stack([leader[x], leader[y]]), np.stack([comp[x], comp[y]])
+                found.append(np.stack([comps.min(axis=0), comps.max(axis=0), seen, pair.min(axis=0), pair.max(axis=0)]))
+                if sum(f.shape[1] for f in found) > GATHERED:
+                    found = [_ends(np.concatenate(found, axis=1))] if nearest else found
+                    if found[0].shape[1] > GATHERED // 2 or not nearest:
+                        yield batch_of(found)
+                        found = [np.zeros((5, 0), dtype=np.int64)]
+            yield batch_of([_ends(np.concatenate(found, axis=1))] if nearest else found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in np.concatenate(found, axis=1)], ["low", "high", "seen", "a", "b"])
 
     dealt = units.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "low", "leader")
-    return dealt.mapInArrow(tidy(run), "a long, b long, seen long").distinct()
+    pairs = dealt.mapInArrow(tidy(run), "low long, high long, seen long, a long, b long")
+    if not nearest:
+        return pairs.select("a", "b").distinct()
+    pair = F.struct("seen", "a", "b")
+    ends = pairs.groupBy("low", "high").agg(F.min(pair).alias("p"), F.max(pair).alias("last"))
+    return ends.select("low", "high", "p.a", "p.b", (F.col("p") != F.col("last")).alias("more"))
 
 
 def _apart(one: str, other: str) -> Column:
@@ -411,8 +499,7 @@ def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, mo
     # Clusters against clusters of other components, by the lists.
     named = lists.join(members.select("node", "leader", "comp"), "node")
     grouped = named.groupBy("token", "leader").agg(F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    pairs = cut(met(cut(grouped), spans, percent))
-    compared, roots, hashes = _connected(pairs, texts, nodes, roots, hashes, words, percent)
+    compared, roots, hashes = _connected(cut(grouped), spans, texts, nodes, roots, hashes, words, percent)
 
     # Members of clusters that are still apart, where the answer of their leaders leaves it open: by the same lists.
     # A leader may be a member of another cluster, so a cluster of one set may still have members besides its leader.
@@ -424,7 +511,7 @@ def linked_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, mo
         some = members.join(asked, "leader").select("node").join(roots, "node")
         alone = lists.join(some, "node").select("token", F.col("node").alias("leader"), "comp", F.col("n").alias("low"), F.col("n").alias("high"), "rest")
         each = some.join(nodes, "node").select("node", F.lit(0).alias("off"), F.col("n").alias("high"), "bits")
-        _, roots, _ = _connected(cut(met(cut(alone), cut(each), percent)), texts, nodes, roots, hashes, words, percent)
+        _, roots, _ = _connected(cut(alone), cut(each), texts, nodes, roots, hashes, words, percent)
     return base, nodes, roots
 
 
@@ -456,20 +543,24 @@ def _read_sets(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, known: Data
 
 
 def _connected(
-    pairs: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, hashes: DataFrame, words: int, percent: int
+    lists: DataFrame, spans: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, hashes: DataFrame, words: int, percent: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``a, b, linked, apart`` of pairs ``(a, b, seen)``, the roots with their links, and the sets read so far.
+    """``a, b, linked, apart`` of pairs that meet in lists (``met``), the roots with their links, and the sets read so far.
 
-    Of the pairs between two components the nearest one is compared first; the others are only where those stay apart.
+    Of the pairs between two components the nearest one is compared first, and only that one leaves the lists; where those
+    stay apart and there are others, their lists are gone through again for all.
     """
-    pairs = cut(_with(pairs, roots, ["comp"]).withColumns({"low": F.least("a_comp", "b_comp"), "high": F.greatest("a_comp", "b_comp")}))
-    hashes = _read_sets(pairs, texts, nodes, hashes, words)
-    first = cut(pairs.groupBy("low", "high").agg(F.min(F.struct("seen", "a", "b")).alias("p")).select("p.a", "p.b"))
-    compared = overlaps(first, hashes, percent)
+    nearest = cut(met(lists, spans, percent, True))
+    hashes = _read_sets(nearest, texts, nodes, hashes, words)
+    compared = overlaps(nearest, hashes, percent)
     roots = _joined(roots, compared.where("linked"))
-    others = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    others = cut(_with(others, roots, ["comp"]).where("a_comp <> b_comp").select("a", "b"))
-    if not others.isEmpty():
+    # The components of lists are those from before; an end of a pair tells where each is now.
+    left = _with(nearest.where("more").select("low", "high", "a", "b"), roots, ["comp"]).where("a_comp <> b_comp")
+    asked = cut(left.select(F.explode(F.array("low", "high")).alias("comp")).distinct())
+    if not asked.isEmpty():
+        open_ = lists.join(asked, "comp", "left_semi").drop("comp").join(roots.withColumnRenamed("node", "leader"), "leader")
+        others = cut(met(cut(open_), spans, percent).join(nearest.select("a", "b"), ["a", "b"], "left_anti"))
+        hashes = _read_sets(others, texts, nodes, hashes, words)
         more = overlaps(others, hashes, percent)
         compared, roots = compared.union(more), _joined(roots, more.where("linked"))
     return compared, roots, hashes

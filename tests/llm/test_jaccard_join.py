@@ -157,3 +157,33 @@ def test_lists_give_only_pairs_within_reach(llm, monkeypatch):
     monkeypatch.setattr(jaccard_join, "met", watched)
     assert groups(llm, rows) == plain_groups(rows)
     assert given and max(given) < 10 * len(rows)
+
+
+def test_texts_hashed_together_give_the_same(rows, monkeypatch):
+    """Also with texts that pass the window, nulls, empty ones, slices and words of any length."""
+    given = [t for _, t in rows] + ["", "x" * 70 + " " + "X" * 70 + " " + "x" * 71, "12345678 123456789 1234567 a", None, " \n", "end"]
+    hasher = jaccard_join.Hasher()
+    for together, window in ((1 << 18, 1 << 20), (50, 400), (1, 1)):
+        monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+        monkeypatch.setattr(jaccard_join, "WINDOW", window)
+        found = [x.tolist() for hashes, each in hasher.each(pa.array(["cut off", *given]).slice(1)) for x in np.split(hashes, np.cumsum(each)[:-1])]
+        assert found == [hasher(t).tolist() for t in given]
+        assert [len(x) for x in found] == [len(plain_set(t)) for t in given]
+
+
+def test_one_pair_of_two_components_leaves_the_lists(llm):
+    """Thirty sets of each of two components that all meet: one pair, not nine hundred, in however many lists."""
+    rows = [(token, node, node % 2, 100, 100, 100) for token in (7, 8, 9) for node in range(60)]
+    lists = llm.createDataFrame(rows, "token long, leader long, comp long, low int, high int, rest int").repartition(3)
+    spans = llm.createDataFrame([(node, 0, 100, [node] + [0] * 7) for node in range(60)], "node long, off long, high int, bits array<long>")
+    assert jaccard_join.met(lists, spans, 85).count() == 900
+    (found,) = jaccard_join.met(lists, spans, 85, True).collect()
+    assert (found.low, found.high, found.more) == (0, 1, True) and bin(found.a ^ found.b).count("1") == 1
+
+
+def test_small_tasks_see_common_n_grams(llm):
+    """An n-gram that each of many small tasks sees twice is known as a common one."""
+    texts = [(i, i, "a b c d" if i % 3 == 0 else f"t{i} u v w{i} x y{i}") for i in range(120)]
+    made = jaccard_join.sets(llm.createDataFrame(texts, "doc_id long, key long, text string").repartitionByRange(20, "doc_id"))
+    bucket = int(jaccard_join.Hasher()("a b c d")[0] >> np.uint64(43))
+    assert made.where(f"bucket = {bucket}").groupBy().sum("seen").first()[0] >= 30
