@@ -1,7 +1,9 @@
 """The near-duplicate stage of the pipeline against brute-force Jaccard similarity."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from test_dedup import clashing, union
 
@@ -107,3 +109,23 @@ def test_what_simhash_links_is_not_compared_again(llm, monkeypatch):
     place = {node: i for i, node in enumerate(nodes)}
     root = union([(place[a], place[b]) for a, b, linked in first if linked], range(len(nodes)))
     assert any(calls[1:]) and all(root[place[a]] != root[place[b]] for call in calls[1:] for a, b, _ in call)
+
+
+def test_a_worker_keeps_no_words():
+    """Texts of 120,000 different words: what a task of the near stage holds is the counts of buckets and little more."""
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    texts = [" ".join(f"w{400 * i + k}" for k in range(400)) for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i] * 100), pa.array([i] * 100), pa.array(texts[i : i + 100])], ["doc_id", "key", "text"]) for i in (0, 100, 200)]
+    run = jaccard_join.sets(Texts(), near_copies.WORDS).run
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in run(iter(batches))) >= 300
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 24e6
